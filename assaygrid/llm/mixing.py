@@ -6,23 +6,23 @@ weights, until no source is above its cap.  A document is then taken as many who
 ratio has whole epochs; the fractional epoch is a seeded sample without replacement: documents in the order
 of a seeded hash, until their words reach the fraction (to the nearest document).
 
-The order's running sum is made in two steps, over 4,096 hash buckets of each source and within a bucket, so
-a source with a third of all rows is not gathered in one task.  Only one number for each source comes to
-the driver.
+The order's running sum is made in two steps: over 4,096 hash buckets of each source, then within the one
+bucket in which the fraction ends, so a source with a third of all rows is not gathered in one task.  The
+sample is then a comparison with its last hash; texts are never shuffled.  A few numbers for each source
+come to the driver.
 
 Defined cases: null text has size 0 and is taken 0 words; a null source is a source of its own, last in
-order; sources of size 0 have target 0; a null id hashes as the empty text; repeated rows are sampled each;
-an empty table gives an empty result.  Names of extra columns cannot clash: only doc_id, source and text
-are read, and ``stage`` returns the input's own columns.
+order; sources of size 0 have target 0; a null id hashes as the empty text; rows with the same id and size
+are sampled together or not at all; an empty table gives an empty result.  Extra columns pass through, and
+the result's names win over input columns of the same names.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import common
@@ -30,7 +30,6 @@ from . import common
 CYCLE = (3, 1, 2)
 SEED = 17
 BUCKET_DIGITS = 3  # hexadecimal digits of the hash that name a bucket
-MIXED = "doc_id, source, size, source_size, target, copies, taken"
 
 
 def water_fill(sizes: list[int], weights: list[Fraction], share: Fraction, max_epochs: Fraction) -> tuple[list[Fraction], list[bool]]:
@@ -57,14 +56,16 @@ def water_fill(sizes: list[int], weights: list[Fraction], share: Fraction, max_e
 
 
 def mix(docs: DataFrame, share: str = "1.5", max_epochs: int = 2, seed: int = SEED, weights: dict[str | None, int] | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole and sampled repetitions), taken."""
+    """docs with size, source_size, target, copies (whole and sampled repetitions) and taken (copies * size)."""
     spark = docs.sparkSession
+    names = ("size", "source_size", "target", "copies", "taken")
+    docs = docs.drop(*names)
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), rank.alias("rank"))
-    sized = common.written(sized.withColumn("bucket", F.substring("rank", 1, BUCKET_DIGITS)), "mixing-sizes")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    totals = {r[0]: r[1] for r in buckets.groupBy("source").agg(F.sum("bucket_size")).collect()}  # one number for each source
+    bucket = F.substring("__rank", 1, BUCKET_DIGITS)
+    sized = common.written(docs.select(F.col("source").cast("string").alias("source"), size.alias("size"), rank.alias("__rank")), "mixing-sizes")
+    buckets = common.written(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n")), "mixing-buckets")
+    totals = {r[0]: r[1] for r in buckets.groupBy("source").agg(F.sum("n")).collect()}  # one number for each source
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     given = [Fraction((weights or {}).get(s, CYCLE[i % 3])) for i, s in enumerate(order)]
     targets, clamped = water_fill([totals[s] for s in order], given, Fraction(share), Fraction(max_epochs))
@@ -72,16 +73,31 @@ def mix(docs: DataFrame, share: str = "1.5", max_epochs: int = 2, seed: int = SE
     for s, t, full in zip(order, targets, clamped, strict=True):
         whole = max_epochs if full else int(t // totals[s]) if totals[s] else 0
         rows.append((s, totals[s], round(float(t), 6), whole, round(float(t - whole * totals[s]), 6)))
-    plan = spark.createDataFrame(rows, "source string, source_size long, target double, whole int, rest double")
-    running = buckets.select("source", "bucket", (F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("bucket_size")).alias("earlier"))  # 4,096 rows a source
-    d, b, p = sized.alias("d"), running.alias("b"), plan.alias("p")
-    same = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket"))
-    within = W.partitionBy("d.source", "d.bucket").orderBy("d.rank", "d.doc_id", "d.size").rowsBetween(W.unboundedPreceding, 0)
-    before = F.col("b.earlier") + F.sum("d.size").over(within) - F.col("d.size")
-    placed = d.join(b, same).select("d.doc_id", "d.source", "d.size", before.alias("before")).alias("d")
-    out = placed.join(F.broadcast(p), F.col("d.source").eqNullSafe(F.col("p.source")))  # the plan's rows came from the driver
-    copies = F.col("whole") + (F.col("before") + F.col("size") / 2 <= F.col("rest")).cast("int")
-    return out.select("d.doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    plan = spark.createDataFrame(rows, "s string, source_size long, target double, whole int, rest double")
+    edges = boundaries(sized, buckets, plan, bucket)
+    full_plan = spark.createDataFrame([(*r, *edges.get(r[0], ("", -1))) for r in rows], plan.schema.add("edge_rank", "string").add("edge_size", "long"))
+    # one row for each source, all of which the driver has just seen
+    marked = docs.withColumns({"size": size, "__rank": rank}).join(F.broadcast(full_plan), F.col("source").cast("string").eqNullSafe(F.col("s")))
+    sampled = F.struct("__rank", "size") <= F.struct("edge_rank", "edge_size")
+    copies = F.col("whole") + sampled.cast("int")
+    return marked.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def boundaries(sized: DataFrame, buckets: DataFrame, plan: DataFrame, bucket: Column) -> dict[str | None, tuple[str, int]]:
+    """For each source the last (hash, size) of its sample: documents up to it hold the fraction's words.
+
+    The bucket in which the fraction ends is found from the buckets' sums; only its documents are ordered.
+    """
+    upto = F.sum("n").over(W.partitionBy("source").orderBy("bucket"))  # 4,096 rows a source
+    running = buckets.select("source", "bucket", upto.alias("upto"), (upto - F.col("n")).alias("before"))
+    last = running.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).filter("before <= rest AND rest > 0").groupBy("source").agg(F.max_by(F.struct("bucket", "before", "rest"), "bucket").alias("e"))
+    e = last.select(F.col("source").alias("s"), "e.*")
+    inside = sized.join(F.broadcast(e), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))  # one row for each source
+    through = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("__rank", "size"))
+    taken = inside.select("source", "__rank", "size", "bucket", through.alias("through"), "rest").filter(F.col("through") - F.col("size") / 2 <= F.col("rest"))
+    edge = {r[0]: (r[1].r, r[1].z) for r in taken.groupBy("source").agg(F.max(F.struct(F.col("__rank").alias("r"), F.col("size").alias("z")))).collect()}
+    # where no document of the boundary's bucket is taken, the sample ends before that bucket
+    return {r[0]: edge.get(r[0], (r[1], -1)) for r in e.select("s", "bucket").collect()}
 
 
 def op7_water_filled_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,21 +119,14 @@ p AS (SELECT source, z, round(least(2.0 * z, level * w), 6) AS target,
              level * w AS goal FROM w, l),
 o AS (SELECT d.*, p.z AS source_size, p.target, p.whole,
              CASE WHEN p.whole = 2 THEN 0 ELSE round(p.goal - p.whole * p.z, 6) END AS rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.r, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.r, d.size) AS through
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST((whole + CASE WHEN before + size / 2.0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+       CAST((whole + CASE WHEN rest > 0 AND through - size / 2.0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM o
 """
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents as often as the mixture takes them.
-
-    Sources here weigh alike by their size (weights are the sizes), so the share of 100 % keeps every clean
-    document once; give ``weights`` and ``share`` to ``mix`` for another mixture.
-    """
-    names = docs.columns
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    del names, marked
-    raise NotImplementedError
+    """Pipeline stage: every document as many times as the mixture takes it, as rows of their own."""
+    return mix(docs).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
