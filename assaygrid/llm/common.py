@@ -69,16 +69,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path, schema = scratch_path(spark, name), df.schema
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    spark._jvm.System.gc()  # shuffle files of the finished write can go now
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in tables:
+        _, path = _paths.pop(id(df), (None, None))
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every table that ``written`` made; call it once the results have been stored."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _paths.clear()
+    _delete(spark, f"{scratch_dir(spark).rstrip('/')}/tables")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
