@@ -36,9 +36,9 @@ from . import common
 from .components import components
 from .words import hashed, mixed, runs
 
-SKETCH = 48
+SKETCH = 128
 BRANCH = 2
-LEVELS = 6
+LEVELS = 4
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -66,8 +66,8 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
 def sketch(s: np.ndarray) -> bytes:
     """Minwise values under SKETCH hash functions, 32 bits each."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(s), 4096):
-        least = np.minimum(least, (s[None, i : i + 4096] * _MUL[:, None] + _ADD[:, None]).min(axis=1))
+    for i in range(0, len(s), 2048):
+        least = np.minimum(least, (s[None, i : i + 2048] * _MUL[:, None] + _ADD[:, None]).min(axis=1))
     return (mixed(least) >> np.uint64(32)).astype("<u4").tobytes()
 
 
@@ -221,7 +221,7 @@ def needed_texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFram
     return rows.join(wanted, ["key", "id"]).select("key", "text")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = 0.9997, leaf: int = 1024, levels: int = LEVELS, slack: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = 0.9997, leaf: int = 2048, levels: int = LEVELS, slack: float = 0.15) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and key (of the text) of every row of docs (doc_id, text)."""
     common.prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import common
-from .tokens import encoder, in_order, tokenizer_path
+from .tokens import encoder, in_order, together, tokenizer_path
 
 #: Rows of the offsets table (partitions x sources) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -127,14 +127,14 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         tool = encoder(path)
         end = np.array([end_id], tool.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in together(batches, 2):
             sources = batch.column(1).to_pylist()
             ids = [b + end for b in tool.encode(batch.column(2).to_pylist())]
             n, before = [len(b) // tool.dtype.itemsize for b in ids], []
             for s, k in zip(sources, n, strict=True):
                 before.append(seen.get(s, 0))
                 seen[s] = before[-1] + k
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(n), pa.int32()), "doc_id": batch.column(0), "source": batch.column(1), "n": pa.array(n, pa.int64()), "before": pa.array(before, pa.int64()), "ids": pa.array(ids, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(n), pa.int32()), "doc_id": batch.column(0).combine_chunks(), "source": batch.column(1).combine_chunks(), "n": pa.array(n, pa.int64()), "before": pa.array(before, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("source", T.StringType()), T.StructField("n", T.LongType()), T.StructField("before", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -144,7 +144,6 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, window: int = 8 * 2048, weights: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of docs (doc_id, source, text): doc_id, source, start, length, ids, doc_tokens, sequence_id, offset."""
     table = tokenised(docs, path, end_id)
-    spark = docs.sparkSession
     sums = table.groupBy("source", "part").agg(F.sum("n").alias("n"))
     offsets = sums.select("source", "part", (F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("earlier"))
     offsets = common.written(offsets, "packing-offsets")
@@ -157,7 +156,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, window
     small = offsets.count() <= BROADCAST_ROWS
     joined = table.join(F.broadcast(offsets) if small else offsets, table["part"].eqNullSafe(offsets["part"]) & table["source"].eqNullSafe(offsets["source"]))
     rows = joined.select("doc_id", table["source"], "n", (F.col("before") + F.col("earlier")).alias("first"), "ids")
-    del spark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(path).dtype

@@ -16,6 +16,7 @@ get a place of their own; an empty table gives no shard and an empty result; ext
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
@@ -31,15 +32,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .words import mixed, powers
 
-#: White space in the tokenizer's eyes or Python's; a cut is safe at a lone space between two other characters.
-_S = r"\s᠎​⁠﻿"
-TWO = re.compile(f"[{_S}][{_S}]")
+#: Texts whose cuts are worked out on bytes: no two white-space characters together, and no characters but ASCII and Latin letters.
+_S = r"\s\u180e\u200b\u2060\ufeff"
+OTHER = re.compile(f"[{_S}][{_S}]|[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+EDGE = re.compile(f"[{_S}]")
+#: A cut is safe at a lone space between two other characters.
 LONE = re.compile(f"(?<=[^{_S}]) (?=[^{_S}])")
-CACHE, LONGEST = 350_000, 48
+CACHE, LONGEST = 500_000, 40
+BLOCK = 8 << 20
 SHARD_IDS = 1 << 21
 MAGIC = "token-shard/1"
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+
+
+def _alphabet() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a printable character: itself, or the next from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+ALPHABET = _alphabet()
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -48,10 +66,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Whole texts to id arrays; remembers the ids of pieces.
+    """Whole texts to id arrays, by way of their distinct pieces.
 
-    The tokenizer's own pattern never joins characters across a lone space between two others, so such a
-    text's ids are those of its pieces, each with its leading space.  The same holds for lone line ends.
+    The tokenizer's pattern never joins characters across the cuts made here: before a lone space, at a line
+    end, after a run of letters, and before one (unless a space or an apostrophe stands before it).  So a
+    text's ids are those of its pieces.  Pieces of a block are told apart by two 64-bit hashes, worked out in
+    numpy; only distinct pieces reach the tokenizer.  A piece of letters is one word of the pattern and goes
+    to the tokenizer's model directly; the others are encoded as texts.
     """
 
     def __init__(self, path: str):
@@ -59,59 +80,128 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tool.model
         self.dtype = np.dtype("<u2") if self.tool.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.line = self.raw("\n")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known: dict[bytes, bytes] = {}
+        kind = json.loads(self.tool.to_str())["pre_tokenizer"] or {}
+        self.by_bytes = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and self.tool.normalizer is None
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> dict[str, bytes]:
-        """known, with the missing pieces; those too long to remember come back in a dict of their own."""
-        missing = [p for p in pieces if p not in known]
-        if not missing:
-            return known
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            missing = list(pieces)
-        found = dict(zip(missing, (np.array(e.ids, self.dtype).tobytes() for e in self.tool.encode_batch_fast([lead + p for p in missing], add_special_tokens=False)), strict=True))
-        known.update((p, b) for p, b in found.items() if len(p) <= LONGEST)
-        return known if all(len(p) <= LONGEST for p in found) else known | found
+    def pieces(self, raw: bytes, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> list[bytes]:
+        """Ids (as bytes) of distinct pieces; word: whether a piece is a run of letters."""
+        keys = [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+        found = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            flags, code = word[missing].tolist(), self.code
+            words = [i for i, w in zip(missing, flags, strict=True) if w]
+            if words:
+                spelled = b"\n".join([keys[i] for i in words]).decode("latin-1").translate(ALPHABET).split(ALPHABET[10])
+                for i, tokens in zip(words, map(self.model.tokenize, spelled), strict=True):
+                    found[i] = array.array(code, [t.id for t in tokens]).tobytes()
+            for i, w in zip(missing, flags, strict=True):
+                if not w:
+                    found[i] = self.raw(keys[i].decode())
+            room = CACHE - len(self.known)
+            self.known.update([(keys[i], found[i]) for i in missing[: max(0, room)] if len(keys[i]) <= LONGEST])
+        return found
+
+    def block(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of texts whose cuts can be worked out on bytes."""
+        raw = b"\n".join(parts) + b"\n"
+        data = np.frombuffer(raw, np.uint8)
+        letter = _LETTER[data]
+        before = np.concatenate([[False], letter[:-1]])
+        last = np.concatenate([[10], data[:-1]])
+        line = (data == 10) | (last == 10)
+        start = np.flatnonzero((data == 32) | line | (before & ~letter) | (letter & ~before & (last != 32) & (last != 39)))
+        end = np.append(start[1:], len(data))
+        one, two = piece_hashes(data, start, end)
+        _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[first[inverse]]).any():  # two pieces of one hash
+            return [self.raw(p.decode()) for p in parts]
+        head = start[first]
+        ids = self.pieces(raw, head, end[first], letter[np.minimum(head + (data[head] == 32), len(data) - 1)])
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        ends = np.cumsum([len(p) + 1 for p in parts]) - 1  # the line ends between texts are not theirs
+        n = lens[inverse]
+        n[np.searchsorted(start, ends)] = 0
+        upto = np.cumsum(n)
+        at = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat((np.cumsum(lens) - lens)[inverse] - (upto - n), n)
+        out = flat[at]
+        cut = upto[np.searchsorted(start, ends)]
+        return [out[x:y].tobytes() for x, y in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[list[str]]] = []
-        for t in texts:
-            t = t or ""
-            if TWO.search(t) or t[:1] in " \n" or t[-1:] == " ":
-                cut.append([LONE.split(t)])
+        out: list[bytes] = [b""] * len(texts)
+        ids: list[int] = []
+        parts: list[bytes] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not self.by_bytes:
+                out[i] = self.raw(t)
+            elif EDGE.match(t[0]) or EDGE.match(t[-1]) or OTHER.search(t):
+                out[i] = b"".join([self.raw(" " + p if k else p) for k, p in enumerate(LONE.split(t))])
             else:
-                cut.append([x.split(" ") for x in t.split("\n")])
-        spaced, bare = set(), set()
-        for lines in cut:
-            for p in lines:
-                bare.add(p[0])
-                spaced.update(p[1:])
-        get = self.learn(self.spaced, spaced, " ").__getitem__
-        head = self.learn(self.bare, bare, "").__getitem__
-        out = []
-        for lines in cut:
-            parts: list[bytes] = []
-            for i, p in enumerate(lines):
-                if i:
-                    parts.append(self.line)
-                parts.append(head(p[0]))
-                parts.extend(map(get, p[1:]))
-            out.append(b"".join(parts))
+                ids.append(i)
+                parts.append(t.encode())
+                size += len(parts[-1]) + 1
+                if size > BLOCK:
+                    for k, b in zip(ids, self.block(parts), strict=True):
+                        out[k] = b
+                    ids, parts, size = [], [], 0
+        if parts:
+            for k, b in zip(ids, self.block(parts), strict=True):
+                out[k] = b
         return out
 
 
+def piece_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, span: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each piece (pieces follow each other without a gap); a span of bytes at a time."""
+    one, two = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + span, side="right")))
+        part = data[start[a] : end[b - 1]].astype(np.uint64)
+        up, down = powers(len(part))
+        x, y = start[a:b] - start[a], end[a:b] - start[a]
+        n = (y - x).astype(np.uint64)
+        part += np.uint64(1)
+        h = np.add.reduceat(part * up[: len(part)], x) * down[x]
+        one[a:b] = mixed(h + n)
+        part *= part * part + np.uint64(0x9E3779B1)
+        h = np.add.reduceat(part * up[: len(part)], x) * down[x]
+        two[a:b] = mixed(h ^ n)
+        a = b
+    return one, two
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
     return Encoder(path)
 
 
+def together(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
+    """Batches joined up to about BLOCK bytes of text: more words are then equal."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= BLOCK:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows in ascending doc_id over the partitions (null first) and within them, equal ids by text."""
     return docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -199,7 +289,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, shard_ids: int = S
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "first": pa.array([first], pa.int64()), "ids": pa.array([held], pa.int64()), "content": pa.array([build_shard(items, tool.dtype.itemsize, digest)], pa.binary())})
 
-        for batch in batches:
+        for batch in together(batches, 1):
             for doc, b in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
                 b += end
                 n = len(b) // tool.dtype.itemsize
