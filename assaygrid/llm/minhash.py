@@ -6,13 +6,14 @@ own hash; a set follows each of them to the child named by its token there, so s
 the same paths.  A pair of similarity s meets in a child with probability 1 - (1 - s)**2, and survives any
 number of levels with the fixed probability p = 1 - ((1 - s) / s)**2 (0.94 at 0.8): ``trees`` are as many as
 the target recall asks, 1 - (1 - p)**trees.  Nodes of up to ``leaf`` sets are compared exhaustively, by
-sketch; larger ones branch on, and what is still larger at the last level is compared in blocks of sets that
-stand together in sketch order, each block together with the node's leader.
+sketch; larger ones branch on, unless few different tokens stand in them: such a node holds near copies, which no
+path splits.  It is compared in overlapping blocks of sets that stand together in an order of sketches of the
+node's own, each block together with the node's leader, as is what is still large at the last level.
 
-Comparing yields candidates in two rounds.  First each set's best and first partner in its node; those are
-confirmed on the full sets and joined to components.  Then all candidates that would join different
-components.  Pairs inside a component change nothing, so a group of thousands of near copies never becomes
-all its pairs.
+Comparing yields candidates in three rounds, each confirmed on the full sets and joined to components.
+First one partner of each set in its node; then its best few in other components of the node; then all
+candidates that would still join different components.  Pairs inside a component change nothing, so a group
+of thousands of near copies never becomes all its pairs.
 
 A set's key is that of its text; equal texts are one row until the end.
 
@@ -111,16 +112,30 @@ def leaves(sets: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
             more = more.join(sets, "key").select("node", "key", "n", "s", "members")
         more = common.written(more, "nodes")
         common.discard(placed)
-        small = more.filter((F.col("members") <= leaf) | F.lit(level == levels - 1)).drop("members")
+        large = more.filter(F.col("members") > leaf)
+        loose = []
+        if level < levels - 1:  # a node in which few tokens stand at the coordinates holds near copies: no path splits it
+            kinds = large.groupBy("node").agg(F.max("members").alias("m"), *[F.approx_count_distinct(F.substring("s", 4 * c + 1, 4)).alias(f"k{c}") for c in range(4)])
+            loose = kinds.filter((F.col("k0") + F.col("k1") + F.col("k2") + F.col("k3")) / 4 >= 0.5 * F.col("m")).select("node")
+            loose = common.written(loose, "loose")
+        if not loose or not loose.take(1):
+            final = more
+        else:
+            final = more.join(loose, "node", "left_anti")
+        small = final.drop("members")
         done = small if done is None else done.unionByName(small)
-        roots = more.filter(F.col("members") > leaf).drop("members")
-        if level == levels - 1 or not roots.take(1):
+        if final is more:
             break
+        roots = large.join(loose, "node", "left_semi").drop("members")
     return done
 
 
-def compare(keys: list[bytes], n: np.ndarray, sk: np.ndarray, part: np.ndarray | None, least: float, slack: float) -> tuple[list[bytes], list[bytes]]:
-    """Candidate pairs of a node.  Without components: each set's best and first partner; with: all pairs of different ones."""
+def compare(keys: list[bytes], n: np.ndarray, sk: np.ndarray, part: np.ndarray | None, least: float, slack: float, most: int | None) -> tuple[list[bytes], list[bytes]]:
+    """Candidate pairs of a node.
+
+    Without components: each set's first partner, or its best where the first is not surely similar.
+    With: pairs of different components; each set's ``most`` best, or all (None).
+    """
     size = len(keys)
     left, right = [], []
     columns = [np.ascontiguousarray(sk[:, j]) for j in range(SKETCH)]
@@ -133,22 +148,30 @@ def compare(keys: list[bytes], n: np.ndarray, sk: np.ndarray, part: np.ndarray |
         est[np.arange(b - a), np.arange(a, b)] = -1
         if part is None:
             best, first = est.argmax(axis=1), (est >= 0).argmax(axis=1)
+            sure = est[np.arange(b - a), first] >= SKETCH * min(1.0, least + slack / 2)
             ok = np.flatnonzero(est.max(axis=1) >= 0)
-            pairs = {(min(i + a, j), max(i + a, j)) for i in ok.tolist() for j in (int(best[i]), int(first[i]))}
+            found = zip((ok + a).tolist(), np.where(sure, first, best)[ok].tolist(), strict=True)
         else:
             i, j = np.nonzero((est >= 0) & (part[a:b, None] != part[None, :]))
-            pairs = {(x + a, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x + a < y}
-        for i, j in pairs:
+            if most is not None and len(i):
+                order = np.lexsort((j, -est[i, j], i))
+                i, j = i[order], j[order]
+                head = np.flatnonzero(np.diff(i, prepend=-1))
+                rank = np.arange(len(i)) - np.repeat(head, np.diff(head, append=len(i)))
+                i, j = i[rank < most], j[rank < most]
+            found = zip((i + a).tolist(), j.tolist(), strict=True)
+        for i, j in {(min(x, y), max(x, y)) for x, y in found}:
             left.append(keys[i])
             right.append(keys[j])
     return left, right
 
 
-def candidates(nodes: DataFrame, leaf: int, least: float, slack: float) -> DataFrame:
-    """Pairs (u, v) of keys from nodes (node, key, n, s and, in the second round, part)."""
+def candidates(nodes: DataFrame, leaf: int, least: float, slack: float, most: int | None = None) -> DataFrame:
+    """Pairs (u, v) of keys from nodes (node, key, n, s and, after the first round, part)."""
     second = "part" in nodes.columns
     tied = nodes.select("node", "key", "n", "s", *(["part"] if second else []))
-    tied = tied.repartition("node").sortWithinPartitions("node", "s", "key")
+    turned = F.expr(f"substring(s, 4 * pmod(node, {SKETCH}) + 1)")  # a node's order begins at a coordinate of its own
+    tied = tied.repartition("node").sortWithinPartitions("node", turned, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, leader = None, None
@@ -169,7 +192,7 @@ def candidates(nodes: DataFrame, leaf: int, least: float, slack: float) -> DataF
                 part = np.array([names[rows[i][3]] for i in order])
                 if len(names) < 2:
                     return [], []
-            return compare(keys, n, sk, part, least, slack)
+            return compare(keys, n, sk, part, least, slack, most)
 
         for batch in batches:
             left, right = [], []
@@ -221,7 +244,7 @@ def needed_texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFram
     return rows.join(wanted, ["key", "id"]).select("key", "text")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = 0.9997, leaf: int = 2048, levels: int = LEVELS, slack: float = 0.15) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = 0.9997, leaf: int = 2048, levels: int = LEVELS, slack: float = 0.11) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and key (of the text) of every row of docs (doc_id, text)."""
     common.prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -236,15 +259,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: f
     links = common.written(confirmed(pairs, texts, size, percent), "links")
     common.discard(texts, pairs)
     part_of = common.written(components(links), "parts")
-    labelled = nodes.join(part_of.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    across = common.written(candidates(labelled.drop("component"), leaf, least, slack), "pairs")
-    if across.take(1):
+    for most in (8, None):
+        labelled = nodes.join(part_of.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
+        across = common.written(candidates(labelled.drop("component"), leaf, least, slack, most), "pairs")
+        if not across.take(1):
+            break
         texts = common.written(needed_texts(docs, sets, across).dropDuplicates(["key"]), "texts")
         more = common.written(confirmed(across, texts, size, percent), "links")
-        common.discard(texts)
+        common.discard(texts, across)
         if more.take(1):
-            part_of = common.written(components(links.unionAll(more)), "parts")
-    common.discard(nodes, across)
+            links = links.unionAll(more)
+            part_of = common.written(components(links), "parts")
+    common.discard(nodes)
     of = sets.join(part_of.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("part"))
     ids = of.groupBy("part").agg(F.min("rep").alias("component_id"))
     labels = of.join(ids, "part").select("key", "component_id")
