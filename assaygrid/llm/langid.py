@@ -31,7 +31,7 @@ from . import common
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of text handled at a time; bounds the memory of the per-letter arrays.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _codes() -> np.ndarray:

@@ -10,10 +10,10 @@ sketch; larger ones branch on, unless few different tokens stand in them: such a
 path splits.  It is compared in overlapping blocks of sets that stand together in an order of sketches of the
 node's own, each block together with the node's leader, as is what is still large at the last level.
 
-Comparing yields candidates in three rounds, each confirmed on the full sets and joined to components.
-First one partner of each set in its node; then its best few in other components of the node; then all
-candidates that would still join different components.  Pairs inside a component change nothing, so a group
-of thousands of near copies never becomes all its pairs.
+Comparing has two rounds.  First one partner of each set in its node is confirmed on the full sets and the
+links are joined to components.  Then sets with candidates in other components of their node come to it with
+their texts, and all those candidates are tried there on the full sets, as long as their components differ.
+Only confirmed links leave a node: a group of thousands of near copies never becomes rows for all its pairs.
 
 A set's key is that of its text; equal texts are one row until the end.
 
@@ -130,14 +130,9 @@ def leaves(sets: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
     return done
 
 
-def compare(keys: list[bytes], n: np.ndarray, sk: np.ndarray, part: np.ndarray | None, least: float, slack: float, most: int | None) -> tuple[list[bytes], list[bytes]]:
-    """Candidate pairs of a node.
-
-    Without components: each set's first partner, or its best where the first is not surely similar.
-    With: pairs of different components; each set's ``most`` best, or all (None).
-    """
-    size = len(keys)
-    left, right = [], []
+def similar(n: np.ndarray, sk: np.ndarray, least: float, slack: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For runs of rows a ... b - 1 of a node: how many sketch values each pair shares, -1 where it is no candidate."""
+    size = len(n)
     columns = [np.ascontiguousarray(sk[:, j]) for j in range(SKETCH)]
     for a in range(0, size, 256):
         b = min(size, a + 256)
@@ -146,71 +141,129 @@ def compare(keys: list[bytes], n: np.ndarray, sk: np.ndarray, part: np.ndarray |
             same += col[a:b, None] == col[None, :]
         est = np.where((same >= SKETCH * (least - slack)) & (np.minimum(n[a:b, None], n[None, :]) >= least * np.maximum(n[a:b, None], n[None, :]) - 1e-9), same, -1)
         est[np.arange(b - a), np.arange(a, b)] = -1
-        if part is None:
-            best, first = est.argmax(axis=1), (est >= 0).argmax(axis=1)
-            sure = est[np.arange(b - a), first] >= SKETCH * min(1.0, least + slack / 2)
-            ok = np.flatnonzero(est.max(axis=1) >= 0)
-            found = zip((ok + a).tolist(), np.where(sure, first, best)[ok].tolist(), strict=True)
-        else:
-            i, j = np.nonzero((est >= 0) & (part[a:b, None] != part[None, :]))
-            if most is not None and len(i):
-                order = np.lexsort((j, -est[i, j], i))
-                i, j = i[order], j[order]
-                head = np.flatnonzero(np.diff(i, prepend=-1))
-                rank = np.arange(len(i)) - np.repeat(head, np.diff(head, append=len(i)))
-                i, j = i[rank < most], j[rank < most]
-            found = zip((i + a).tolist(), j.tolist(), strict=True)
-        for i, j in {(min(x, y), max(x, y)) for x, y in found}:
-            left.append(keys[i])
-            right.append(keys[j])
-    return left, right
-
-
-def candidates(nodes: DataFrame, leaf: int, least: float, slack: float, most: int | None = None) -> DataFrame:
-    """Pairs (u, v) of keys from nodes (node, key, n, s and, after the first round, part)."""
-    second = "part" in nodes.columns
-    tied = nodes.select("node", "key", "n", "s", *(["part"] if second else []))
+        yield a, b, est
+
+
+def partners(keys: list[bytes], n: np.ndarray, sk: np.ndarray, least: float, slack: float) -> set[tuple[bytes, bytes]]:
+    """Each set's first partner in its node, or its best where the first is not surely similar."""
+    out = set()
+    for a, b, est in similar(n, sk, least, slack):
+        best, first = est.argmax(axis=1), (est >= 0).argmax(axis=1)
+        sure = est[np.arange(b - a), first] >= SKETCH * min(1.0, least + slack / 2)
+        ok = np.flatnonzero(est.max(axis=1) >= 0)
+        out |= {(keys[min(i, j)], keys[max(i, j)]) for i, j in zip((ok + a).tolist(), np.where(sure, first, best)[ok].tolist(), strict=True)}
+    return out
+
+
+def across(n: np.ndarray, sk: np.ndarray, part: np.ndarray, least: float, slack: float) -> np.ndarray:
+    """Whether each set has a candidate in another component of its node."""
+    out = np.zeros(len(n), dtype=bool)
+    for a, b, est in similar(n, sk, least, slack):
+        out[a:b] = ((est >= 0) & (part[a:b, None] != part[None, :])).any(axis=1)
+    return out
+
+
+def confirm_node(sets: list[np.ndarray], n: np.ndarray, sk: np.ndarray, part: np.ndarray, least: float, slack: float, percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a node, all candidates tried on the full sets; no more links than join them."""
+    lens = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.cumsum(lens) - lens
+    mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
+    part, links = part.copy(), []
+    for a, b, est in similar(n, sk, least, slack):
+        for i in range(a, b):
+            j = np.flatnonzero((est[i - a] >= 0) & (part != part[i]))
+            j = j[j > i]
+            if not len(j):
+                continue
+            mark[flat[at[i] : at[i] + lens[i]]] = 1
+            for c in range(0, len(j), 256):
+                some = j[c : c + 256]
+                ids = np.concatenate([flat[at[x] : at[x] + lens[x]] for x in some.tolist()])
+                shared = np.add.reduceat(mark[ids], np.cumsum(lens[some]) - lens[some])
+                for x in some[100 * shared >= percent * (lens[i] + lens[some] - shared)].tolist():
+                    if part[x] != part[i]:
+                        links.append((i, x))
+                        part[part == part[x]] = part[i]
+            mark[flat[at[i] : at[i] + lens[i]]] = 0
+    return links
+
+
+def node_runs(batches: Iterator[pa.RecordBatch], keys: int, leaf: int | None) -> Iterator[tuple[list[tuple], int]]:
+    """Rows of one node after the other (the first ``keys`` columns name it), in key order, and the number of its block.
+
+    With ``leaf``, a node of more rows comes in overlapping blocks, each with the node's first row.
+    """
+    node, leader, rows, block = None, None, [], 0
+
+    def ordered() -> list[tuple]:
+        # a hash's order, alike in all nodes, so that a group's first member is mostly the same one
+        return sorted(rows, key=lambda r: r[keys])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != node:
+                if len(rows) > 1:
+                    yield ordered(), block
+                node, leader, rows, block = row[:keys], row, [], 0
+            elif leaf and len(rows) >= leaf:
+                yield ordered(), block
+                rows, block = [leader, *rows[-(leaf // 4) :]], block + 1
+            rows.append(row)
+    if len(rows) > 1:
+        yield ordered(), block
+
+
+def _sketches(rows: list[tuple], at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), "<u4").reshape(-1, SKETCH)
+
+
+def in_nodes(nodes: DataFrame) -> DataFrame:
     turned = F.expr(f"substring(s, 4 * pmod(node, {SKETCH}) + 1)")  # a node's order begins at a coordinate of its own
-    tied = tied.repartition("node").sortWithinPartitions("node", turned, "key")
+    return nodes.repartition("node").sortWithinPartitions("node", turned, "key")
+
+
+def candidates(nodes: DataFrame, leaf: int, least: float, slack: float) -> DataFrame:
+    """First-round pairs (u, v) of keys from nodes (node, key, n, s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, leader = None, None
-        rows: list[tuple] = []
-
-        def flush() -> tuple[list[bytes], list[bytes]]:
-            if len(rows) < 2:
-                return [], []
-            keys = [r[0] for r in rows]
-            # a node's order is that of a hash, alike in all nodes, so a group's first member is mostly the same one
-            order = sorted(range(len(rows)), key=lambda i: keys[i])
-            keys = [keys[i] for i in order]
-            n = np.array([rows[i][1] for i in order])
-            sk = np.frombuffer(b"".join(rows[i][2] for i in order), "<u4").reshape(-1, SKETCH)
-            part = None
-            if second:
-                names = {p: k for k, p in enumerate({r[3] for r in rows})}
-                part = np.array([names[rows[i][3]] for i in order])
-                if len(names) < 2:
-                    return [], []
-            return compare(keys, n, sk, part, least, slack, most)
+        for rows, _ in node_runs(batches, 1, leaf):
+            pairs = sorted(partners([r[1] for r in rows], np.array([r[2] for r in rows]), _sketches(rows, 3), least, slack))
+            yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in pairs], pa.binary()), "v": pa.array([v for _, v in pairs], pa.binary())})
 
-        for batch in batches:
-            left, right = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != node:
-                    for out, more in zip((left, right), flush(), strict=True):
-                        out.extend(more)
-                    node, leader, rows = row[0], row[1:], []
-                elif len(rows) >= leaf:
-                    for out, more in zip((left, right), flush(), strict=True):
-                        out.extend(more)
-                    rows = [leader, *rows[-(leaf // 4) :]]  # a block overlaps the one before
-                rows.append(row[1:])
-            yield pa.RecordBatch.from_pydict({"u": pa.array(left, pa.binary()), "v": pa.array(right, pa.binary())})
-        left, right = flush()
-        yield pa.RecordBatch.from_pydict({"u": pa.array(left, pa.binary()), "v": pa.array(right, pa.binary())})
-
-    return tied.mapInArrow(run, "u binary, v binary").distinct()
+    return in_nodes(nodes.select("node", "key", "n", "s")).mapInArrow(run, "u binary, v binary").distinct()
+
+
+def _numbers(values: list) -> np.ndarray:
+    names = {p: k for k, p in enumerate(dict.fromkeys(values))}
+    return np.array([names[v] for v in values])
+
+
+def unsettled(nodes: DataFrame, leaf: int, least: float, slack: float) -> DataFrame:
+    """Members of nodes (node, key, n, s, part) that have a candidate in another component there, with the block they stand in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, block in node_runs(batches, 1, leaf):
+            part = _numbers([r[4] for r in rows])
+            if not part.any():
+                continue
+            keep = [r for r, ok in zip(rows, across(np.array([r[2] for r in rows]), _sketches(rows, 3), part, least, slack), strict=True) if ok]
+            node, key, n, s, name = zip(*keep, strict=True) if keep else ([],) * 5
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "block": pa.array([block] * len(keep), pa.int32()), "key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int64()), "s": pa.array(s, pa.binary()), "part": pa.array(name, pa.binary())})
+
+    return in_nodes(nodes.select("node", "key", "n", "s", "part")).mapInArrow(run, "node long, block int, key binary, n long, s binary, part binary")
+
+
+def settled(members: DataFrame, texts: DataFrame, size: int, percent: int, slack: float) -> DataFrame:
+    """Links (u, v) between components, from all candidates of the members' nodes, on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in node_runs(batches, 2, None):
+            links = confirm_node(shingle_sets([r[6] for r in rows], size), np.array([r[3] for r in rows]), _sketches(rows, 4), _numbers([r[5] for r in rows]), percent / 100, slack, percent)
+            yield pa.RecordBatch.from_pydict({"u": pa.array([rows[i][2] for i, _ in links], pa.binary()), "v": pa.array([rows[j][2] for _, j in links], pa.binary())})
+
+    rows = members.join(texts, "key").select("node", "block", "key", "n", "s", "part", "text")
+    return rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "u binary, v binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -236,12 +289,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return two.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary")
 
 
-def needed_texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key and text of the sets in pairs, one row each."""
-    ends = pairs.select(F.col("u").alias("key")).unionAll(pairs.select(F.col("v").alias("key"))).distinct()
-    wanted = ends.join(sets.select("key", "id"), "key")
+def needed_texts(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and text of the sets in keys, one row each (equal rows of the input are one)."""
+    wanted = keys.distinct().join(sets.select("key", "id"), "key")
     rows = docs.filter(F.col("text").isNotNull()).select(common.text_key().alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
-    return rows.join(wanted, ["key", "id"]).select("key", "text")
+    return common.written(rows.join(wanted, ["key", "id"]).select("key", "text").dropDuplicates(["key"]), "texts")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = 0.9997, leaf: int = 2048, levels: int = LEVELS, slack: float = 0.11) -> DataFrame:
@@ -254,23 +306,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: f
     sets = common.written(sets, "sets")
     nodes = common.written(leaves(sets.select("key", "n", "s"), trees_for(least, recall), leaf, levels), "leaves")
     pairs = common.written(candidates(nodes, leaf, least, slack), "pairs")
-    # texts: a pair's two, each row of the input at most once; equal (key, id) rows are one
-    texts = common.written(needed_texts(docs, sets, pairs).dropDuplicates(["key"]), "texts")
+    texts = needed_texts(docs, sets, pairs.select(F.explode(F.array("u", "v")).alias("key")))
     links = common.written(confirmed(pairs, texts, size, percent), "links")
     common.discard(texts, pairs)
     part_of = common.written(components(links), "parts")
-    for most in (8, None):
-        labelled = nodes.join(part_of.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-        across = common.written(candidates(labelled.drop("component"), leaf, least, slack, most), "pairs")
-        if not across.take(1):
-            break
-        texts = common.written(needed_texts(docs, sets, across).dropDuplicates(["key"]), "texts")
-        more = common.written(confirmed(across, texts, size, percent), "links")
-        common.discard(texts, across)
-        if more.take(1):
-            links = links.unionAll(more)
-            part_of = common.written(components(links), "parts")
+    labelled = nodes.join(part_of.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
+    members = common.written(unsettled(labelled, leaf, least, slack), "unsettled")
     common.discard(nodes)
+    if members.take(1):
+        texts = needed_texts(docs, sets, members.select("key"))
+        more = common.written(settled(members, texts, size, percent, slack), "links")
+        common.discard(texts, members)
+        if more.take(1):
+            part_of = common.written(components(links.unionAll(more)), "parts")
     of = sets.join(part_of.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("part"))
     ids = of.groupBy("part").agg(F.min("rep").alias("component_id"))
     labels = of.join(ids, "part").select("key", "component_id")

@@ -40,8 +40,8 @@ OTHER = re.compile(f"[{_S}][{_S}]|[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u
 EDGE = re.compile(f"[{_S}]")
 #: A cut is safe at a lone space between two other characters.
 LONE = re.compile(f"(?<=[^{_S}]) (?=[^{_S}])")
-CACHE, LONGEST = 500_000, 40
-BLOCK = 8 << 20
+CACHE, LONGEST = 400_000, 40
+BLOCK = 4 << 20
 SHARD_IDS = 1 << 21
 MAGIC = "token-shard/1"
 
@@ -162,7 +162,7 @@ class Encoder:
         return out
 
 
-def piece_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, span: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def piece_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, span: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each piece (pieces follow each other without a gap); a span of bytes at a time."""
     one, two = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
     a = 0
