@@ -1,0 +1 @@
+"""The engine is a batch engine over one frozen table: it has no streaming operator of its own."""
