@@ -104,6 +104,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(docs: DataFrame, names: tuple[str, ...]):
+    """docs with columns of these names renamed, and a function that gives a result docs' own columns back."""
+    old = docs.columns
+    new = [f"__was_{c}" if c.lower() in names else c for c in old]
+    return docs.toDF(*new), lambda df: df.select(*[F.col(f"`{n}`").alias(o) for n, o in zip(new, old, strict=True)])
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as the empty text, whose crc32 is 0."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -198,4 +198,5 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in which no language is found go; the others keep their columns."""
     model = fit(learnable(docs))
-    return predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    docs, restore = common.apart(docs, ("lang_pred", "score", "mixture"))
+    return restore(predict(docs, model).filter(F.col("lang_pred") != UNKNOWN))

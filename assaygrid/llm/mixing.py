@@ -59,7 +59,7 @@ def mix(docs: DataFrame, share: str = "1.5", max_epochs: int = 2, seed: int = SE
     """docs with size, source_size, target, copies (whole and sampled repetitions) and taken (copies * size)."""
     spark = docs.sparkSession
     names = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*names)
+    docs = docs.drop(*names, "__rank", "__s")
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     bucket = F.substring("__rank", 1, BUCKET_DIGITS)
@@ -73,13 +73,13 @@ def mix(docs: DataFrame, share: str = "1.5", max_epochs: int = 2, seed: int = SE
     for s, t, full in zip(order, targets, clamped, strict=True):
         whole = max_epochs if full else int(t // totals[s]) if totals[s] else 0
         rows.append((s, totals[s], round(float(t), 6), whole, round(float(t - whole * totals[s]), 6)))
-    plan = spark.createDataFrame(rows, "s string, source_size long, target double, whole int, rest double")
+    plan = spark.createDataFrame(rows, "__s string, source_size long, target double, __whole int, __rest double")
     edges = boundaries(sized, buckets, plan, bucket)
-    full_plan = spark.createDataFrame([(*r, *edges.get(r[0], ("", -1))) for r in rows], plan.schema.add("edge_rank", "string").add("edge_size", "long"))
+    full_plan = spark.createDataFrame([(*r, *edges.get(r[0], ("", -1))) for r in rows], plan.schema.add("__edge_rank", "string").add("__edge_size", "long"))
     # one row for each source, all of which the driver has just seen
-    marked = docs.withColumns({"size": size, "__rank": rank}).join(F.broadcast(full_plan), F.col("source").cast("string").eqNullSafe(F.col("s")))
-    sampled = F.struct("__rank", "size") <= F.struct("edge_rank", "edge_size")
-    copies = F.col("whole") + sampled.cast("int")
+    marked = docs.withColumns({"size": size, "__rank": rank}).join(F.broadcast(full_plan), F.col("source").cast("string").eqNullSafe(F.col("__s")))
+    sampled = F.struct("__rank", "size") <= F.struct("__edge_rank", "__edge_size")
+    copies = F.col("__whole") + sampled.cast("int")
     return marked.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -90,7 +90,7 @@ def boundaries(sized: DataFrame, buckets: DataFrame, plan: DataFrame, bucket: Co
     """
     upto = F.sum("n").over(W.partitionBy("source").orderBy("bucket"))  # 4,096 rows a source
     running = buckets.select("source", "bucket", upto.alias("upto"), (upto - F.col("n")).alias("before"))
-    last = running.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).filter("before <= rest AND rest > 0").groupBy("source").agg(F.max_by(F.struct("bucket", "before", "rest"), "bucket").alias("e"))
+    last = running.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__s"))).withColumn("rest", F.col("__rest")).filter("before <= rest AND rest > 0").groupBy("source").agg(F.max_by(F.struct("bucket", "before", "rest"), "bucket").alias("e"))
     e = last.select(F.col("source").alias("s"), "e.*")
     inside = sized.join(F.broadcast(e), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))  # one row for each source
     through = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("__rank", "size"))
@@ -129,4 +129,5 @@ FROM o
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as many times as the mixture takes it, as rows of their own."""
-    return mix(docs).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    docs, restore = common.apart(docs, ("size", "source_size", "target", "copies", "taken"))
+    return restore(mix(docs).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))))

@@ -200,8 +200,8 @@ def remove(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and kept (the text that is left; null where it is unchanged)."""
     names = ("n_words", "n_removed", "kept_sha256", "kept")
     docs = docs.drop(*names, "__key")
-    cut = repeated(docs).dropDuplicates(["key"])
-    out = docs.withColumn("__key", common.text_key()).join(cut, F.col("__key") == F.col("key"), "left")
+    cut = repeated(docs.select("doc_id", "text")).dropDuplicates(["key"]).withColumnRenamed("key", "__cut")
+    out = docs.withColumn("__key", common.text_key()).join(cut, F.col("__key") == F.col("__cut"), "left")
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(*docs.columns, F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", F.lit(empty)).alias("kept_sha256"), "kept")
 
@@ -216,6 +216,5 @@ def op2_fm_index_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without the words that repeat elsewhere; unchanged texts stay as they are."""
-    out = remove(docs)
-    text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    docs, restore = common.apart(docs, ("n_words", "n_removed", "kept_sha256", "kept"))
+    return restore(remove(docs).withColumn("text", F.coalesce("kept", "text")))
