@@ -5,7 +5,8 @@ also starts anywhere else, in another document or in the same, is removed; windo
 
 1. Each window has an anchor: of its runs of ``run`` words, the one with the least hash (the leftmost of
    equals).  Equal windows have equal anchors, so only anchors that occur at least twice matter; one row
-   holds a stretch of windows with the same anchor.
+   holds a stretch of windows with the same anchor.  Rows of one anchor are dealt over ``SALTS`` parts, by
+   their place in the written table, so a very common anchor is counted and joined in many tasks.
 2. The stretch's words, a segment, go to the shard of its anchor.  Equal segments are summed before the
    shuffle and carry their number.  Where an anchor occurs more than ``hot`` times, each window is a segment
    of its own and goes to the shard of its own hash, so one very common passage is spread over all shards.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,6 +38,7 @@ from .words import hashed, runs
 
 WINDOW, RUN = 35, 6
 HOT = 4000
+SALTS = 32
 SHARD_WORDS = 400_000
 
 
@@ -169,9 +171,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     """One row for each distinct text of docs (doc_id, text): key, n_words, n_removed, kept_sha256, kept."""
     common.prepare(docs.sparkSession)
     keyed = docs.filter(F.col("text").isNotNull()).select(common.text_key().alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
-    found = common.written(keyed.select("key", "text").mapInArrow(_anchor_rows, "key binary, anchor long, a int, b int"), "anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1")
-    spots = found.join(again, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "a", "b", "total")).alias("spots"))  # at most a text's own stretches
+    found = keyed.select("key", "text").mapInArrow(_anchor_rows, "key binary, anchor long, a int, b int")
+    found = common.written(found.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("byte")), "anchors")
+    again = found.groupBy("anchor", "salt").count()
+    again = again.select("anchor", "salt", F.sum("count").over(Window.partitionBy("anchor")).alias("total")).filter("total > 1")
+    spots = found.join(again, ["anchor", "salt"]).groupBy("key").agg(F.collect_set(F.struct("anchor", "a", "b", "total")).alias("spots"))  # at most a text's own stretches
     spots = common.written(spots, "spots")
     common.discard(found)
     texts = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("id"))
