@@ -2,6 +2,7 @@
 
 {hex:x}        first 32 bits of md5(x) as a number: the engine's counter-based random stream, the same for any partitioning
 {explode:n}    one row for each of 0 ... n - 1
+{components:e} connected components (node, component) of the edges (u, v) in e; Spark takes them as a table made beforehand
 {cells:t:id}   long form of an array column "embedding": id, i (place), v (double)
 """
 
@@ -12,11 +13,13 @@ import re
 SPARK = {
     "hex": lambda x: f"CAST(conv(substr(md5({x}), 1, 8), 16, 10) AS BIGINT)",
     "explode": lambda n: f"explode(sequence(0, {n} - 1))",
+    "components": lambda e: f"{{components_{e}}}",
     "cells": lambda t, c: f"(SELECT {c}, i, CAST(v AS DOUBLE) AS v FROM {t} LATERAL VIEW posexplode(embedding) x AS i, v)",
 }
 CHECK = {
     "hex": lambda x: f"CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)",
     "explode": lambda n: f"unnest(range(0, {n}))",
+    "components": lambda e: f"(WITH RECURSIVE b AS (SELECT u, v FROM {e} UNION SELECT v, u FROM {e}), reach(node, other) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM reach r JOIN b ON b.u = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node)",
     "cells": lambda t, c: f"(SELECT {c}, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM {t})",
 }
 

@@ -7,14 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 from ..functions.dialect import CHECK, SPARK, render
+from ..operators.graph import components
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 
 def reads(text: str) -> set[str]:
     """Names that a plan text reads from."""
-    return set(re.findall(r"\b(?:FROM|JOIN)\s+(?:\{cells:)?(\w+)", text))
+    return set(re.findall(r"\b(?:FROM|JOIN)\s+(?:\{\w+:)?(\w+)", text))
 
 
 class Catalogue:
@@ -44,7 +46,7 @@ class Catalogue:
         return list(dict.fromkeys(out))
 
     def text(self, name: str, macros: dict, base: Callable[[str], str] | None = None) -> str:
-        body = self.queries[name]
+        body = self.queries.get(name) or self.relations[name]
         own = self.needed(body)
         parts = [f"{n} AS ({self.relations[n]})" for n in own]
         if base:
@@ -53,7 +55,15 @@ class Catalogue:
         return render((f"WITH {', '.join(parts)} " if parts else "") + body, macros)
 
     def run(self, name: str) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: spark.sql(self.text(name, SPARK, lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def plan(name: str) -> DataFrame:
+                text = self.text(name, SPARK, lambda t: f"parquet.`{sf_dir}/{t}.parquet`")
+                tables = {t: components(plan(t[len("components_") :])) for t in set(re.findall(r"\{(components_\w+)\}", text))}
+                return spark.sql(text, **tables)
+
+            return plan(name)
+
+        return query
 
     def check_sql(self, name: str) -> str:
         return self.text(name, CHECK)
