@@ -7,12 +7,17 @@ the same paths.  A pair of similarity s meets in a child with probability 1 - (1
 number of levels with the fixed probability p = 1 - ((1 - s) / s)**2 (0.94 at 0.8): ``trees`` are as many as
 the target recall asks, 1 - (1 - p)**trees.  Nodes of up to ``leaf`` sets are compared exhaustively, by
 sketch; larger ones branch on, unless few different tokens stand in them: such a node holds near copies, which no
-path splits.  It is compared in overlapping blocks of sets that stand together in an order of sketches of the
-node's own, each block together with the node's leader, as is what is still large at the last level.
+path splits.
 
 Comparing has two rounds.  First one partner of each set in its node is confirmed on the full sets and the
-links are joined to components.  Then sets with candidates in other components of their node come to it with
-their texts, and all those candidates are tried there on the full sets, as long as their components differ.
+links are joined to components.  Here a node larger than ``leaf``, one of near copies or one still large at the
+last level, is compared in overlapping blocks of sets that stand together in an order of sketches of the node's
+own, each block together with its first set; a node of more than ``DEAL`` leaves is dealt over tasks by hash.
+Then sets with candidates in other components of their node come to it with their texts, and all those
+candidates are tried there on the full sets, as long as their components differ.  In a node larger than
+``leaf`` each set outside the node's largest component is compared with every set of the node, in cells of about
+``leaf`` rows; two sets of the largest component are joined already.  So no link between sets of a node is lost,
+and the work is the number of sets outside the largest component times the number of sets.
 Only confirmed links leave a node: a group of thousands of near copies never becomes rows for all its pairs.
 
 A set's key is that of its text; equal texts are one row until the end.
@@ -40,6 +45,8 @@ from .words import hashed, mixed, runs
 SKETCH = 128
 BRANCH = 2
 LEVELS = 4
+#: A first-round task holds about so many leaves of one node.
+DEAL = 8
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -95,7 +102,7 @@ def _branches(node: Column) -> Column:
 
 
 def leaves(sets: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
-    """node, key, n, s: the members of every node that is not branched further; single members are left out."""
+    """node, key, n, s, members: the members of every node that is not branched further; single members are left out."""
     roots = sets.select("key", "n", "s", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])).alias("node"))
     done = None
     for level in range(levels):
@@ -122,20 +129,23 @@ def leaves(sets: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
             final = more
         else:
             final = more.join(loose, "node", "left_anti")
-        small = final.drop("members")
-        done = small if done is None else done.unionByName(small)
+        done = final if done is None else done.unionByName(final)
         if final is more:
             break
         roots = large.join(loose, "node", "left_semi").drop("members")
     return done
 
 
-def similar(n: np.ndarray, sk: np.ndarray, least: float, slack: float) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For runs of rows a ... b - 1 of a node: how many sketch values each pair shares, -1 where it is no candidate."""
+def similar(n: np.ndarray, sk: np.ndarray, least: float, slack: float, asking: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For runs of rows a ... b - 1 of a node: how many sketch values each shares with every row, -1 where a pair is no candidate.
+
+    With ``asking``, only the first so many rows are compared with all rows.
+    """
     size = len(n)
+    asking = size if asking is None else asking
     columns = [np.ascontiguousarray(sk[:, j]) for j in range(SKETCH)]
-    for a in range(0, size, 256):
-        b = min(size, a + 256)
+    for a in range(0, asking, 256):
+        b = min(asking, a + 256)
         same = np.zeros((b - a, size), dtype=np.int16)
         for col in columns:
             same += col[a:b, None] == col[None, :]
@@ -155,22 +165,24 @@ def partners(keys: list[bytes], n: np.ndarray, sk: np.ndarray, least: float, sla
     return out
 
 
-def across(n: np.ndarray, sk: np.ndarray, part: np.ndarray, least: float, slack: float) -> np.ndarray:
-    """Whether each set has a candidate in another component of its node."""
+def across(n: np.ndarray, sk: np.ndarray, part: np.ndarray, asking: int, least: float, slack: float) -> np.ndarray:
+    """Whether each set is in a candidate pair of an asking set and a set of another component."""
     out = np.zeros(len(n), dtype=bool)
-    for a, b, est in similar(n, sk, least, slack):
-        out[a:b] = ((est >= 0) & (part[a:b, None] != part[None, :])).any(axis=1)
+    for a, b, est in similar(n, sk, least, slack, asking):
+        pair = (est >= 0) & (part[a:b, None] != part[None, :])
+        out[a:b] |= pair.any(axis=1)
+        out |= pair.any(axis=0)
     return out
 
 
-def confirm_node(sets: list[np.ndarray], n: np.ndarray, sk: np.ndarray, part: np.ndarray, least: float, slack: float, percent: int) -> list[tuple[int, int]]:
-    """Links between different components of a node, all candidates tried on the full sets; no more links than join them."""
+def confirm_node(sets: list[np.ndarray], n: np.ndarray, sk: np.ndarray, part: np.ndarray, asking: int, least: float, slack: float, percent: int) -> list[tuple[int, int]]:
+    """Links of the first ``asking`` sets to other components, all candidates tried on the full sets; no more links than join them."""
     lens = np.array([len(x) for x in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.cumsum(lens) - lens
     mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
     part, links = part.copy(), []
-    for a, b, est in similar(n, sk, least, slack):
+    for a, b, est in similar(n, sk, least, slack, asking):
         for i in range(a, b):
             j = np.flatnonzero((est[i - a] >= 0) & (part != part[i]))
             j = j[j > i]
@@ -189,49 +201,47 @@ def confirm_node(sets: list[np.ndarray], n: np.ndarray, sk: np.ndarray, part: np
     return links
 
 
-def node_runs(batches: Iterator[pa.RecordBatch], keys: int, leaf: int | None) -> Iterator[tuple[list[tuple], int]]:
-    """Rows of one node after the other (the first ``keys`` columns name it), in key order, and the number of its block.
+def node_runs(batches: Iterator[pa.RecordBatch], keys: int, leaf: int | None, at: int) -> Iterator[list[tuple]]:
+    """Rows of one node after the other (the first ``keys`` columns name it), in order of column ``at``.
 
     With ``leaf``, a node of more rows comes in overlapping blocks, each with the node's first row.
     """
-    node, leader, rows, block = None, None, [], 0
+    node, leader, rows = None, None, []
 
     def ordered() -> list[tuple]:
         # a hash's order, alike in all nodes, so that a group's first member is mostly the same one
-        return sorted(rows, key=lambda r: r[keys])
+        return sorted(rows, key=lambda r: r[at])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:keys] != node:
                 if len(rows) > 1:
-                    yield ordered(), block
-                node, leader, rows, block = row[:keys], row, [], 0
+                    yield ordered()
+                node, leader, rows = row[:keys], row, []
             elif leaf and len(rows) >= leaf:
-                yield ordered(), block
-                rows, block = [leader, *rows[-(leaf // 4) :]], block + 1
+                yield ordered()
+                rows = [leader, *rows[-(leaf // 4) :]]
             rows.append(row)
     if len(rows) > 1:
-        yield ordered(), block
+        yield ordered()
 
 
 def _sketches(rows: list[tuple], at: int) -> np.ndarray:
     return np.frombuffer(b"".join(r[at] for r in rows), "<u4").reshape(-1, SKETCH)
 
 
-def in_nodes(nodes: DataFrame) -> DataFrame:
-    turned = F.expr(f"substring(s, 4 * pmod(node, {SKETCH}) + 1)")  # a node's order begins at a coordinate of its own
-    return nodes.repartition("node").sortWithinPartitions("node", turned, "key")
-
-
 def candidates(nodes: DataFrame, leaf: int, least: float, slack: float) -> DataFrame:
-    """First-round pairs (u, v) of keys from nodes (node, key, n, s)."""
+    """First-round pairs (u, v) of keys from nodes (node, key, n, s, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in node_runs(batches, 1, leaf):
-            pairs = sorted(partners([r[1] for r in rows], np.array([r[2] for r in rows]), _sketches(rows, 3), least, slack))
+        for rows in node_runs(batches, 2, leaf, 2):
+            pairs = sorted(partners([r[2] for r in rows], np.array([r[3] for r in rows]), _sketches(rows, 4), least, slack))
             yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in pairs], pa.binary()), "v": pa.array([v for _, v in pairs], pa.binary())})
 
-    return in_nodes(nodes.select("node", "key", "n", "s")).mapInArrow(run, "u binary, v binary").distinct()
+    deal = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("members") / (DEAL * leaf))).alias("deal")
+    turned = F.expr(f"substring(s, 4 * pmod(node, {SKETCH}) + 1)")  # a node's order begins at a coordinate of its own
+    rows = nodes.select("node", deal, "key", "n", "s").repartition("node", "deal").sortWithinPartitions("node", "deal", turned, "key")
+    return rows.mapInArrow(run, "u binary, v binary").distinct()
 
 
 def _numbers(values: list) -> np.ndarray:
@@ -239,31 +249,59 @@ def _numbers(values: list) -> np.ndarray:
     return np.array([names[v] for v in values])
 
 
-def unsettled(nodes: DataFrame, leaf: int, least: float, slack: float) -> DataFrame:
-    """Members of nodes (node, key, n, s, part) that have a candidate in another component there, with the block they stand in."""
+def cells(labelled: DataFrame, sets: DataFrame, leaf: int) -> DataFrame:
+    """node, cell, asks, key, n, s, part from labelled (node, key, part): rows to compare, for nodes of several components.
+
+    A node of up to ``leaf`` sets is one cell, in which every row asks.  In a larger one the sets outside its
+    largest component ask: cell (i, j) holds block i of the asking rows and block j of all rows.
+    """
+    per = labelled.groupBy("node", "part").agg(F.count("*").alias("c"))
+    sizes = per.groupBy("node").agg(F.sum("c").alias("m"), F.max(F.struct("c", "part")).alias("top")).filter("top.c < m")
+    half = max(1, leaf // 2)
+    large = F.col("m") > leaf
+    sizes = sizes.select("node", F.col("top.part").alias("main"), large.alias("large"), F.ceil((F.col("m") - F.col("top.c")) / half).cast("int").alias("across"), F.ceil(F.col("m") / half).cast("int").alias("down"))
+    rows = labelled.join(sizes, "node").join(sets.select("key", "n", "s"), "key")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("key", "node"), F.col("across")).cast("int")).withColumn("j", F.pmod(F.xxhash64("node", "key"), F.col("down")).cast("int")).withColumn("out", F.col("part") != F.col("main"))
+    asked = F.expr("transform(filter(sequence(0, across - 1), x -> NOT out OR x <> i), x -> struct(x AS i, j AS j, false AS asks))")
+    asking = F.expr("CASE WHEN out THEN transform(sequence(0, down - 1), x -> struct(i AS i, x AS j, true AS asks)) ELSE array() END")
+    one = F.expr("array(struct(0 AS i, 0 AS j, true AS asks))")
+    return rows.select("node", "key", "n", "s", "part", F.explode(F.when(F.col("large"), F.concat(asked, asking)).otherwise(one)).alias("at")).select("node", F.struct("at.i", "at.j").alias("cell"), "at.asks", "key", "n", "s", "part")
+
+
+def _asking_first(rows: list[tuple]) -> tuple[list[tuple], int]:
+    rows = sorted(rows, key=lambda r: not r[3])
+    return rows, sum(r[3] for r in rows)
+
+
+def unsettled(dealt: DataFrame, least: float, slack: float) -> DataFrame:
+    """Rows of cells that are in a candidate pair of different components there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in node_runs(batches, 1, leaf):
-            part = _numbers([r[4] for r in rows])
-            if not part.any():
+        for rows in node_runs(batches, 3, None, 4):
+            rows, asking = _asking_first(rows)
+            part = _numbers([r[7] for r in rows])
+            if not asking or not part.any():
                 continue
-            keep = [r for r, ok in zip(rows, across(np.array([r[2] for r in rows]), _sketches(rows, 3), part, least, slack), strict=True) if ok]
-            node, key, n, s, name = zip(*keep, strict=True) if keep else ([],) * 5
-            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "block": pa.array([block] * len(keep), pa.int32()), "key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int64()), "s": pa.array(s, pa.binary()), "part": pa.array(name, pa.binary())})
+            keep = [r for r, ok in zip(rows, across(np.array([r[5] for r in rows]), _sketches(rows, 6), part, asking, least, slack), strict=True) if ok]
+            columns = zip(*keep, strict=True) if keep else ([],) * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "i", "j", "asks", "key", "n", "s", "part"])
 
-    return in_nodes(nodes.select("node", "key", "n", "s", "part")).mapInArrow(run, "node long, block int, key binary, n long, s binary, part binary")
+    rows = dealt.select("node", "cell.i", "cell.j", "asks", "key", "n", "s", "part")
+    rows = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return rows.mapInArrow(run, "node long, i int, j int, asks boolean, key binary, n long, s binary, part binary")
 
 
 def settled(members: DataFrame, texts: DataFrame, size: int, percent: int, slack: float) -> DataFrame:
-    """Links (u, v) between components, from all candidates of the members' nodes, on the full sets."""
+    """Links (u, v) between components, from all candidates of the members' cells, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in node_runs(batches, 2, None):
-            links = confirm_node(shingle_sets([r[6] for r in rows], size), np.array([r[3] for r in rows]), _sketches(rows, 4), _numbers([r[5] for r in rows]), percent / 100, slack, percent)
-            yield pa.RecordBatch.from_pydict({"u": pa.array([rows[i][2] for i, _ in links], pa.binary()), "v": pa.array([rows[j][2] for _, j in links], pa.binary())})
+        for rows in node_runs(batches, 3, None, 4):
+            rows, asking = _asking_first(rows)
+            links = confirm_node(shingle_sets([r[8] for r in rows], size), np.array([r[5] for r in rows]), _sketches(rows, 6), _numbers([r[7] for r in rows]), asking, percent / 100, slack, percent)
+            yield pa.RecordBatch.from_pydict({"u": pa.array([rows[i][4] for i, _ in links], pa.binary()), "v": pa.array([rows[j][4] for _, j in links], pa.binary())})
 
-    rows = members.join(texts, "key").select("node", "block", "key", "n", "s", "part", "text")
-    return rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "u binary, v binary")
+    rows = members.join(texts, "key").select("node", "i", "j", "asks", "key", "n", "s", "part", "text")
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(run, "u binary, v binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -310,9 +348,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: f
     links = common.written(confirmed(pairs, texts, size, percent), "links")
     common.discard(texts, pairs)
     part_of = common.written(components(links), "parts")
-    labelled = nodes.join(part_of.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    members = common.written(unsettled(labelled, leaf, least, slack), "unsettled")
+    labelled = nodes.select("node", "key").join(part_of.withColumnRenamed("node", "key"), "key", "left").select("node", "key", F.coalesce("component", "key").alias("part"))
+    labelled = common.written(labelled, "labelled")
     common.discard(nodes)
+    members = common.written(unsettled(cells(labelled, sets, leaf), least, slack), "unsettled")
+    common.discard(labelled)
     if members.take(1):
         texts = needed_texts(docs, sets, members.select("key"))
         more = common.written(settled(members, texts, size, percent, slack), "links")

@@ -199,6 +199,35 @@ def test_near_duplicates(docs, none, leaf):
     assert out.columns == docs.columns and len(kept) == len(set(kept)) and {60, 61, 62} <= set(kept) and not {65, 66} & set(kept)
 
 
+@pytest.mark.parametrize("deal", [8, 1])
+def test_large_nodes_lose_no_link(spark, deal, monkeypatch):
+    """A group much larger than a node may be, with documents that hang on by one link, and others that share a passage with it."""
+    monkeypatch.setattr(minhash, "DEAL", deal)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(100)]
+    made = [base]
+    for _ in range(399):
+        t = list(base if rng.random() < 0.6 else rng.choice(made))
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            t[rng.randrange(len(t))] = word()
+        made.append(t)
+    made += [base[: rng.randrange(20, 90)] + [word() for _ in range(rng.randrange(5, 80))] for _ in range(150)]
+    texts = [" ".join(t) for t in made]
+    names, sets = {}, [shingles(t, 4) for t in texts]
+    has = np.zeros((len(sets), sum(map(len, sets))), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [names.setdefault(g, len(names)) for g in x]] = 1
+    shared, n = has @ has.T, has.sum(1)
+    link = 100 * shared >= 80 * (n[:, None] + n[None, :] - shared)
+    want, before = np.arange(len(texts)), None
+    while before is None or (want != before).any():
+        before, want = want, np.array([want[row].min() for row in link])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, size=4, leaf=16).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
