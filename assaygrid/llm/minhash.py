@@ -113,12 +113,13 @@ def leaves(sets: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
             placed = common.written(placed.select("node", "key"), "paths")
         else:
             placed = common.written(placed, "paths")
-        counts = placed.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
+        # written, so that the join is of two plain exchanges, which can be split at a hot node
+        counts = common.written(placed.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
         more = placed.join(counts, "node")
         if level == 0:
             more = more.join(sets, "key").select("node", "key", "n", "s", "members")
         more = common.written(more, "nodes")
-        common.discard(placed)
+        common.discard(placed, counts)
         large = more.filter(F.col("members") > leaf)
         loose = []
         if level < levels - 1:  # a node in which few tokens stand at the coordinates holds near copies: no path splits it
@@ -260,6 +261,7 @@ def cells(labelled: DataFrame, sets: DataFrame, leaf: int) -> DataFrame:
     half = max(1, leaf // 2)
     large = F.col("m") > leaf
     sizes = sizes.select("node", F.col("top.part").alias("main"), large.alias("large"), F.ceil((F.col("m") - F.col("top.c")) / half).cast("int").alias("across"), F.ceil(F.col("m") / half).cast("int").alias("down"))
+    sizes = common.written(sizes, "sizes")
     rows = labelled.join(sizes, "node").join(sets.select("key", "n", "s"), "key")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("key", "node"), F.col("across")).cast("int")).withColumn("j", F.pmod(F.xxhash64("node", "key"), F.col("down")).cast("int")).withColumn("out", F.col("part") != F.col("main"))
     asked = F.expr("transform(filter(sequence(0, across - 1), x -> NOT out OR x <> i), x -> struct(x AS i, j AS j, false AS asks))")
