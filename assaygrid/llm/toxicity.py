@@ -5,7 +5,7 @@ document's score is the noisy-or of its sentences, 1 - prod(1 - p).  Weights are
 noisy-or from document labels alone, after which the sentence scores locate the offending sentences.
 
 Features are a word's lower-case letters whole and its prefixes of 3 to 6 letters, hashed; the features
-used are those seen more often in documents of one label than chance explains.  Training takes about
+used are those seen more often in toxic documents than chance explains, by one rule at every sample size.  Training takes about
 ``texts_per_class`` labelled documents of each class (a documented bound); scoring covers every row and
 every whole text.
 
@@ -96,8 +96,12 @@ def score_text(model: BagModel, words: WordScores, text: str | None) -> tuple[fl
     return float(min(1.0, max(0.0, 1 - np.exp(clean)))), hits
 
 
-def train(bags: list[list[np.ndarray]], labels: np.ndarray, rounds: int = 300, decay: float = 2e-4) -> BagModel:
-    """Weights by gradient ascent (Adam) on the noisy-or likelihood; a bag: per sentence its selected features."""
+def train(bags: list[list[np.ndarray]], labels: np.ndarray, rounds: int = 300, decay: float = 0.04) -> BagModel:
+    """Weights by gradient ascent (Adam) on the noisy-or likelihood; a bag: per sentence its selected features.
+
+    The likelihood is a mean over documents, so the decay is divided by their number: a word of a few documents
+    then counts alike in a small and in a large sample.
+    """
     prior = float(labels.mean()) if len(labels) else 0.0
     if not len(labels) or labels.min() == labels.max():
         return BagModel(prior=prior)
@@ -118,20 +122,19 @@ def train(bags: list[list[np.ndarray]], labels: np.ndarray, rounds: int = 300, d
         # d loglik / dz = p * (y - P) / P
         g = p * ((labels - bag) / bag * weight)[doc]
         grad = np.append(np.bincount(flat, weights=g[sent], minlength=len(vocab)), g.sum())
-        grad[:-1] -= decay * w[:-1] / max(1, len(vocab)) ** 0.5
+        grad[:-1] -= decay / len(labels) * w[:-1] / max(1, len(vocab)) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     keep = {int(k): float(x) for k, x in zip(vocab, w[:-1], strict=True) if abs(x) > 1e-3}
     return BagModel(keep, float(w[-1]), prior, True)
 
 
-def select(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, most: int = 3000) -> set[int]:
-    """Features whose document counts differ between the labels by more than five standard errors (three where counts are small)."""
+def select(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> set[int]:
+    """Features whose document counts differ between the labels by more than three standard errors, at every sample size."""
     a, b = toxic / max(1, n_toxic), clean / max(1, n_clean)
     both = (toxic + clean) / max(1, n_toxic + n_clean)
     z = (a - b) / np.sqrt(both * (1 - both) * (1 / max(1, n_toxic) + 1 / max(1, n_clean)) + 1e-12)
-    found = np.flatnonzero((np.abs(z) > (4.5 if n_toxic > 300 else 3.0)) & (toxic >= 2) & (a > 4 * b))
-    return set(found[np.argsort(-np.abs(z[found]), kind="stable")][:most].tolist())
+    return set(np.flatnonzero((z > 3.0) & (toxic >= 2) & (a > 4 * b)).tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, texts_per_class: int = 6000, seed: int = 7, label: str = "toxic", folds: int = 8) -> BagModel:

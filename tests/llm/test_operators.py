@@ -305,6 +305,18 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.predict(docs, blank).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("n", [200, 300, 301, 6000])
+def test_toxic_words_count_alike_at_every_size(n):
+    """A word of 9 toxic documents alone is selected and learned beside a common one; chance words are not."""
+    z = lambda k, c: toxicity.select(np.array([c]), np.array([k]), n, n) == {0}
+    assert z(9, 0) and z(12, 0) and z(30, 5) and not z(8, 0) and not z(1, 0) and not z(9, 9)
+    assert len(toxicity.select(np.zeros(5000, int), np.full(5000, 9), n, n)) == 5000
+    bags = [[np.array([], np.int64), np.array([2 if i < 9 else 1])] for i in range(n)] + [[np.array([], np.int64)]] * n
+    model = toxicity.train(bags, np.repeat([1, 0], n))
+    score = lambda *w: 1 - np.prod([1 - toxicity.sigmoid(model.bias + sum(model.weights.get(x, 0) for x in s)) for s in w])
+    assert score([], [2]) >= 0.7 and score([], [1]) >= 0.7 and score([], []) < 0.3
+
+
 def test_quality(spark):
     docs, labels = labelled(spark, lambda t, r: " ".join(w.upper() + "!!" for w in t.split()))
     model = quality.fit(docs, labels.withColumn("y", 1 - labels.y).filter(common.id_crc() % 5 != 0), label="y")
