@@ -43,6 +43,26 @@ SELECT estimand, family, count(*) AS n_cells, sum(CASE WHEN effect > 0 THEN 1 EL
 C.query("cell_status_histogram", """
 SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED'), ('FAILED'), ('SKIPPED'), ('PENDING')) AS v(status)
 LEFT JOIN (SELECT 'SUCCESS' AS status, count(DISTINCT cell) AS n FROM grid) g ON g.status = v.status""")
+# The texts above hold where every family has hits on every side; Spark runs these, over all cells and the union of families.
+C.relation("cell_status", """
+SELECT s.*, nq.n AS nq, nc.n AS nc, CASE WHEN nq.n > 0 AND nc.n > 0 THEN 'SUCCESS' ELSE 'REFUSED' END AS status
+FROM cell_sides s LEFT JOIN side_n nq ON nq.side = s.qs LEFT JOIN side_n nc ON nc.side = s.cs""")
+C.relation("families", """
+SELECT family, max(listed) AS listed FROM (SELECT family, 1 AS listed FROM side_family UNION ALL SELECT p_type AS family, 0 AS listed FROM part WHERE p_type IS NOT NULL) u GROUP BY family""")
+C.relation("whole_grid", """
+SELECT s.cell, s.estimand, s.status, f.family, f.listed, CASE WHEN q.family IS NULL AND c.family IS NULL THEN 0 ELSE 1 END AS searched,
+       CASE WHEN s.status = 'SUCCESS' AND coalesce(q.n, 0) + coalesce(c.n, 0) > 0 THEN
+         coalesce(CASE s.measure WHEN 'signed' THEN q.signed WHEN 'mass' THEN q.mass ELSE q.n END, 0) / s.nq - coalesce(CASE s.measure WHEN 'signed' THEN c.signed WHEN 'mass' THEN c.mass ELSE c.n END, 0) / s.nc END AS effect
+FROM cell_status s CROSS JOIN families f LEFT JOIN side_family q ON q.side = s.qs AND q.family = f.family LEFT JOIN side_family c ON c.side = s.cs AND c.family = f.family""")
+C.spark("grid_effects", "SELECT cell, family, round(effect, 9) AS effect FROM whole_grid")
+C.spark("family_cell_states", """
+SELECT cell, family, CASE WHEN status <> 'SUCCESS' THEN 'CELL_REFUSED' WHEN listed = 0 THEN 'NOT_IN_LEXICON' WHEN searched = 0 THEN 'NOT_SEARCHED'
+  WHEN effect IS NULL THEN 'NOT_ESTIMABLE' WHEN round(effect, 12) = 0 THEN 'MEASURED_ZERO' ELSE 'ESTIMATED' END AS state FROM whole_grid""")
+C.spark("stability_within_estimand", """
+SELECT estimand, family, count(*) AS n_cells, sum(CASE WHEN effect > 0 THEN 1 ELSE 0 END) AS n_positive, sum(CASE WHEN effect < 0 THEN 1 ELSE 0 END) AS n_negative, round(min(effect), 9) AS least, round(median(effect), 9) AS middle, round(max(effect), 9) AS most FROM whole_grid WHERE effect IS NOT NULL GROUP BY estimand, family""")
+C.spark("cell_status_histogram", """
+SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED'), ('FAILED'), ('SKIPPED'), ('PENDING')) AS v(status)
+LEFT JOIN (SELECT status, count(*) AS n FROM cell_status GROUP BY status) g ON g.status = v.status""")
 C.query("guard_battery", """
 SELECT 'four_states' AS guard, count(*) = 0 AS passed FROM hits WHERE state NOT IN ('not_searched', 'no_sequence_match', 'hit_below_floor', 'used')
 UNION ALL SELECT 'coordinates' AS guard, count(*) = 0 AS passed FROM hits WHERE start_bp >= end_bp

@@ -25,6 +25,7 @@ class Catalogue:
     def __init__(self):
         self.relations: dict[str, str] = {}
         self.queries: dict[str, str] = {}
+        self.whole: dict[str, str] = {}
 
     def relation(self, name: str, text: str) -> None:
         self.relations[name] = text.strip()
@@ -32,6 +33,10 @@ class Catalogue:
     def query(self, name: str, text: str) -> None:
         self.queries[name] = text.strip()
 
+    def spark(self, name: str, text: str) -> None:
+        """The text that Spark runs for a query whose checking SQL covers only part of the inputs."""
+        self.whole[name] = text.strip()
+
     def needed(self, text: str) -> list[str]:
         """The relations that a text reads, each after those it reads itself."""
         out: list[str] = []
@@ -46,7 +51,7 @@ class Catalogue:
         return list(dict.fromkeys(out))
 
     def text(self, name: str, macros: dict, base: Callable[[str], str] | None = None) -> str:
-        body = self.queries.get(name) or self.relations[name]
+        body = (base and self.whole.get(name)) or self.queries.get(name) or self.relations[name]
         own = self.needed(body)
         parts = [f"{n} AS ({self.relations[n]})" for n in own]
         if base:

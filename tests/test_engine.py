@@ -79,3 +79,55 @@ def test_region_sets(spark, tmp_path):
     (tmp_path / "e.bed").write_text("\n")
     with pytest.raises(Refusal):
         read_regions(spark, str(tmp_path / "e.bed"))
+
+
+@pytest.mark.parametrize("sides", ["FOP", "OP"])
+def test_grid_keeps_families_of_one_side(spark, tmp_path, sides):
+    """Families on one side, on no side of a contrast, without a used hit, without a row; and a side without regions."""
+    from assaygrid.plans.engine import QUERIES
+
+    on = {"F": [("A", 0.1), ("B", 0.1), ("D", 0.0)], "O": [("A", 0.1), ("C", 0.1), ("D", 0.0)], "P": [("E", 0.1)]}
+    orders = [(i, "c", side) for i, side in enumerate(sides * 2)]
+    lines = [(i, "ABCDEX".index(f), n, 1000.0 * (n + 1) * (1 + (side == "O")), d, "R" if f == "B" else "N") for i, _, side in orders[: len(sides)] for n, (f, d) in enumerate(on[side])]
+    lines += [(i, 0, 0, 1000.0, 0.1, "N") for i, _, side in orders[len(sides) :] if side != "P"]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_discount double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, f, "b") for i, f in enumerate("ABCDEX")], "p_partkey long, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    side_of = {i: side for i, _, side in orders}
+    searched = {side: sum(side_of[i] == side and (side != "P" or any(x[0] == i for x in lines)) for i in side_of) for side in "FOP"}
+    in_table = {"ABCDEX"[x[1]] for x in lines}
+    states, effects = {}, {}
+    for estimand in ("F_vs_O", "O_vs_F", "F_vs_P"):
+        q, c = estimand[0], estimand[-1]
+        for measure in ("signed", "mass", "count"):
+            for f in "ABCDEX":
+                own = {side: [x for x in lines if side_of[x[0]] == side and "ABCDEX"[x[1]] == f] for side in (q, c)}
+                value = lambda x: {"signed": -1 if x[5] == "R" else 1, "mass": 1}[measure] * x[3] * (1 - x[4]) / 1000 if measure != "count" else 1  # noqa: B023, E731
+                used = {side: [value(x) for x in own[side] if x[4] >= 0.02] for side in own}
+                effect = None
+                if not (searched[q] and searched[c]):
+                    state = "CELL_REFUSED"
+                elif f not in in_table:
+                    state = "NOT_IN_LEXICON"
+                elif not (own[q] or own[c]):
+                    state = "NOT_SEARCHED"
+                elif not (used[q] or used[c]):
+                    state = "NOT_ESTIMABLE"
+                else:
+                    effect = sum(used[q]) / searched[q] - sum(used[c]) / searched[c]
+                    state = "ESTIMATED" if abs(effect) > 1e-12 else "MEASURED_ZERO"
+                key = (f"{estimand}/{measure}", f)
+                states[key], effects[key] = state, effect
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.cell, r.family): r.state for r in run("family_cell_states")} == states
+    got = {(r.cell, r.family): r.effect for r in run("grid_effects")}
+    assert got.keys() == effects.keys() and all(got[k] == (v if v is None else pytest.approx(v, abs=1e-8)) for k, v in effects.items())
+    by = {}
+    for (cell, f), v in effects.items():
+        if v is not None:
+            by.setdefault((cell.split("/")[0], f), []).append(v)
+    assert {(r.estimand, r.family): (r.n_cells, r.n_positive, r.n_negative) for r in run("stability_within_estimand")} == {k: (len(v), sum(x > 1e-12 for x in v), sum(x < -1e-12 for x in v)) for k, v in by.items()}
+    status = {r.status: r.n_cells for r in run("cell_status_histogram")}
+    assert status == {"SUCCESS": 9 * (sides == "FOP"), "REFUSED": 9 * (sides != "FOP"), "FAILED": 0, "SKIPPED": 0, "PENDING": 0}
+    want = {"ESTIMATED", "MEASURED_ZERO", "NOT_ESTIMABLE", "NOT_SEARCHED", "NOT_IN_LEXICON"} if sides == "FOP" else {"CELL_REFUSED"}
+    assert set(states.values()) == want
