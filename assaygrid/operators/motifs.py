@@ -39,24 +39,55 @@ def reverse(m: np.ndarray) -> np.ndarray:
     return m[:, ::-1, ::-1]
 
 
-def registrations(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each pair of matrices (n, L, 4) the best cosine over both orientations and all offsets of at least ``least`` rows."""
+def ppm_cores(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cores of matrices (n, L, 4), moved to row 0 with zeros behind, as abs(v) / row sum; and their lengths."""
+    mass = np.abs(m).sum(2)
+    keep = mass >= TRIM * mass.max(1, keepdims=True)
+    start, end = keep.argmax(1), m.shape[1] - keep[:, ::-1].argmax(1)
+    at = start[:, None] + np.arange(m.shape[1])
+    inside, at = at < end[:, None], np.minimum(at, m.shape[1] - 1)
+    ppm = np.abs(m) / np.where(mass > 0, mass, 1)[:, :, None]
+    return np.where(inside[:, :, None], np.take_along_axis(ppm, at[:, :, None], 1), 0), end - start
+
+
+def registrations(a: np.ndarray, b: np.ndarray, least: int, flip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of matrices (n, L, 4) the best cosine of their cores' PPM over both orientations and all offsets.
+
+    An overlap has at least ``least`` rows and half of each core; a pair without one keeps -2.  Of equal scores the
+    first counts, '+' before '-', by ascending offset (by descending offset of '+' where ``flip``: the pair turned round).
+    """
+    (a, la), (b, lb) = ppm_cores(a), ppm_cores(b)
     n, m, size = len(a), len(b), a.shape[1]
+    floor = np.maximum(least, (np.maximum(la[:, None], lb[None, :]) + 1) // 2)
+    at = np.clip(lb[:, None] - 1 - np.arange(size), 0, None)
+    back = np.where((np.arange(size) < lb[:, None])[:, :, None], np.take_along_axis(b, at[:, :, None], 1)[:, :, ::-1], 0)
+    upto = lambda x: np.concatenate([np.zeros((len(x), 1)), np.cumsum((x**2).sum(2), 1)], 1)
     best, orient, shift, width = np.full((n, m), -2.0), np.zeros((n, m), int), np.zeros((n, m), int), np.zeros((n, m), int)
-    for o, other in enumerate((b, reverse(b))):
-        for d in sorted(range(-(size - least), size - least + 1), key=lambda d: (abs(d), d)):
-            x, y = a[:, max(0, d) : size + min(0, d)], other[:, max(0, -d) : size - max(0, d)]
+    i, j, na = np.arange(n)[:, None], np.arange(m)[None, :], upto(a)
+    for o, other in enumerate((b, back)):
+        nb = upto(other)
+        for d in range(-(size - least), size - least + 1):
+            s, e = max(0, d), np.minimum(la[:, None], lb[None, :] + d)
+            fits = e - s >= floor
+            if not fits.any():
+                continue
+            x, y = a[:, s : size + min(0, d)], other[:, max(0, -d) : size - s]
             dot = np.einsum("nij,mij->nm", x, y, optimize=True)
-            score = np.round(dot / np.maximum(np.sqrt((x**2).sum((1, 2)))[:, None] * np.sqrt((y**2).sum((1, 2)))[None, :], 1e-300), 9)
+            e = np.where(fits, e, s)
+            norm = np.sqrt(na[i, e] - na[:, s][:, None]) * np.sqrt(nb[j, e - d] - nb[:, s - d][None, :])
+            score = np.where(fits, np.round(dot / np.where(norm > 0, norm, 1), 9), -2)
             better = score > best
-            best[better], orient[better], shift[better], width[better] = score[better], o, d, size - abs(d)
+            if flip is not None and o == 0:
+                better |= flip & fits & (score == best)
+            best[better], orient[better], shift[better], width[better] = score[better], o, d, (e - s)[better]
     return best, orient, shift, width
 
 
-def register_pairs(vectors: DataFrame, least: int = 8, block: int = 256) -> DataFrame:
+def register_pairs(vectors: DataFrame, least: int = 6, block: int = 256) -> DataFrame:
     """Every pair of motifs with its best registration: source, target, orientation, offset, overlap, similarity.
 
-    All pairs are the operator's result.  Motifs are dealt into blocks by hash; pairs of blocks are joined by key,
+    Offsets count from the starts of the cores; pairs without an overlap of ``least`` rows and half of each core have
+    no row.  All other pairs are the operator's result.  Motifs are dealt into blocks by hash; pairs of blocks are joined by key,
     so a task holds two blocks and no more, and the number of tasks grows with the number of pairs.
     """
     n = vectors.count()
@@ -68,22 +99,24 @@ def register_pairs(vectors: DataFrame, least: int = 8, block: int = 256) -> Data
     def run(pdf):
         import pandas as pd
 
-        out = []
         first, second = pdf[~pdf.second], pdf[pdf.second]
         same = int(pdf.lo.iloc[0]) == int(pdf.hi.iloc[0])
         other = first if same else second
         if len(first) and len(other):
-            form = lambda x: np.abs(np.array(x.embedding.tolist(), dtype=np.float64).reshape(len(x), -1, 4))
+            form = lambda x: np.array(x.embedding.tolist(), dtype=np.float64).reshape(len(x), -1, 4)
             a, b = form(first), form(other)
-            best, orient, shift, width = registrations(a, b, least)
             s, t = first.node.to_numpy(), other.node.to_numpy()
-            i, j = np.nonzero(s[:, None] < t[None, :] if same else np.ones((len(s), len(t)), bool))
-            out = pd.DataFrame({"source": s[i], "target": t[j], "orientation": np.where(orient[i, j] == 0, "+", "-"), "offset": shift[i, j], "overlap": width[i, j], "similarity": best[i, j]})
-            swap = out.source > out.target
-            out.loc[swap, ["source", "target"]] = out.loc[swap, ["target", "source"]].to_numpy()
-            out.loc[swap & (out.orientation == "+"), "offset"] *= -1
-            return out
-        return pd.DataFrame({"source": [], "target": [], "orientation": [], "offset": [], "overlap": [], "similarity": []})
+            best, orient, shift, width = registrations(a, b, least, s[:, None] > t[None, :])
+            i, j = np.nonzero((best > -2) & (s[:, None] < t[None, :] if same else True))
+            longer = ppm_cores(b)[1][j] - ppm_cores(a)[1][i]
+            if len(i):
+                out = pd.DataFrame({"source": s[i], "target": t[j], "orientation": np.where(orient[i, j] == 0, "+", "-"), "offset": shift[i, j], "overlap": width[i, j], "similarity": best[i, j]})
+                swap = out.source > out.target
+                out.loc[swap, ["source", "target"]] = out.loc[swap, ["target", "source"]].to_numpy()
+                turned = np.where(orient[i, j] == 0, -out.offset, out.offset + longer)
+                out["offset"] = np.where(swap, turned, out.offset)
+                return out
+        return pd.DataFrame()
 
     return placed.groupBy("lo", "hi").applyInPandas(run, "source long, target long, orientation string, offset long, overlap long, similarity double")
 

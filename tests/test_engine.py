@@ -46,6 +46,48 @@ def test_pair_registration_by_brute_force(spark):
         assert abs(r.similarity - max(best[s, t], best[t, s])) < 2e-9
 
 
+def test_pair_registration_by_plain_loops(spark):
+    """Signed matrices with heavy rows and cores of 4 to 16 rows, against the rule written out pair by pair."""
+    from assaygrid.operators.motifs import register_pairs
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(14, 16, 4)) * rng.choice([1, 2], size=(14, 16, 1))
+    for k, (a, b) in enumerate([(0, 16), (3, 12), (5, 9), (0, 5), (2, 16), (6, 13), (1, 15)]):
+        m[k, :a], m[k, b:] = 0.01 * m[k, :a], 0.01 * m[k, b:]
+    m[9] = m[1][::-1, ::-1]
+    m[10] = 1.0  # every offset ties with itself
+    m[11] = 2.0
+    m[12, 4] = 0.0
+    m[13] = 0.0
+
+    def core(x):
+        mass = [sum(abs(v) for v in row) for row in x]
+        keep = [p for p, v in enumerate(mass) if v >= 0.3 * max(mass)]
+        return [[abs(v) / mass[p] if mass[p] else 0.0 for v in x[p]] for p in range(keep[0], keep[-1] + 1)]
+
+    cores, want = [core(x.tolist()) for x in m], {}
+    for s in range(len(m)):
+        for t in range(s + 1, len(m)):
+            a, best = cores[s], None
+            for sign, b in (("+", cores[t]), ("-", [row[::-1] for row in cores[t][::-1]])):
+                for d in range(1 - len(b), len(a)):
+                    rows = [(a[p], b[p - d]) for p in range(len(a)) if 0 <= p - d < len(b)]
+                    if len(rows) < 6 or 2 * len(rows) < len(a) or 2 * len(rows) < len(b):
+                        continue
+                    dot, p, q = (sum(x * y for u, v in f for x, y in zip(u, v, strict=True)) for f in (rows, [(u, u) for u, _ in rows], [(v, v) for _, v in rows]))
+                    score = round(dot / (p * q) ** 0.5, 9) if p and q else 0.0
+                    if best is None or score > best[3]:
+                        best = (sign, d, len(rows), score)
+            if best:
+                want[s, t] = best
+    df = spark.createDataFrame([(i, [float(v) for v in x.ravel()]) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    assert 40 < len(want) < 91 and len({len(c) for c in cores}) > 5
+    for block in (3, 256):
+        got = {(r.source, r.target): (r.orientation, r.offset, r.overlap, r.similarity) for r in register_pairs(df, block=block).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][:3] == w[:3] and abs(got[k][3] - w[3]) < 2e-9 for k, w in want.items()), [(k, got[k], w) for k, w in want.items() if got[k] != w][:5]
+
+
 def hit(**k):
     row = {"region_id": "r1", "chrom": "c", "start": 1, "end": 2, "variant_id": "v", "family_id": "f", "hit_coefficient": 0.5, "missingness": "used", "input_scale": 1, "lexicon_id": "L", "substrate_id": "s"}
     return row | k
