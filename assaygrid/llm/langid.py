@@ -94,7 +94,7 @@ def _em(p: np.ndarray, w: np.ndarray, pi: np.ndarray, doc: np.ndarray, first: np
     return pi
 
 
-def mixtures(model: MixtureModel, texts: list[str | None], rounds: int = 8, penalty: float = 4.0, max_langs: int = 4) -> list[np.ndarray | None]:
+def mixtures(model: MixtureModel, texts: list[str | None], rounds: int = 8, penalty: float = 4.0) -> list[np.ndarray | None]:
     """Language proportions of each text, None where it has no letter."""
     out: list[np.ndarray | None] = [None] * len(texts)
     k = len(model.langs)
@@ -117,7 +117,7 @@ def mixtures(model: MixtureModel, texts: list[str | None], rounds: int = 8, pena
         pi = _em(p, w, pi, doc, first, total, rounds)
         rank = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1, kind="stable")
         best, size = np.full(len(present), -np.inf), np.ones(len(present), dtype=int)
-        for n in range(1, min(k, max_langs) + 1):
+        for n in range(1, k + 1):
             some = np.where(rank < n, np.maximum(pi, 1e-6), 0)
             some /= some.sum(1, keepdims=True)
             fit = np.add.reduceat(np.log(np.maximum((p * some[doc]).sum(1), 1e-30)), first) - 0.5 * penalty * (n - 1) * np.log(words + 1)

@@ -45,6 +45,17 @@ def words(t):
     return (t or "").encode().split()
 
 
+def test_mixture_of_six_languages():
+    """Six languages with letters of their own, in equal parts, are all in the mixture; of one language, only it is."""
+    words = ["aba", "cdc", "efe", "ghg", "iji", "klk"]
+    counts = np.zeros((1 << 17, 6))
+    for k, w in enumerate(words):
+        counts[:, k] += np.bincount(langid.trigrams(np.frombuffer(w.encode(), np.uint8), 17)[1], minlength=1 << 17)
+    model = langid.MixtureModel(words, np.log((100 * counts + 0.02) / (100 * counts + 0.02).sum(0)).astype(np.float32))
+    mixed, plain = langid.mixtures(model, [" ".join(words * 40), " ".join(words[:1] * 40)])
+    assert np.allclose(mixed, 1 / 6, atol=0.01) and np.flatnonzero(plain).tolist() == [0]
+
+
 def test_language(docs, none):
     model = langid.fit(langid.learnable(docs))
     got = {(r.doc_id, r.text): r for r in langid.predict(docs, model).collect()}
