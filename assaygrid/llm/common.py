@@ -16,18 +16,25 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch sent to Python: texts can be long, so batches hold few rows.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch sent to Python: texts can be long, so batches are small.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors (once per context) and keep Arrow batches small."""
+    """Send this package to the executors (once per context) and keep Arrow batches small.
+
+    The two settings of the session stay lowered: plans are made when the caller runs the result, not here.
+    """
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, str(most + 1))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -125,7 +132,8 @@ def bounded_sample(df: DataFrame, by: str, at_most: int, key: Column, seed: int)
     """Rows whose seeded hash is among the smallest of their class, about at_most for each value of ``by``.
 
     A fraction is fixed from the class's own count, so the sample stays bounded as the input grows, and a
-    class with at most at_most rows is kept whole.
+    class with at most at_most rows is kept whole.  Rows of one key are drawn together; where such a key is
+    hot, the class is cut to twice at_most rows.
     """
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
     cut = None
@@ -133,4 +141,10 @@ def bounded_sample(df: DataFrame, by: str, at_most: int, key: Column, seed: int)
         share = min(1.0, at_most / n)
         cond = (F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_003)) < F.lit(round(share * 1_000_003)))
         cut = cond if cut is None else cut | cond
-    return df.filter(cut if cut is not None else F.lit(False))
+    return at_most_of(df.filter(cut if cut is not None else F.lit(False)), by, 2 * at_most, seed)
+
+
+def at_most_of(df: DataFrame, by: str, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows of each value of ``by``: those of the smallest seeded hash (each task first drops its own surplus)."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])))
+    return df.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 4000, bits: int = 17, seed: int =
     """Trigram model of the languages in ``docs`` (columns doc_id, text, lang), from about docs_per_lang texts of each."""
     common.prepare(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sample = common.bounded_sample(known, "lang", docs_per_lang, F.col("doc_id"), seed).select("lang", "text")
+    sample = common.bounded_sample(known, "lang", docs_per_lang, F.xxhash64("doc_id", "text"), seed).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

@@ -7,8 +7,10 @@ dictionary trained on serialised id arrays and shared by all shards, so a short
 its offset.  Shards are the rows of a Parquet table (commit, retries and storage are Spark's), with the
 dictionary in a table beside them; ``read_document`` and ``export_shards`` work on single shards.
 
-The dictionary comes from about ``sample_docs`` documents (a documented bound).  Every text is encoded
-whole.  Order: ascending id, null ids first, equal ids by text.
+The dictionary comes from at most ``sample_docs`` documents of at most ``SAMPLE_CHARS`` characters each (a
+documented bound; rows are drawn by id and text, so neither repeated ids nor huge texts swell it).  Every text
+is encoded whole.  Memory of a worker is bounded by bytes: of the cache of known pieces, of the block of text
+encoded at a time, of a shard, and (``common.prepare``) of an Arrow batch; only a single text can be larger.  Order: ascending id, null ids first, equal ids by text.
 
 Defined cases: null text is the empty text, which holds only the end id; equal ids and repeated rows each
 get a place of their own; an empty table gives no shard and an empty result; extra columns are ignored.
@@ -40,9 +42,10 @@ OTHER = re.compile(f"[{_S}][{_S}]|[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u
 EDGE = re.compile(f"[{_S}]")
 #: A cut is safe at a lone space between two other characters.
 LONE = re.compile(f"(?<=[^{_S}]) (?=[^{_S}])")
-CACHE, LONGEST = 400_000, 40
-BLOCK = 4 << 20
-SHARD_IDS = 1 << 21
+#: Bytes of known pieces and their ids that a worker keeps (a piece costs about 150 bytes more), and its longest piece.
+CACHE, LONGEST = 8 << 20, 40
+#: Bytes of text encoded at a time, ids of a shard, and characters of a text from which the dictionary may learn.
+BLOCK, SHARD_IDS, SAMPLE_CHARS = 2 << 20, 1 << 18, 1 << 16
 MAGIC = "token-shard/1"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -84,6 +87,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tool.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         kind = json.loads(self.tool.to_str())["pre_tokenizer"] or {}
         self.by_bytes = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and self.tool.normalizer is None
 
@@ -105,8 +109,12 @@ class Encoder:
             for i, w in zip(missing, flags, strict=True):
                 if not w:
                     found[i] = self.raw(keys[i].decode())
-            room = CACHE - len(self.known)
-            self.known.update([(keys[i], found[i]) for i in missing[: max(0, room)] if len(keys[i]) <= LONGEST])
+            for i in missing:
+                if self.held >= CACHE:
+                    break
+                if len(keys[i]) <= LONGEST:
+                    self.known[keys[i]] = found[i]
+                    self.held += len(keys[i]) + len(found[i])
         return found
 
     def block(self, parts: list[bytes]) -> list[bytes]:
@@ -114,10 +122,15 @@ class Encoder:
         raw = b"\n".join(parts) + b"\n"
         data = np.frombuffer(raw, np.uint8)
         letter = _LETTER[data]
-        before = np.concatenate([[False], letter[:-1]])
-        last = np.concatenate([[10], data[:-1]])
-        line = (data == 10) | (last == 10)
-        start = np.flatnonzero((data == 32) | line | (before & ~letter) | (letter & ~before & (last != 32) & (last != 39)))
+        before, last = np.zeros_like(letter), np.full_like(data, 10)
+        before[1:], last[1:] = letter[:-1], data[:-1]
+        cut = data == 32
+        cut |= data == 10
+        cut |= last == 10
+        cut |= before & ~letter
+        cut |= letter & ~before & (last != 32) & (last != 39)
+        start = np.flatnonzero(cut)
+        del before, last, cut
         end = np.append(start[1:], len(data))
         one, two = piece_hashes(data, start, end)
         _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
@@ -212,8 +225,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int =
     n = docs.count()
     if not n:
         return b""
-    share = round(min(1.0, sample_docs / n) * 1_000_003)
-    texts = sorted(r[0] or "" for r in docs.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) < F.lit(share)).select("text").collect())
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_003))
+    drawn = docs.filter((draw < F.lit(round(min(1.0, 2 * sample_docs / n) * 1_000_003))) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS))
+    texts = sorted(r[0] or "" for r in drawn.orderBy(draw, "doc_id").limit(sample_docs).select("text").collect())
     tool = encoder(path)
     end = np.array([end_id], tool.dtype).tobytes()
     arrays = [b + end for b in tool.encode(texts)]

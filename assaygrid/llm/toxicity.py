@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_class: int = 6000, seed: i
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     sample = common.bounded_sample(known, "y", texts_per_class, F.col("doc_id"), seed)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("text", "y")
+    rows = common.at_most_of(rows, "y", 2 * texts_per_class, seed)  # an id of many documents would swell the sample
     rows = common.written(rows.repartition(folds), "labelled")  # bounded; read twice below
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
