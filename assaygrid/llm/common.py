@@ -1,12 +1,13 @@
 """Helpers shared by the corpus operators: shipping code, shared scratch tables, ordered streams.
 
 Nothing here looks at a machine-local folder on a cluster.  Intermediate tables are written to the folder
-named by ``spark.checkpoint.dir``; only where that setting is absent (a local test session) is a folder of
-our own made.
+named by ``spark.checkpoint.dir``; where that setting is absent, a local session gets a folder of our own and
+a cluster is refused.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
@@ -65,21 +66,38 @@ def _own_scratch() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_scratch()
+    """The shared folder that the cluster names; a folder of our own only in a local session without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    return named or _own_scratch()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session while a block runs; the caller's value comes back after it."""
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
+
+
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
     path, schema = scratch_path(spark, name), df.schema
-    df.write.option("compression", codec).parquet(path)
-    del df
-    spark._jvm.System.gc()  # shuffle files of the finished write can go now
+    with setting(spark, CLEAN, "true"):  # the write's shuffle files go when it ends
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _paths[id(out)] = (out, path)
     return out

@@ -5,8 +5,9 @@ gets a hierarchical navigable small-world graph (layers of geometrically fewer n
 for diversity).  Every distinct vector queries every shard: from the top layer down, then by a beam in the
 bottom layer.  A beam whose worst member still reaches the threshold is widened until it does not; and a
 block of queries audits a sample of itself against all of the shard's vectors, doubling its beams until the
-sample's recall of links reaches ``recall`` (a beam as wide as the shard is an exhaustive search).  Links are
-verified by cosine in double precision and joined to components.
+recall of links to other vectors reaches ``recall``, both over the whole sample and as the mean over its queries,
+so that one dense group cannot hide the losses of small ones (a beam as wide as the shard is an exhaustive
+search).  Links are verified by cosine in double precision and joined to components.
 
 Builds and searches run in lockstep over many vectors, in numpy.  A (block, shard) task returns, for each
 query, how many vectors it is linked with, and edges that connect the linked vectors (a spanning star of each
@@ -201,13 +202,14 @@ def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return good, m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
-def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, width: int, recall: float, audit: int = 128, slack: float = 1e-4) -> list[np.ndarray]:
-    """For each query the nodes with cosine >= least, by beams that widen until audits pass."""
+def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, width: int, recall: float, ids: np.ndarray, qids: np.ndarray, audit: int = 128, slack: float = 1e-4) -> list[np.ndarray]:
+    """For each query the other nodes with cosine >= least, by beams that widen until audits pass."""
     n = len(exact)
     q32 = q.astype(np.float32)
     step = max(1, len(q) // audit)
     sample = np.arange(0, len(q), step)
-    truth = q[sample] @ exact.T >= least
+    truth = ((q[sample] @ exact.T >= least) & (ids[None, :] != qids[sample][:, None])).sum(axis=1)
+    some = truth > 0
     while True:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         rows, w = np.arange(len(q)), min(width, n)
@@ -215,18 +217,18 @@ def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, width:
             wider = []
             for a in range(0, len(rows), max(1, min(1024, (1 << 26) // max(1, n)))):
                 part = rows[a : a + max(1, min(1024, (1 << 26) // max(1, n)))]
-                ids, sims = graph.near(q32[part], w)
-                hit = (ids >= 0) & (sims >= least - slack)
+                at, sims = graph.near(q32[part], w)
+                hit = (at >= 0) & (sims >= least - slack)
                 more = hit.all(axis=1) & (w < n)
                 for i, r in enumerate(part):
                     if more[i]:
                         wider.append(r)
                     elif hit[i].any():
-                        c = ids[i][hit[i]]
-                        out[r] = c[exact[c] @ q[r] >= least]
+                        c = at[i][hit[i]]
+                        out[r] = c[(exact[c] @ q[r] >= least) & (ids[c] != qids[r])]
             rows, w = np.array(wider, dtype=np.int64), min(4 * w, n)
-        got = sum(len(out[s]) for s in sample)
-        if width >= n or got >= recall * truth.sum():
+        got = np.array([len(out[s]) for s in sample])
+        if width >= n or (got.sum() >= recall * truth.sum() and (got[some] / truth[some]).sum() >= recall * some.sum()):
             return out
         width *= 2
 
@@ -240,7 +242,7 @@ def _find(parent: dict[int, int], x: int) -> int:
     return root
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_rows: int = 32768, min_shards: int = 8, block_rows: int = 8192, width: int = 24, recall: float = 0.99) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_rows: int = 32768, min_shards: int = 8, block_rows: int = 32768, width: int = 24, recall: float = 0.99) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = common.prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -295,12 +297,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_rows: int = 3
                 q, exact = np.pad(q, ((0, 0), (0, wide - q.shape[1]))), np.pad(exact, ((0, 0), (0, wide - exact.shape[1])))
                 graph.base = np.pad(graph.base, ((0, 0), (0, wide - graph.base.shape[1])))
                 node, links, parent = [], [], {}
-                for x, c in zip(qids.tolist(), linked(graph, exact, q, least, width, recall), strict=True):
-                    other = ids[c] != x
-                    if other.any():
+                for x, c in zip(qids.tolist(), linked(graph, exact, q, least, width, recall, ids, qids), strict=True):
+                    if len(c):
                         node.append(x)
-                        links.append(int(count[c][other].sum()))
-                        for y in ids[c][other].tolist():
+                        links.append(int(count[c].sum()))
+                        for y in ids[c].tolist():
                             a, b = _find(parent, x), _find(parent, y)
                             if a != b:
                                 parent[max(a, b)] = min(a, b)
@@ -308,13 +309,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_rows: int = 3
                 yield pa.RecordBatch.from_pydict({"node": pa.array([*node, *(x for x, _ in edges)], pa.int64()), "links": pa.array([*links, *([None] * len(edges))], pa.int64()), "root": pa.array([*([None] * len(node)), *(r for _, r in edges)], pa.int64())})
 
     pairs = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "shard").select("index", "queries")
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = spark.conf.get(key)
-    spark.conf.set(key, "1")  # an index and a block of queries at a time
-    try:
+    with common.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):  # an index and a block of queries at a time
         found = common.written(pairs.mapInArrow(ask, "node long, links long, root long"), "hnsw-links")
-    finally:
-        spark.conf.set(key, held)
     part_of = components(found.filter("root IS NOT NULL").select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.filter("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     of = distinct.join(links, distinct.rep == links.node, "left").join(part_of.select(F.col("node").alias("p"), "component"), F.col("rep") == F.col("p"), "left")

@@ -9,8 +9,9 @@ The trigram counts come from labelled texts: about ``docs_per_lang`` of each lan
 all of them where there are fewer).  Prediction covers every row and every whole text.
 
 Defined cases: null text, empty text and text without a letter get ``und`` with score 0 and an empty
-mixture; so does every text if no labelled text has a letter.  Repeated rows are scored alike.  Extra
-columns pass through untouched, and the result's names win over input columns of the same names.
+mixture; so does every text if no labelled text has a letter.  Repeated rows are scored alike.  A very long
+text is read whole, as one block.  An empty table gives an empty result, and a model without languages.
+Extra columns pass through untouched; those named like the result's come back as ``__was_<name>``.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def predict(docs: DataFrame, model: MixtureModel, text: str = "text") -> DataFra
     """docs with lang_pred, score (share of lang_pred in the mixture) and mixture (language -> share)."""
     common.prepare(docs.sparkSession)
     new = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))])
-    docs = docs.drop("lang_pred", "score", "mixture")
+    docs, _ = common.apart(docs, ("lang_pred", "score", "mixture"))
     kept = [f.name for f in docs.schema]
     place = kept.index(text)
 
@@ -196,7 +197,12 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which no language is found go; the others keep their columns."""
+    """Pipeline stage: documents in which no language is found go; the others keep their columns.
+
+    Where no labelled text teaches a language, there is nothing to judge by and every document stays.
+    """
     model = fit(learnable(docs))
+    if not model.langs:
+        return docs
     docs, restore = common.apart(docs, ("lang_pred", "score", "mixture"))
     return restore(predict(docs, model).filter(F.col("lang_pred") != UNKNOWN))

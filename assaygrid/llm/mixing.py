@@ -93,7 +93,9 @@ def boundaries(sized: DataFrame, buckets: DataFrame, plan: DataFrame, bucket: Co
     last = running.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__s"))).withColumn("rest", F.col("__rest")).filter("before <= rest AND rest > 0").groupBy("source").agg(F.max_by(F.struct("bucket", "before", "rest"), "bucket").alias("e"))
     e = last.select(F.col("source").alias("s"), "e.*")
     inside = sized.join(F.broadcast(e), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))  # one row for each source
-    through = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("__rank", "size"))
+    # rows of one hash and size stand together: a repeated (or null) id is one row of the window for each of its sizes
+    inside = inside.groupBy("source", "__rank", "size", "bucket", "before", "rest").agg(F.count("*").alias("m"))
+    through = F.col("before") + F.sum(F.col("size") * F.col("m")).over(W.partitionBy("source").orderBy("__rank", "size"))
     taken = inside.select("source", "__rank", "size", "bucket", through.alias("through"), "rest").filter(F.col("through") - F.col("size") / 2 <= F.col("rest"))
     edge = {r[0]: (r[1].r, r[1].z) for r in taken.groupBy("source").agg(F.max(F.struct(F.col("__rank").alias("r"), F.col("size").alias("z")))).collect()}
     # where no document of the boundary's bucket is taken, the sample ends before that bucket

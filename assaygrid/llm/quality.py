@@ -11,7 +11,8 @@ bound); scoring covers every row and every whole text.
 Defined cases: null and empty texts have difference 0 and the score that belongs to it; without labelled
 texts of both classes every score is the share of good labels (0.5 without labels).  Labels that are null
 or belong to no document are ignored; of repeated label rows each counts.  Repeated rows score alike.
-Input columns named like the result's are replaced.
+A very long text is read whole, chunk by chunk; an empty table gives an empty result.  Input columns named
+like the result's come back as ``__was_<name>``.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_class: int = 3000, seed: i
 def predict(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataFrame:
     """docs with diff (normalised difference of compressed sizes, higher: better) and score (0 to 1)."""
     common.prepare(docs.sparkSession)
-    docs = docs.drop("diff", "score")
+    docs, _ = common.apart(docs, ("diff", "score"))
     kept = [f.name for f in docs.schema]
     place = kept.index(text)
 

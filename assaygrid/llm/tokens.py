@@ -216,8 +216,14 @@ def together(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows in ascending doc_id over the partitions (null first) and within them, equal ids by text."""
-    return docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    """Rows in ascending doc_id over the partitions (null first) and within them, equal ids by a hash of the text, then the text.
+
+    Rows equal in both are told apart by their place in the input, so that an id of very many rows is cut over
+    partitions; such rows give the same ids, and their order is not seen in a result.
+    """
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("__hash"), F.col("__place")]
+    marked = docs.withColumns({"__hash": F.xxhash64("text"), "__place": F.monotonically_increasing_id()})
+    return marked.repartitionByRange(*keys).sortWithinPartitions(keys[0], "__hash", F.col("text").asc_nulls_first(), "__place").drop("__hash", "__place")
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_docs: int = 1500, size: int = 65536, seed: int = 3) -> bytes:

@@ -4,11 +4,12 @@ Vectors become integers, floor(scale * x).  Candidates are dealt by descending l
 into buckets of ``bucket`` rows of nearly one length.  For a query and a bucket the k-th score so far gives a local
 cosine threshold, theta / (length of the query * greatest length in the bucket).  Above 1 the bucket is
 left out; from ``coordinate_from`` on, the candidates are those whose coordinates lie in the feasible
-intervals of the query's largest coordinates; below, those long enough.  The products of what is left are
-verified in exact integers.
+intervals of the query's largest coordinates; below, the head of the bucket that is long enough (queries that
+need a similar length share their products).  The products of what is left are verified in exact integers.
 
 A first threshold comes from the longest ``seeds`` candidates (they only prune, every row is still searched).
-Queries go in blocks of ``block`` rows, each sent to all partitions: a size that does not grow with the input.
+Queries go in blocks of ``block`` rows, one after the other: a block is sent to all partitions, its k best are
+written, and it is dropped before the next is read, so what the driver holds and sends does not grow.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows without an id take no
 part; shorter vectors are padded with zeros (an empty vector is zero); rows with the query's id are not its
@@ -18,6 +19,7 @@ are exact raise an error; with fewer than k candidates all come back; an empty t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,13 +136,20 @@ def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarr
                 s = products(queries[i : i + 1], cand[c])[0]
                 hit = (s >= best.theta[i]) & (ids[c] != query_ids[i])
                 found.append((np.full(hit.sum(), i), ids[c][hit], s[hit]))
-    for at in range(0, len(by_length), 512):
-        rows = by_length[at : at + 512]
-        s = products(queries[rows], cand)
-        need = best.theta[rows] / qlen[rows]
-        hit = (s >= best.theta[rows][:, None]) & (lengths[None, :] >= need[:, None] * (1 - 1e-12)) & (ids[None, :] != query_ids[rows][:, None])
-        r, c = np.nonzero(hit)
-        found.append((rows[r], ids[c], s[r, c]))
+    if len(by_length):
+        longer = np.argsort(-lengths, kind="stable")
+        head, head_ids, falling = cand[longer], ids[longer], -lengths[longer]
+        # the candidates long enough for a query: the first few of the bucket
+        enough = np.searchsorted(falling, -(best.theta[by_length] / qlen[by_length]) * (1 - 1e-12), side="right")
+        order = np.argsort(enough, kind="stable")
+        for at in range(0, len(order), 512):
+            rows, m = by_length[order[at : at + 512]], int(enough[order[at : at + 512]].max())
+            if not m:
+                continue
+            s = products(queries[rows], head[:m])
+            hit = (s >= best.theta[rows][:, None]) & (head_ids[None, :m] != query_ids[rows][:, None])
+            r, c = np.nonzero(hit)
+            found.append((rows[r], head_ids[c], s[r, c]))
     if found:
         best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
@@ -150,12 +159,13 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, blo
     spark = common.prepare(vectors.sparkSession)
     rows = integer_rows(vectors, scale)
     cand = common.written(rows.repartitionByRange(F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("norm").desc(), "vec_id"), "topk-candidates")
-    queries = common.written(cand.filter(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(), "topk-queries")
+    queries = queries_table = common.written(cand.filter(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(), "topk-queries")
     n = queries.count()
     blocks = max(1, -(-n // block))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     first = [(r.vec_id, r.v) for r in cand.orderBy(F.col("norm").desc(), "vec_id").limit(seeds).collect()]
-    found = None
+    found = []
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     for b in range(blocks):
         own = sorted((r.vec_id, r.v) for r in queries.filter(F.col("block") == b).select("vec_id", "v").collect())
         qid, q = np.array([x for x, _ in own], np.int64), stack([v for _, v in own])
@@ -192,9 +202,11 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, blo
             yield pa.RecordBatch.from_pydict({"query_id": pa.array(qid[best.q]), "vec_id": pa.array(best.id), "score": pa.array(best.score)})
 
         part = cand.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionAll(part)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found.append(common.written(part, "topk-best"))
+        sent.destroy()
+    common.discard(cand, queries_table)
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def op5_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

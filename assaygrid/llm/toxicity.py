@@ -12,7 +12,8 @@ every whole text.
 Defined cases: null and empty texts have one empty sentence and get its score, below 0.5 in any corpus
 whose clean documents outnumber the toxic ones or hold more sentences than one; without labels of both
 classes the score is the share of toxic labels (0 without labels).  Null labels are ignored, repeated rows
-score alike, and input columns named like the result's are replaced.
+score alike, a very long text is read whole, an empty table gives an empty result, and input columns named
+like the result's come back as ``__was_<name>``.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_class: int = 6000, seed: i
 def predict(docs: DataFrame, model: BagModel, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and offending, the (start, end, score) of sentences that offend, in characters of the lower-cased text."""
     common.prepare(docs.sparkSession)
-    docs = docs.drop("score", "offending")
+    docs, _ = common.apart(docs, ("score", "offending"))
     kept = [f.name for f in docs.schema]
     place = kept.index(text)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
