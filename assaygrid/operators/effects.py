@@ -10,23 +10,28 @@ from __future__ import annotations
 from ..plans.relations import CATALOGUE as C
 
 B, SEED = 200, 7
-C.relation("blk", """
-SELECT block, CAST(row_number() OVER (ORDER BY block) - 1 AS BIGINT) AS k, nq, nc FROM
-  (SELECT block, sum(CASE WHEN side = 'F' THEN 1 ELSE 0 END) AS nq, sum(CASE WHEN side = 'O' THEN 1 ELSE 0 END) AS nc
-   FROM peaks WHERE searched = 1 AND side IN ('F', 'O') GROUP BY block) b""")
+C.relation("sums", """
+SELECT block, {hex:concat_ws('|', 'block', block)} % 256 AS h, sum(CASE WHEN side = 'F' THEN 1 ELSE 0 END) AS nq, sum(CASE WHEN side = 'O' THEN 1 ELSE 0 END) AS nc
+FROM peaks WHERE searched = 1 AND side IN ('F', 'O') GROUP BY block""")
+# blocks are numbered inside 256 slots of their hash; a slot begins where those before it end
+C.relation("slots", "SELECT h, sum(n) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) - n AS ahead FROM (SELECT h, count(*) AS n FROM sums GROUP BY h) s")
+C.relation("blk", "SELECT block, CAST(ahead + row_number() OVER (PARTITION BY b.h ORDER BY block) - 1 AS BIGINT) AS k, nq, nc FROM sums b JOIN slots s ON s.h = b.h", stored=True)
 C.relation("fb", """
 SELECT family, block, sum(CASE WHEN side = 'F' THEN signed ELSE 0 END) AS q, sum(CASE WHEN side = 'O' THEN signed ELSE 0 END) AS c, sum(n_hits) AS n_hits
-FROM rf WHERE side IN ('F', 'O') GROUP BY family, block""")
+FROM rf WHERE side IN ('F', 'O') GROUP BY family, block""", stored=True)
 C.relation("fam", "SELECT family, sum(q) AS q, sum(c) AS c FROM fb GROUP BY family HAVING sum(n_hits) > 0")
 C.relation("tot", "SELECT sum(nq) AS nq, sum(nc) AS nc, count(*) AS g FROM blk")
-C.relation("point", "SELECT family, q / nq - c / nc AS effect, q / nq AS mean_q, c / nc AS mean_c FROM fam JOIN tot ON nq > 0 AND nc > 0")
+C.relation("point", """
+SELECT family, q / nq - c / nc AS effect, q / nq AS mean_q, c / nc AS mean_c FROM (SELECT f.*, (SELECT nq FROM tot) AS nq, (SELECT nc FROM tot) AS nc FROM fam f) x WHERE nq > 0 AND nc > 0""")
+# every block for every family: the families, which the lexicon bounds, are one array
+C.relation("framed", "SELECT block, k, nq, nc, {each:fams} AS family FROM (SELECT b.*, (SELECT {list:family} FROM fam) AS fams FROM blk b) x")
 C.relation("dense", """
-SELECT f.family, b.block, b.k, b.nq, b.nc, coalesce(x.q, 0) AS q, coalesce(x.c, 0) AS c, t.g * coalesce(x.q, 0) / t.nq - t.g * coalesce(x.c, 0) / t.nc AS e
-FROM (SELECT family, 1 AS one FROM fam) f JOIN (SELECT *, 1 AS one FROM blk) b ON f.one = b.one JOIN (SELECT *, 1 AS one FROM tot) t ON b.one = t.one
-LEFT JOIN fb x ON x.family = f.family AND x.block = b.block""")
+SELECT d.*, gq, gc, g * q / gq - g * c / gc AS e FROM
+  (SELECT b.family, b.block, b.k, b.nq, b.nc, coalesce(x.q, 0) AS q, coalesce(x.c, 0) AS c, (SELECT nq FROM tot) AS gq, (SELECT nc FROM tot) AS gc, (SELECT g FROM tot) AS g
+   FROM framed b LEFT JOIN fb x ON x.family = b.family AND x.block = b.block) d""")
 C.relation("draws", f"""
 SELECT s.r, b.block, b.nq, b.nc, count(*) AS w FROM
-  (SELECT r, {{hex:concat_ws('|', '{SEED}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))}} % g AS pick FROM (SELECT k, g, {{explode:{B}}} AS r FROM blk JOIN tot ON g > 0) a) s
+  (SELECT r, {{hex:concat_ws('|', '{SEED}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))}} % g AS pick FROM (SELECT k, (SELECT g FROM tot) AS g, {{explode:{B}}} AS r FROM blk) a) s
 JOIN blk b ON b.k = s.pick GROUP BY s.r, b.block, b.nq, b.nc""")
 C.relation("reps", """
 SELECT n.family, n.r, n.q / s.nq - n.c / s.nc AS effect FROM
@@ -38,8 +43,7 @@ SELECT family, max(CASE WHEN i = lo THEN effect END) AS ci_low, max(CASE WHEN i
     (SELECT family, round(effect, 9) AS effect, row_number() OVER (PARTITION BY family ORDER BY round(effect, 9), r) - 1 AS i, count(*) OVER (PARTITION BY family) AS n FROM reps) a) b
 GROUP BY family""")
 C.relation("jack", """
-SELECT family, block, (qq - q) / (gq - nq) - (cc - c) / (gc - nc) AS theta FROM
-  (SELECT d.family, d.block, d.q, d.c, d.nq, d.nc, f.q AS qq, f.c AS cc, t.nq AS gq, t.nc AS gc FROM dense d JOIN fam f ON f.family = d.family JOIN tot t ON t.nq > d.nq AND t.nc > d.nc) j""")
+SELECT d.family, d.block, (f.q - d.q) / (gq - nq) - (f.c - d.c) / (gc - nc) AS theta FROM dense d JOIN fam f ON f.family = d.family WHERE gq > nq AND gc > nc""")
 C.relation("wild", f"""
 SELECT family, r, CASE WHEN min(we) = max(we) THEN NULL ELSE avg(we) / (stddev_samp(we) / sqrt(count(*))) END AS t FROM
   (SELECT family, r, (CASE WHEN {{hex:concat_ws('|', 'sign', '{SEED}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))}} % 2 = 0 THEN 1 ELSE -1 END) * (e - m) AS we FROM
@@ -54,12 +58,17 @@ C.query("block_effects", "SELECT family, block, round(e, 6) AS block_effect FROM
 C.query("effect_bootstrap_replicates", "SELECT family, CAST(r AS BIGINT) AS replicate, round(effect, 9) AS effect FROM reps")
 C.query("effect_ci_percentile", "SELECT p.family, round(p.effect, 9) AS effect, ci_low, ci_high, n_replicates, CASE WHEN n_replicates >= 39 THEN 'ESTIMATED' ELSE 'REFUSED' END AS status FROM point p JOIN percentile_ci c ON c.family = p.family")
 C.query("block_jackknife", "SELECT family, block, round(theta, 9) AS theta FROM jack")
-C.query("bca_acceleration", """
+C.relation("acceleration", """
 SELECT family, round(CASE WHEN sum(d * d) > 0 THEN sum(d * d * d) / (6 * power(sum(d * d), 1.5)) ELSE 0 END, 9) AS acceleration, count(*) AS n_blocks
 FROM (SELECT j.family, m.t - j.theta AS d FROM jack j JOIN (SELECT family, avg(theta) AS t FROM jack GROUP BY family) m ON m.family = j.family) x GROUP BY family""")
-C.query("bca_bias", f"""
+C.query("bca_acceleration", "SELECT family, acceleration, n_blocks FROM acceleration")
+C.relation("bias", f"""
 SELECT r.family, round(greatest(1 / (2e0 * count(*)), least(1 - 1 / (2e0 * count(*)), (sum(CASE WHEN round(r.effect, 9) < round(p.effect, 9) THEN 1e0 ELSE 0e0 END) + sum(CASE WHEN round(r.effect, 9) <= round(p.effect, 9) THEN 1e0 ELSE 0e0 END)) / (2e0 * count(*)))), 9) AS proportion
 FROM reps r JOIN point p ON p.family = r.family GROUP BY r.family""")
+C.query("bca_bias", "SELECT family, proportion FROM bias")
+C.relation("bca_parts", """
+SELECT p.family, round(p.effect, 9) AS effect, a.acceleration, a.n_blocks, b.proportion, r.reps FROM point p JOIN acceleration a ON a.family = p.family JOIN bias b ON b.family = p.family
+JOIN (SELECT family, {list:round(effect, 9)} AS reps FROM reps GROUP BY family) r ON r.family = p.family""")
 C.query("wild_t_pvalue", "SELECT family, round(t, 6) AS t, round(p_value, 9) AS p_value, n_valid, CASE WHEN n_valid < 30 THEN 'REFUSED' ELSE 'TESTED' END AS status FROM wild_p")
 C.query("bh_qvalues", """
 SELECT family, round(p_value, 9) AS p_value, round(least(1e0, min(p_value * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS q_value
@@ -67,9 +76,9 @@ FROM (SELECT family, p_value, row_number() OVER (ORDER BY round(p_value, 12), fa
 
 _TWO = """
 SELECT family, n_q, n_c, round(uq / n_q - uc / n_c, 9) AS occupancy_effect, round(sq / nullif(uq, 0) - sc / nullif(uc, 0), 9) AS intensity_effect, round(sq / n_q - sc / n_c, 9) AS total_effect, uq AS used_query, uc AS used_comparator
-FROM (SELECT x.family, max(s.nq) AS n_q, max(s.nc) AS n_c, sum(CASE WHEN side = 'F' AND {use} THEN 1e0 ELSE 0e0 END) AS uq, sum(CASE WHEN side = 'O' AND {use} THEN 1e0 ELSE 0e0 END) AS uc,
+FROM (SELECT x.family, max(nq) AS n_q, max(nc) AS n_c, sum(CASE WHEN side = 'F' AND {use} THEN 1e0 ELSE 0e0 END) AS uq, sum(CASE WHEN side = 'O' AND {use} THEN 1e0 ELSE 0e0 END) AS uc,
              sum(CASE WHEN side = 'F' AND {use} THEN signed ELSE 0e0 END) AS sq, sum(CASE WHEN side = 'O' AND {use} THEN signed ELSE 0e0 END) AS sc
-      FROM (SELECT rf.*, p.mass AS budget FROM rf JOIN peaks p ON p.region_id = rf.region_id WHERE rf.side IN ('F', 'O')) x JOIN sides s ON s.nq > 0 AND s.nc > 0 GROUP BY x.family HAVING sum(n_hits) > 0) t"""
+      FROM (SELECT rf.*, sum(mass) OVER (PARTITION BY region_id) AS budget, (SELECT nq FROM sides) AS nq, (SELECT nc FROM sides) AS nc FROM rf WHERE rf.side IN ('F', 'O')) x WHERE nq > 0 AND nc > 0 GROUP BY x.family HAVING sum(n_hits) > 0) t"""
 C.query("two_part_any_hit", _TWO.replace("{use}", "n_hits > 0"))
 C.query("two_part_contribution_floor", _TWO.replace("{use}", "n_hits > 0 AND mass >= 20"))
 C.query("two_part_budget_fraction", _TWO.replace("{use}", "n_hits > 0 AND budget > 0 AND mass >= 0.25 * budget"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.relations import CATALOGUE as C
+from ..sources.scratch import ship
 from . import effects  # noqa: F401
 
 LEAST = 30  # fixed value: blocks and replicates below which no interval is given
@@ -43,9 +44,7 @@ def effect_ci_bca(spark: SparkSession, sf_dir: str) -> DataFrame:
         ends = [bca_limits(np.asarray(r), p, a) if len(r) >= LEAST else (None, None) for r, p, a in zip(replicates, proportion, acceleration, strict=True)]
         return pd.DataFrame(ends, columns=["ci_low", "ci_high"], dtype="float64")
 
-    run = lambda name: C.run(name)(spark, sf_dir)
-    reps = run("effect_bootstrap_replicates").groupBy("family").agg(F.collect_list("effect").alias("reps"))
-    both = run("family_effect_point").select("family", "effect").join(reps, "family").join(run("bca_acceleration"), "family").join(run("bca_bias"), "family")
-    out = both.withColumn("ci", limits("reps", "proportion", "acceleration")).withColumn("enough", (F.col("n_blocks") >= LEAST) & (F.size("reps") >= LEAST))
+    ship(spark)
+    out = C.run("bca_parts")(spark, sf_dir).withColumn("ci", limits("reps", "proportion", "acceleration")).withColumn("enough", (F.col("n_blocks") >= LEAST) & (F.size("reps") >= LEAST))
     end = lambda c: F.when(F.col("enough"), F.round(f"ci.{c}", 9)).alias(c)
     return out.select("family", "effect", end("ci_low"), end("ci_high"), "n_blocks", F.size("reps").alias("n_replicates"), F.when(F.col("enough"), "ESTIMATED").otherwise("REFUSED").alias("status"))

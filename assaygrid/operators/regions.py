@@ -52,7 +52,7 @@ FROM (SELECT block, sum(CASE WHEN side = 'F' THEN 1 ELSE 0 END) AS q, sum(CASE W
 C.query("family_composition", """
 SELECT family, sum(CASE WHEN n_hits > 0 THEN 1 ELSE 0 END) AS n_with_family, max(nq) AS n_searched, round(sum(CASE WHEN n_hits > 0 THEN 1e0 ELSE 0e0 END) / max(nq), 9) AS share_with_family,
        round(sum(signed) / max(nq), 9) AS mean_coefficient
-FROM rf JOIN sides ON side = 'F' AND nq > 0 GROUP BY family""")
+FROM (SELECT rf.*, (SELECT nq FROM sides) AS nq FROM rf WHERE side = 'F') x WHERE nq > 0 GROUP BY family""")
 C.query("heldout_restriction", """
 SELECT side, role, count(*) AS n_regions, sum(searched) AS n_searched FROM
   (SELECT side, searched, CASE {hex:concat_ws('|', 'split', CAST(region_id AS VARCHAR(20)))} % 4 WHEN 0 THEN 'DISCOVERY' WHEN 1 THEN 'ADJUDICATION' WHEN 2 THEN 'VALIDATION' ELSE 'INFERENCE' END AS role FROM peaks WHERE side IN ('F', 'O')) s

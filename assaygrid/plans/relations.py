@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import CHECK, SPARK, render
 from ..operators.graph import components
+from ..sources.scratch import written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -26,9 +27,14 @@ class Catalogue:
         self.relations: dict[str, str] = {}
         self.queries: dict[str, str] = {}
         self.whole: dict[str, str] = {}
+        self.checks: dict[str, str] = {}
+        self.stored: set[str] = set()
 
-    def relation(self, name: str, text: str) -> None:
+    def relation(self, name: str, text: str, stored: bool = False) -> None:
+        """``stored``: a query that reads the relation writes it once and reads it back wherever it is needed."""
         self.relations[name] = text.strip()
+        if stored:
+            self.stored.add(name)
 
     def query(self, name: str, text: str) -> None:
         self.queries[name] = text.strip()
@@ -37,23 +43,28 @@ class Catalogue:
         """The text that Spark runs for a query whose checking SQL covers only part of the inputs."""
         self.whole[name] = text.strip()
 
-    def needed(self, text: str) -> list[str]:
-        """The relations that a text reads, each after those it reads itself."""
+    def check(self, name: str, text: str) -> None:
+        """A checking text of a query that does not share the query's relations."""
+        self.checks[name] = text.strip()
+
+    def needed(self, text: str, held: set[str] = frozenset()) -> list[str]:
+        """The relations that a text reads, each after those it reads itself; what is held needs nothing."""
         out: list[str] = []
 
         def visit(part: str) -> None:
             for n in sorted(reads(part) & self.relations.keys()):
                 if n not in out:
-                    visit(self.relations[n])
+                    if n not in held:
+                        visit(self.relations[n])
                     out.append(n)
 
         visit(text)
         return list(dict.fromkeys(out))
 
-    def text(self, name: str, macros: dict, base: Callable[[str], str] | None = None) -> str:
+    def text(self, name: str, macros: dict, base: Callable[[str], str] | None = None, held: set[str] = frozenset()) -> str:
         body = (base and self.whole.get(name)) or self.queries.get(name) or self.relations[name]
-        own = self.needed(body)
-        parts = [f"{n} AS ({self.relations[n]})" for n in own]
+        own = self.needed(body, held)
+        parts = [f"{n} AS (SELECT * FROM {{stored_{n}}})" if n in held else f"{n} AS ({self.relations[n]})" for n in own]
         if base:
             words = reads(body + " " + " ".join(parts))
             parts = [f"{t} AS (SELECT * FROM {base(t)})" for t in TABLES if t in words] + parts
@@ -61,17 +72,23 @@ class Catalogue:
 
     def run(self, name: str) -> Callable[[SparkSession, str], DataFrame]:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            held: dict[str, DataFrame] = {}
+
             def plan(name: str) -> DataFrame:
-                text = self.text(name, SPARK, lambda t: f"parquet.`{sf_dir}/{t}.parquet`")
+                body = self.whole.get(name) or self.queries.get(name) or self.relations[name]
+                for n in self.needed(body, set(held)):
+                    if n in self.stored and n not in held:
+                        held[n] = written(plan(n), n)
+                text = self.text(name, SPARK, lambda t: f"parquet.`{sf_dir}/{t}.parquet`", set(held))
                 tables = {t: components(plan(t[len("components_") :])) for t in set(re.findall(r"\{(components_\w+)\}", text))}
-                return spark.sql(text, **tables)
+                return spark.sql(text, **tables, **{f"stored_{n}": df for n, df in held.items() if f"{{stored_{n}}}" in text})
 
             return plan(name)
 
         return query
 
     def check_sql(self, name: str) -> str:
-        return self.text(name, CHECK)
+        return self.checks.get(name) or self.text(name, CHECK)
 
 
 CATALOGUE = Catalogue()
