@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -388,5 +388,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept.select(*docs.columns)
     # rows that repeat a kept id in one group (without ids: a kept text)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k").isNull() | (F.col("__k") == F.col("__key"))) & F.col("__key").isNotNull()
-    again = kept.join(several, same, "left_semi").withColumn("__k", F.when(F.col("doc_id").isNull(), F.col("__key"))).dropDuplicates(["doc_id", "__k"])
+    order = Window.partitionBy("doc_id", "__k").orderBy("__row")  # the first of them as JSON, so that reruns agree
+    again = kept.join(several, same, "left_semi").withColumns({"__k": F.when(F.col("doc_id").isNull(), F.col("__key")), "__row": F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))})
+    again = again.withColumn("__place", F.row_number().over(order)).filter("__place = 1")
     return kept.join(several, same, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

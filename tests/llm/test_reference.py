@@ -240,7 +240,7 @@ def test_top_k_of_uneven_vectors(spark):
 
 def brute_stages(rows):
     """The five stages on rows (doc_id, text, source), written out; the last one's rows."""
-    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    rows = sorted((r for r in rows if any(c.isalpha() for c in r[1] or "")), key=lambda r: (r[0], r[2] or ""))
     sets, label = [shingles(r[1], 5) for r in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
