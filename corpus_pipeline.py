@@ -14,7 +14,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: SQL can express neither the language model nor the packing of byte-pair ids; tests hold run() against brute force.
+#: SQL can express neither the language model nor the packing of byte-pair ids; tests/llm/test_reference.py plays all five stages plainly and compares run()'s rows.
 ORACLE_SQL = None
 
 
