@@ -2,6 +2,7 @@
 
 {hex:x}        first 32 bits of md5(x) as a number: the engine's counter-based random stream, the same for any partitioning
 {explode:n}    one row for each of 0 ... n - 1
+{len:x}        number of elements of an array; {sha:x} SHA-256 of a text in lowercase hex
 {list:x}       all values of x in an array; {each:a} one row for each element of an array
 {components:e} connected components (node, component) of the edges (u, v) in e; Spark takes them as a table made beforehand
 {cells:t:id}   long form of an array column "embedding": id, i (place), v (double)
@@ -14,6 +15,8 @@ import re
 SPARK = {
     "hex": lambda x: f"CAST(conv(substr(md5({x}), 1, 8), 16, 10) AS BIGINT)",
     "explode": lambda n: f"explode(sequence(0, {n} - 1))",
+    "len": lambda x: f"size({x})",
+    "sha": lambda *x: f"sha2({':'.join(x)}, 256)",
     "list": lambda x: f"collect_list({x})",
     "each": lambda a: f"explode({a})",
     "components": lambda e: f"{{components_{e}}}",
@@ -22,6 +25,8 @@ SPARK = {
 CHECK = {
     "hex": lambda x: f"CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)",
     "explode": lambda n: f"unnest(range(0, {n}))",
+    "len": lambda x: f"len({x})",
+    "sha": lambda *x: f"sha256({':'.join(x)})",
     "list": lambda x: f"list({x})",
     "each": lambda a: f"unnest({a})",
     "components": lambda e: f"(WITH RECURSIVE b AS (SELECT u, v FROM {e} UNION SELECT v, u FROM {e}), reach(node, other) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM reach r JOIN b ON b.u = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node)",

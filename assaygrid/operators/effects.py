@@ -12,31 +12,31 @@ from ..plans.relations import CATALOGUE as C
 B, SEED = 200, 7
 C.relation("sums", """
 SELECT block, {hex:concat_ws('|', 'block', block)} % 256 AS h, sum(CASE WHEN side = 'F' THEN 1 ELSE 0 END) AS nq, sum(CASE WHEN side = 'O' THEN 1 ELSE 0 END) AS nc
-FROM peaks WHERE searched = 1 AND side IN ('F', 'O') GROUP BY block""")
+FROM peaks WHERE searched = 1 AND side IN ('F', 'O') GROUP BY block""", stored=True)
 # blocks are numbered inside 256 slots of their hash; a slot begins where those before it end
 C.relation("slots", "SELECT h, sum(n) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) - n AS ahead FROM (SELECT h, count(*) AS n FROM sums GROUP BY h) s")
-C.relation("blk", "SELECT block, CAST(ahead + row_number() OVER (PARTITION BY b.h ORDER BY block) - 1 AS BIGINT) AS k, nq, nc FROM sums b JOIN slots s ON s.h = b.h", stored=True)
+C.relation("blk", """
+SELECT block, CAST(ahead + row_number() OVER (PARTITION BY b.h ORDER BY block) - 1 AS BIGINT) AS k, nq, nc,
+       (SELECT sum(nq) FROM sums) AS gq, (SELECT sum(nc) FROM sums) AS gc, (SELECT count(*) FROM sums) AS g FROM sums b JOIN slots s ON s.h = b.h""", stored=True)
 C.relation("fb", """
 SELECT family, block, sum(CASE WHEN side = 'F' THEN signed ELSE 0 END) AS q, sum(CASE WHEN side = 'O' THEN signed ELSE 0 END) AS c, sum(n_hits) AS n_hits
 FROM rf WHERE side IN ('F', 'O') GROUP BY family, block""", stored=True)
 C.relation("fam", "SELECT family, sum(q) AS q, sum(c) AS c FROM fb GROUP BY family HAVING sum(n_hits) > 0")
-C.relation("tot", "SELECT sum(nq) AS nq, sum(nc) AS nc, count(*) AS g FROM blk")
 C.relation("point", """
-SELECT family, q / nq - c / nc AS effect, q / nq AS mean_q, c / nc AS mean_c FROM (SELECT f.*, (SELECT nq FROM tot) AS nq, (SELECT nc FROM tot) AS nc FROM fam f) x WHERE nq > 0 AND nc > 0""")
+SELECT family, q / nq - c / nc AS effect, q / nq AS mean_q, c / nc AS mean_c FROM (SELECT f.*, (SELECT max(gq) FROM blk) AS nq, (SELECT max(gc) FROM blk) AS nc FROM fam f) x WHERE nq > 0 AND nc > 0""")
 # every block for every family: the families, which the lexicon bounds, are one array
-C.relation("framed", "SELECT block, k, nq, nc, {each:fams} AS family FROM (SELECT b.*, (SELECT {list:family} FROM fam) AS fams FROM blk b) x")
+C.relation("framed", "SELECT block, k, nq, nc, gq, gc, g, {each:fams} AS family FROM (SELECT b.*, (SELECT {list:family} FROM fam) AS fams FROM blk b) x")
 C.relation("dense", """
-SELECT d.*, gq, gc, g * q / gq - g * c / gc AS e FROM
-  (SELECT b.family, b.block, b.k, b.nq, b.nc, coalesce(x.q, 0) AS q, coalesce(x.c, 0) AS c, (SELECT nq FROM tot) AS gq, (SELECT nc FROM tot) AS gc, (SELECT g FROM tot) AS g
-   FROM framed b LEFT JOIN fb x ON x.family = b.family AND x.block = b.block) d""")
+SELECT d.*, g * q / gq - g * c / gc AS e FROM
+  (SELECT b.*, coalesce(x.q, 0) AS q, coalesce(x.c, 0) AS c FROM framed b LEFT JOIN fb x ON x.family = b.family AND x.block = b.block) d WHERE gq > 0 AND gc > 0""", stored=True)
 C.relation("draws", f"""
 SELECT s.r, b.block, b.nq, b.nc, count(*) AS w FROM
-  (SELECT r, {{hex:concat_ws('|', '{SEED}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))}} % g AS pick FROM (SELECT k, (SELECT g FROM tot) AS g, {{explode:{B}}} AS r FROM blk) a) s
+  (SELECT r, {{hex:concat_ws('|', '{SEED}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))}} % g AS pick FROM (SELECT k, g, {{explode:{B}}} AS r FROM blk) a) s
 JOIN blk b ON b.k = s.pick GROUP BY s.r, b.block, b.nq, b.nc""")
 C.relation("reps", """
 SELECT n.family, n.r, n.q / s.nq - n.c / s.nc AS effect FROM
   (SELECT fb.family, d.r, sum(d.w * fb.q) AS q, sum(d.w * fb.c) AS c FROM draws d JOIN fb ON fb.block = d.block JOIN fam ON fam.family = fb.family GROUP BY fb.family, d.r) n
-JOIN (SELECT r, sum(w * nq) AS nq, sum(w * nc) AS nc FROM draws GROUP BY r) s ON s.r = n.r AND s.nq > 0 AND s.nc > 0""")
+JOIN (SELECT r, sum(w * nq) AS nq, sum(w * nc) AS nc FROM draws GROUP BY r) s ON s.r = n.r AND s.nq > 0 AND s.nc > 0""", stored=True)
 C.relation("percentile_ci", """
 SELECT family, max(CASE WHEN i = lo THEN effect END) AS ci_low, max(CASE WHEN i = hi THEN effect END) AS ci_high, max(n) AS n_replicates FROM
   (SELECT family, effect, i, n, greatest(0, CAST(floor(0.025 * n) AS BIGINT) - 1) AS lo, least(n - 1, CAST(ceil(0.975 * n) AS BIGINT) - 1) AS hi FROM

@@ -1,127 +1,60 @@
-"""Small matrices: cores, information, reverse complements; annotation candidates and family consensus."""
+"""Small matrices: cores, information, reverse complements, pairs and why they are left out; annotation candidates and family consensus."""
 
 from __future__ import annotations
 
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..plans.relations import CATALOGUE as C
+from .registration import LEAST_ROWS, LEAST_SHARE, TRIM
 
-TRIM = 0.3  # of the largest row's mass
 C.relation("cells", "SELECT vec_id AS node_id, CAST(floor(i / 4) AS BIGINT) AS pos, CAST(i % 4 AS BIGINT) AS base, v FROM {cells:embeddings:vec_id} z")
-C.relation("rows_", "SELECT node_id, pos, sum(abs(v)) AS mass FROM cells GROUP BY node_id, pos")
+C.relation("rows_", "SELECT node_id, pos, max(abs(v)) AS top, sum(abs(v)) AS mass FROM cells GROUP BY node_id, pos")
 C.relation("core", f"""
-SELECT r.node_id, min(pos) AS core_start, max(pos) + 1 AS core_end FROM rows_ r JOIN (SELECT node_id, max(mass) AS top FROM rows_ GROUP BY node_id) t ON t.node_id = r.node_id AND r.mass >= {TRIM} * t.top GROUP BY r.node_id""")
+SELECT r.node_id, min(pos) AS core_start, max(pos) + 1 AS core_end FROM rows_ r JOIN (SELECT node_id, max(top) AS top FROM rows_ GROUP BY node_id) t ON t.node_id = r.node_id AND r.top >= {TRIM} * t.top GROUP BY r.node_id""")
 C.query("trim_core", "SELECT node_id, core_start, core_end, core_end - core_start AS core_length FROM core")
 C.query("core_information", """
 SELECT x.node_id, round(sum(CASE WHEN p > 0 THEN p * ln(p) / ln(2e0) ELSE 0 END) + 2e0 * count(DISTINCT x.pos), 6) AS information FROM
   (SELECT c.node_id, c.pos, abs(c.v) / r.mass AS p FROM cells c JOIN rows_ r ON r.node_id = c.node_id AND r.pos = c.pos AND r.mass > 0) x
 JOIN core k ON k.node_id = x.node_id AND x.pos >= k.core_start AND x.pos < k.core_end GROUP BY x.node_id""")
 C.query("reverse_complement_cells", "SELECT c.node_id, m.n - 1 - c.pos AS pos, 3 - c.base AS base, round(c.v, 9) AS v FROM cells c JOIN (SELECT node_id, max(pos) + 1 AS n FROM cells GROUP BY node_id) m ON m.node_id = c.node_id")
+C.query("motif_completeness", """
+SELECT k.node_id, round((core_end - core_start) * 1e0 / n, 9) AS completeness FROM core k JOIN (SELECT node_id, max(pos) + 1 AS n FROM cells GROUP BY node_id) m ON m.node_id = k.node_id""")
+
+# Pairs: motifs are dealt into 16 slots, and pairs of slots are joined by key, each pair of motifs once.
+C.relation("motif_status", """
+SELECT e.vec_id AS node, CASE WHEN embedding IS NULL OR {len:embedding} = 0 OR {len:embedding} % 4 <> 0 THEN 'no_ppm_array' WHEN k.node_id IS NULL THEN 'no_declared_trimmed_core' ELSE 'registrable' END AS status,
+       core_end - core_start AS core_bp FROM embeddings e LEFT JOIN core k ON k.node_id = e.vec_id""", stored=True)
+C.relation("slotted", """
+SELECT node, status, core_bp, b, least(b, o) AS lo, greatest(b, o) AS hi FROM (SELECT m.*, {hex:concat_ws('|', 'slot', CAST(node AS VARCHAR(20)))} % 16 AS b, {explode:16} AS o FROM motif_status m) x""")
+C.relation("motif_pairs", f"""
+SELECT x.node AS source, y.node AS target, x.status AS source_status, y.status AS target_status, x.core_bp AS source_core_bp, y.core_bp AS target_core_bp,
+       CASE WHEN x.status <> 'registrable' OR y.status <> 'registrable' THEN 'node_not_registrable'
+            WHEN least(x.core_bp, y.core_bp) < {LEAST_ROWS} OR least(x.core_bp, y.core_bp) < {LEAST_SHARE} * greatest(x.core_bp, y.core_bp) THEN 'no_offset_meets_overlap_floor' END AS exclusion
+FROM slotted x JOIN slotted y ON x.lo = y.lo AND x.hi = y.hi AND x.node < y.node AND (x.b <> y.b OR x.lo = x.hi)""")
+C.query("pair_candidates", "SELECT source, target, source_core_bp, target_core_bp FROM motif_pairs WHERE exclusion IS NULL")
+C.query("excluded_pairs", "SELECT source, target, exclusion, source_status, target_status, source_core_bp, target_core_bp FROM motif_pairs WHERE exclusion IS NOT NULL")
+C.query("exclusion_histogram", """
+SELECT v.kind, v.reason, coalesce(n, 0) AS n FROM (VALUES ('pair', 'node_not_registrable'), ('pair', 'no_offset_meets_overlap_floor'), ('pair', 'considered'), ('node', 'registrable'), ('node', 'no_ppm_array'), ('node', 'no_declared_trimmed_core')) AS v(kind, reason)
+LEFT JOIN (SELECT 'pair' AS kind, exclusion AS reason, count(*) AS n FROM motif_pairs WHERE exclusion IS NOT NULL GROUP BY exclusion
+  UNION ALL SELECT 'pair' AS kind, 'considered' AS reason, count(*) AS n FROM motif_pairs UNION ALL SELECT 'node' AS kind, status AS reason, count(*) AS n FROM motif_status GROUP BY status) g ON g.kind = v.kind AND g.reason = v.reason""")
+
+# Annotation: one candidate for each node, source and matched motif, named by its content.
 C.relation("cand", """
-SELECT node_id, matched, i AS ordinal, q FROM
-  (SELECT user_id AS node_id, event_type AS matched, value AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) e WHERE i <= 3""")
-C.relation("vocab", "SELECT node_id, ordinal, CASE WHEN matched IN ('click', 'view') THEN 'T1' WHEN matched IN ('purchase', 'signup') THEN 'T2' END AS fam FROM cand")
-C.query("annotation_candidates", "SELECT node_id, matched, ordinal FROM cand")
-C.query("annotation_low_confidence", "SELECT node_id, ordinal, CASE WHEN ordinal >= 3 OR coalesce(q, 0) > 0.05 THEN true ELSE false END AS low_confidence FROM cand")
+SELECT node_id, source, matched, q, CASE WHEN node_id % 11 > 0 THEN 4 + node_id % 12 END AS core_length, CASE WHEN node_id % 13 > 0 THEN node_id * 37 % 300 END AS seqlets FROM
+  (SELECT user_id AS node_id, CASE event_id % 3 WHEN 0 THEN 'TomTom' WHEN 1 THEN 'homer' ELSE 'database' END AS source, event_type AS matched, min(value) AS q
+   FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id, CASE event_id % 3 WHEN 0 THEN 'TomTom' WHEN 1 THEN 'homer' ELSE 'database' END, event_type) e""")
+C.relation("vocabulary", "SELECT * FROM (VALUES ('click', 'T1'), ('view', 'T1'), ('purchase', 'T2'), ('signup', 'T2')) AS v(matched, fam)")
+C.relation("vocab", "SELECT c.node_id, c.source, c.matched, v.fam FROM cand c LEFT JOIN vocabulary v ON v.matched = c.matched")
+C.query("annotation_candidates", """
+SELECT node_id, source, matched, round(q, 6) AS q,
+       concat('annotation:', {sha:concat(chr(123), '"matched_motif_id":"', matched, '","node_id":"', CAST(node_id AS VARCHAR(20)), '","source":"', source, '","source_version":"1"', chr(125))}) AS candidate_id FROM cand""")
+C.query("annotation_low_confidence", """
+SELECT node_id, source, matched, coalesce(core_length <= 6, false) OR coalesce(lower(source) = 'tomtom' AND q > 0.05, false) OR coalesce(seqlets < 100, false) AS low_confidence FROM cand""")
+C.relation("occurrence", "SELECT node_id, source, matched, 1e0 / (1 + node_id % 40) AS p FROM cand WHERE node_id % 2 = 0")
+C.query("occurrence_null", """
+SELECT c.node_id, c.source, c.matched, round(o.p, 9) AS occurrence_null FROM cand c LEFT JOIN occurrence o ON o.node_id = c.node_id AND o.source = c.source AND o.matched = c.matched""")
 C.query("family_consensus", """
-SELECT node_id, n_candidates, n_resolved, CASE WHEN n_resolved = 0 THEN 'UNDECLARED' WHEN top < 2 AND n_resolved < 2 THEN 'TOO_FEW' WHEN top < 2 OR n_top > 1 THEN 'SPLIT' WHEN n_families = 1 THEN 'UNANIMOUS' ELSE 'MAJORITY' END AS state,
+SELECT node_id, n_candidates, n_resolved, CASE WHEN n_candidates = 0 THEN 'NO_CANDIDATE' WHEN n_resolved = 0 THEN 'UNDECLARED' WHEN top < 2 AND n_resolved < 2 THEN 'TOO_FEW' WHEN top < 2 OR n_top > 1 THEN 'SPLIT' WHEN n_families = 1 THEN 'UNANIMOUS' ELSE 'MAJORITY' END AS state,
        CASE WHEN top >= 2 AND n_top = 1 THEN best END AS family
 FROM (SELECT a.node_id, a.n_candidates, a.n_resolved, coalesce(t.top, 0) AS top, coalesce(t.n_top, 0) AS n_top, coalesce(t.n_families, 0) AS n_families, t.best
-      FROM (SELECT node_id, count(*) AS n_candidates, count(fam) AS n_resolved FROM vocab GROUP BY node_id) a
+      FROM (SELECT u.node_id, count(v.matched) AS n_candidates, count(v.fam) AS n_resolved FROM (SELECT c_custkey AS node_id FROM customer UNION SELECT node_id FROM cand) u LEFT JOIN vocab v ON v.node_id = u.node_id GROUP BY u.node_id) a
       LEFT JOIN (SELECT node_id, max(top) AS top, sum(CASE WHEN n = top THEN 1 ELSE 0 END) AS n_top, count(*) AS n_families, min(CASE WHEN n = top THEN fam END) AS best
                  FROM (SELECT node_id, fam, n, max(n) OVER (PARTITION BY node_id) AS top FROM (SELECT node_id, fam, count(*) AS n FROM vocab WHERE fam IS NOT NULL GROUP BY node_id, fam) g) w GROUP BY node_id) t ON t.node_id = a.node_id) z""")
-
-
-def reverse(m: np.ndarray) -> np.ndarray:
-    return m[:, ::-1, ::-1]
-
-
-def ppm_cores(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cores of matrices (n, L, 4), moved to row 0 with zeros behind, as abs(v) / row sum; and their lengths."""
-    mass = np.abs(m).sum(2)
-    keep = mass >= TRIM * mass.max(1, keepdims=True)
-    start, end = keep.argmax(1), m.shape[1] - keep[:, ::-1].argmax(1)
-    at = start[:, None] + np.arange(m.shape[1])
-    inside, at = at < end[:, None], np.minimum(at, m.shape[1] - 1)
-    ppm = np.abs(m) / np.where(mass > 0, mass, 1)[:, :, None]
-    return np.where(inside[:, :, None], np.take_along_axis(ppm, at[:, :, None], 1), 0), end - start
-
-
-def registrations(a: np.ndarray, b: np.ndarray, least: int, flip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each pair of matrices (n, L, 4) the best cosine of their cores' PPM over both orientations and all offsets.
-
-    An overlap has at least ``least`` rows and half of each core; a pair without one keeps -2.  Of equal scores the
-    first counts, '+' before '-', by ascending offset (by descending offset of '+' where ``flip``: the pair turned round).
-    """
-    (a, la), (b, lb) = ppm_cores(a), ppm_cores(b)
-    n, m, size = len(a), len(b), a.shape[1]
-    floor = np.maximum(least, (np.maximum(la[:, None], lb[None, :]) + 1) // 2)
-    at = np.clip(lb[:, None] - 1 - np.arange(size), 0, None)
-    back = np.where((np.arange(size) < lb[:, None])[:, :, None], np.take_along_axis(b, at[:, :, None], 1)[:, :, ::-1], 0)
-    upto = lambda x: np.concatenate([np.zeros((len(x), 1)), np.cumsum((x**2).sum(2), 1)], 1)
-    best, orient, shift, width = np.full((n, m), -2.0), np.zeros((n, m), int), np.zeros((n, m), int), np.zeros((n, m), int)
-    i, j, na = np.arange(n)[:, None], np.arange(m)[None, :], upto(a)
-    for o, other in enumerate((b, back)):
-        nb = upto(other)
-        for d in range(-(size - least), size - least + 1):
-            s, e = max(0, d), np.minimum(la[:, None], lb[None, :] + d)
-            fits = e - s >= floor
-            if not fits.any():
-                continue
-            x, y = a[:, s : size + min(0, d)], other[:, max(0, -d) : size - s]
-            dot = np.einsum("nij,mij->nm", x, y, optimize=True)
-            e = np.where(fits, e, s)
-            norm = np.sqrt(na[i, e] - na[:, s][:, None]) * np.sqrt(nb[j, e - d] - nb[:, s - d][None, :])
-            score = np.where(fits, np.round(dot / np.where(norm > 0, norm, 1), 9), -2)
-            better = score > best
-            if flip is not None and o == 0:
-                better |= flip & fits & (score == best)
-            best[better], orient[better], shift[better], width[better] = score[better], o, d, (e - s)[better]
-    return best, orient, shift, width
-
-
-def register_pairs(vectors: DataFrame, least: int = 6, block: int = 256) -> DataFrame:
-    """Every pair of motifs with its best registration: source, target, orientation, offset, overlap, similarity.
-
-    Offsets count from the starts of the cores; pairs without an overlap of ``least`` rows and half of each core have
-    no row.  All other pairs are the operator's result.  Motifs are dealt into blocks by hash; pairs of blocks are joined by key,
-    so a task holds two blocks and no more, and the number of tasks grows with the number of pairs.
-    """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    dealt = vectors.select(F.col("vec_id").alias("node"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
-    turns = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    placed = dealt.withColumn("o", turns).select("node", "embedding", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), (F.col("b") > F.col("o")).alias("second"))
-
-    def run(pdf):
-        import pandas as pd
-
-        first, second = pdf[~pdf.second], pdf[pdf.second]
-        same = int(pdf.lo.iloc[0]) == int(pdf.hi.iloc[0])
-        other = first if same else second
-        if len(first) and len(other):
-            form = lambda x: np.array(x.embedding.tolist(), dtype=np.float64).reshape(len(x), -1, 4)
-            a, b = form(first), form(other)
-            s, t = first.node.to_numpy(), other.node.to_numpy()
-            best, orient, shift, width = registrations(a, b, least, s[:, None] > t[None, :])
-            i, j = np.nonzero((best > -2) & (s[:, None] < t[None, :] if same else True))
-            longer = ppm_cores(b)[1][j] - ppm_cores(a)[1][i]
-            if len(i):
-                out = pd.DataFrame({"source": s[i], "target": t[j], "orientation": np.where(orient[i, j] == 0, "+", "-"), "offset": shift[i, j], "overlap": width[i, j], "similarity": best[i, j]})
-                swap = out.source > out.target
-                out.loc[swap, ["source", "target"]] = out.loc[swap, ["target", "source"]].to_numpy()
-                turned = np.where(orient[i, j] == 0, -out.offset, out.offset + longer)
-                out["offset"] = np.where(swap, turned, out.offset)
-                return out
-        return pd.DataFrame()
-
-    return placed.groupBy("lo", "hi").applyInPandas(run, "source long, target long, orientation string, offset long, overlap long, similarity double")
-
-
-def pair_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return register_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
-
-

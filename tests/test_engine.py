@@ -31,61 +31,95 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_pair_registration_by_brute_force(spark):
-    from assaygrid.operators.motifs import register_pairs, registrations
+def plain_core(x):
+    top = [max(abs(v) for v in row) for row in x]
+    keep = [p for p, v in enumerate(top) if v >= 0.3 * max(top)]
+    return x[keep[0] : keep[-1] + 1]
 
-    rng = np.random.default_rng(1)
-    m = rng.random((9, 16, 4))
-    m[5] = m[2][::-1, ::-1]
-    df = spark.createDataFrame([(i, [float(x) for x in m[i].ravel()]) for i in range(9)], "vec_id long, embedding array<double>")
-    got = {(r.source, r.target): r for r in register_pairs(df, block=4).collect()}
-    assert len(got) == 36
-    assert got[2, 5].orientation == "-" and got[2, 5].offset == 0 and abs(got[2, 5].similarity - 1) < 1e-9
-    best = registrations(m, m, 8)[0]
-    for (s, t), r in got.items():
-        assert abs(r.similarity - max(best[s, t], best[t, s])) < 2e-9
+
+def plain_ppm(x):
+    return [[abs(v) / sum(map(abs, row)) if any(row) else 0.0 for v in row] for row in x]
+
+
+def plain_best(a, c):
+    """(orientation, offset, rows, similarity) of two PPMs, offset by offset; None where none has the overlap."""
+    best = None
+    for sign, b in (("+", c), ("-", [row[::-1] for row in c[::-1]])):
+        for d in range(1 - len(b), len(a)):
+            rows = [(a[p], b[p - d]) for p in range(len(a)) if 0 <= p - d < len(b)]
+            if len(rows) >= 6 and 2 * len(rows) >= len(a) and 2 * len(rows) >= len(b):
+                score = plain_cosine(rows)
+                if best is None or score > best[3]:
+                    best = (sign, d, len(rows), score)
+    return best
+
+
+def plain_cosine(rows):
+    dot, p, q = (sum(x * y for u, v in f for x, y in zip(u, v, strict=True)) for f in (rows, [(u, u) for u, _ in rows], [(v, v) for _, v in rows]))
+    return round(dot / (p * q) ** 0.5, 9) if p and q else 0.0
 
 
 def test_pair_registration_by_plain_loops(spark):
-    """Signed matrices with heavy rows and cores of 4 to 16 rows, against the rule written out pair by pair."""
-    from assaygrid.operators.motifs import register_pairs
+    """Signed matrices of 4 to 20 rows with heavy rows, ties and zeros, against the rule written out pair by pair; and their null."""
+    from assaygrid.operators.registration import register, shuffle
 
     rng = np.random.default_rng(4)
-    m = rng.normal(size=(14, 16, 4)) * rng.choice([1, 2], size=(14, 16, 1))
-    for k, (a, b) in enumerate([(0, 16), (3, 12), (5, 9), (0, 5), (2, 16), (6, 13), (1, 15)]):
-        m[k, :a], m[k, b:] = 0.01 * m[k, :a], 0.01 * m[k, b:]
-    m[9] = m[1][::-1, ::-1]
-    m[10] = 1.0  # every offset ties with itself
-    m[11] = 2.0
-    m[12, 4] = 0.0
-    m[13] = 0.0
-
-    def core(x):
-        mass = [sum(abs(v) for v in row) for row in x]
-        keep = [p for p, v in enumerate(mass) if v >= 0.3 * max(mass)]
-        return [[abs(v) / mass[p] if mass[p] else 0.0 for v in x[p]] for p in range(keep[0], keep[-1] + 1)]
-
-    cores, want = [core(x.tolist()) for x in m], {}
+    m = [rng.normal(size=(rng.choice([4, 9, 16, 20]), 4)) * rng.choice([1, 2], size=(1, 1)) for _ in range(9)]
+    wide = rng.normal(size=(16, 4))
+    wide[:3] *= 0.01
+    m += [wide, wide[::-1, ::-1], -wide, np.ones((12, 4)), 2e200 * np.ones((12, 4)), np.zeros((8, 4))]
+    x = [plain_core(v.tolist()) for v in m]
+    ppm, want = [plain_ppm(v) for v in x], {}
     for s in range(len(m)):
         for t in range(s + 1, len(m)):
-            a, best = cores[s], None
-            for sign, b in (("+", cores[t]), ("-", [row[::-1] for row in cores[t][::-1]])):
-                for d in range(1 - len(b), len(a)):
-                    rows = [(a[p], b[p - d]) for p in range(len(a)) if 0 <= p - d < len(b)]
-                    if len(rows) < 6 or 2 * len(rows) < len(a) or 2 * len(rows) < len(b):
-                        continue
-                    dot, p, q = (sum(x * y for u, v in f for x, y in zip(u, v, strict=True)) for f in (rows, [(u, u) for u, _ in rows], [(v, v) for _, v in rows]))
-                    score = round(dot / (p * q) ** 0.5, 9) if p and q else 0.0
-                    if best is None or score > best[3]:
-                        best = (sign, d, len(rows), score)
-            if best:
-                want[s, t] = best
-    df = spark.createDataFrame([(i, [float(v) for v in x.ravel()]) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
-    assert 40 < len(want) < 91 and len({len(c) for c in cores}) > 5
-    for block in (3, 256):
-        got = {(r.source, r.target): (r.orientation, r.offset, r.overlap, r.similarity) for r in register_pairs(df, block=block).collect()}
+            found = plain_best(ppm[s], ppm[t])
+            if found:
+                sign, d, n, _ = found
+                c = x[t] if sign == "+" else [row[::-1] for row in x[t][::-1]]
+                scale = lambda v: max(max(map(abs, r)) for r in v) or 1.0
+                rows = [([v / scale(x[s]) for v in x[s][p]], [v / scale(x[t]) for v in c[p - d]]) for p in range(len(x[s])) if 0 <= p - d < len(c)]
+                null = [plain_best(ppm[s], [ppm[t][i] for i in shuffle(7, k, len(ppm[t]))])[3] for k in range(3)]
+                want[s, t] = (*found[:3], n / len(x[s]), n / len(x[t]), found[3], plain_cosine(rows), (sum(v >= found[3] for v in null) + 1) / 4, min(null), max(null))
+    odd = [(90, None), (91, []), (92, [1.0] * 6), (93, [1.0, None, 1.0, 1.0]), (94, [float("nan")] * 24), (None, [1.0] * 32)]
+    df = spark.createDataFrame([(i, [float(v) for v in a.ravel()]) for i, a in enumerate(m)] + odd, "node long, embedding array<double>")
+    assert 30 < len(want) < 105
+    for block in (1, 4, 256):
+        got = {(r.source, r.target): (r.orientation, r.offset, r.overlap_bp, r.overlap_frac_source, r.overlap_frac_target, r.ppm_similarity, r.signed_cwm_similarity, r.empirical_p_value, r.null_min, r.null_max) for r in register(df, 3, block=block).collect()}
         assert got.keys() == want.keys()
-        assert all(got[k][:3] == w[:3] and abs(got[k][3] - w[3]) < 2e-9 for k, w in want.items()), [(k, got[k], w) for k, w in want.items() if got[k] != w][:5]
+        assert all(got[k][:3] == w[:3] and np.allclose(got[k][3:], w[3:], atol=3e-9) for k, w in want.items()), [(k, got[k], w) for k, w in want.items() if not (got[k][:3] == w[:3] and np.allclose(got[k][3:], w[3:], atol=3e-9))][:4]
+    assert want[9, 10][0] == "-" and want[9, 11][6] == -1 and want[9, 11][5] == 1
+    assert register(df.filter("node > 89")).count() == 0
+
+
+def test_a_long_chain_is_one_component(spark):
+    from assaygrid.operators.graph import components
+
+    n = 10_000
+    rows = components(spark.range(n).selectExpr("id AS u", "id + 1 AS v").unionAll(spark.sql("SELECT 20000L AS u, 20000L AS v UNION ALL SELECT 20001L, NULL")))
+    got = rows.groupBy("component").count().collect()
+    assert [(r[0], r[1]) for r in got] == [(0, n + 1)]
+
+
+def test_workers_need_no_path(tmp_path):
+    """From another folder, without the repository on the path of Python workers."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from assaygrid.plans.engine import QUERIES
+s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()
+print('rows', QUERIES['effect_ci_bca'](s, {SMALL!r}).count(), len(QUERIES['effect_ci_bca'](s, {SMALL!r}).collect()))
+from assaygrid.operators.registration import register
+df = s.createDataFrame([(i, [float(j * i % 7) for j in range(32)]) for i in range(3)], 'node long, embedding array<double>')
+print('pairs', len(register(df).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "rows 6 6" in out.stdout and "pairs 3" in out.stdout, out.stderr[-2000:]
 
 
 def hit(**k):
