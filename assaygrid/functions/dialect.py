@@ -1,5 +1,6 @@
 """Macros of the plan texts, written once and rendered for Spark SQL or for the checking dialect.
 
+{=name}        a parameter
 {hex:x}        first 32 bits of md5(x) as a number: the engine's counter-based random stream, the same for any partitioning
 {explode:n}    one row for each of 0 ... n - 1
 {len:x}        number of elements of an array; {sha:x} SHA-256 of a text in lowercase hex
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import re
 
+#: Parameters of the registered queries; a caller of ``Catalogue.over`` can give others.
+PARAMS = {"replicates": 200, "seed": 7, "least_replicates": 39, "least_valid": 30, "floor_mass": 20, "budget_share": 0.25}
 SPARK = {
     "hex": lambda x: f"CAST(conv(substr(md5({x}), 1, 8), 16, 10) AS BIGINT)",
     "explode": lambda n: f"explode(sequence(0, {n} - 1))",
@@ -34,5 +37,7 @@ CHECK = {
 }
 
 
-def render(text: str, macros: dict) -> str:
+def render(text: str, macros: dict, params: dict | None = None) -> str:
+    """Parameters first ({=name}), then macros."""
+    text = re.sub(r"\{=(\w+)\}", lambda m: str({**PARAMS, **(params or {})}[m[1]]), text)
     return re.sub(r"\{(\w+):([^{}]*)\}", lambda m: macros[m[1]](*m[2].split(":")), text)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from ..plans.relations import CATALOGUE as C
 
-B, SEED = 200, 7
 C.relation("sums", """
 SELECT block, {hex:concat_ws('|', 'block', block)} % 256 AS h, sum(CASE WHEN side = 'F' THEN 1 ELSE 0 END) AS nq, sum(CASE WHEN side = 'O' THEN 1 ELSE 0 END) AS nc
 FROM peaks WHERE searched = 1 AND side IN ('F', 'O') GROUP BY block""", stored=True)
@@ -29,9 +28,9 @@ C.relation("framed", "SELECT block, k, nq, nc, gq, gc, g, {each:fams} AS family
 C.relation("dense", """
 SELECT d.*, g * q / gq - g * c / gc AS e FROM
   (SELECT b.*, coalesce(x.q, 0) AS q, coalesce(x.c, 0) AS c FROM framed b LEFT JOIN fb x ON x.family = b.family AND x.block = b.block) d WHERE gq > 0 AND gc > 0""", stored=True)
-C.relation("draws", f"""
+C.relation("draws", """
 SELECT s.r, b.block, b.nq, b.nc, count(*) AS w FROM
-  (SELECT r, {{hex:concat_ws('|', '{SEED}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))}} % g AS pick FROM (SELECT k, g, {{explode:{B}}} AS r FROM blk) a) s
+  (SELECT r, {hex:concat_ws('|', '{=seed}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))} % g AS pick FROM (SELECT k, g, {explode:{=replicates}} AS r FROM blk) a) s
 JOIN blk b ON b.k = s.pick GROUP BY s.r, b.block, b.nq, b.nc""")
 C.relation("reps", """
 SELECT n.family, n.r, n.q / s.nq - n.c / s.nc AS effect FROM
@@ -44,32 +43,32 @@ SELECT family, max(CASE WHEN i = lo THEN effect END) AS ci_low, max(CASE WHEN i
 GROUP BY family""")
 C.relation("jack", """
 SELECT d.family, d.block, (f.q - d.q) / (gq - nq) - (f.c - d.c) / (gc - nc) AS theta FROM dense d JOIN fam f ON f.family = d.family WHERE gq > nq AND gc > nc""")
-C.relation("wild", f"""
+C.relation("wild", """
 SELECT family, r, CASE WHEN min(we) = max(we) THEN NULL ELSE avg(we) / (stddev_samp(we) / sqrt(count(*))) END AS t FROM
-  (SELECT family, r, (CASE WHEN {{hex:concat_ws('|', 'sign', '{SEED}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))}} % 2 = 0 THEN 1 ELSE -1 END) * (e - m) AS we FROM
-    (SELECT d.family, d.k, d.e, s.m, {{explode:{B}}} AS r FROM dense d JOIN (SELECT family, avg(e) AS m FROM dense GROUP BY family) s ON s.family = d.family) a) b
+  (SELECT family, r, (CASE WHEN {hex:concat_ws('|', 'sign', '{=seed}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))} % 2 = 0 THEN 1 ELSE -1 END) * (e - m) AS we FROM
+    (SELECT d.family, d.k, d.e, s.m, {explode:{=replicates}} AS r FROM dense d JOIN (SELECT family, avg(e) AS m FROM dense GROUP BY family) s ON s.family = d.family) a) b
 GROUP BY family, r""")
-C.relation("wild_p", f"""
-SELECT o.family, o.t, (sum(CASE WHEN abs(round(w.t, 9)) >= abs(round(o.t, 9)) THEN 1 ELSE 0 END) + 1e0) / ({B} + 1) AS p_value, count(w.t) AS n_valid
+C.relation("wild_p", """
+SELECT o.family, o.t, (sum(CASE WHEN abs(round(w.t, 9)) >= abs(round(o.t, 9)) THEN 1 ELSE 0 END) + 1e0) / ({=replicates} + 1) AS p_value, count(w.t) AS n_valid
 FROM (SELECT family, CASE WHEN min(e) = max(e) THEN NULL ELSE avg(e) / (stddev_samp(e) / sqrt(count(*))) END AS t FROM dense GROUP BY family) o JOIN wild w ON w.family = o.family GROUP BY o.family, o.t""")
 
 C.query("family_effect_point", "SELECT family, round(effect, 9) AS effect, round(mean_q, 9) AS mean_query, round(mean_c, 9) AS mean_comparator FROM point")
 C.query("block_effects", "SELECT family, block, round(e, 6) AS block_effect FROM dense")
 C.query("effect_bootstrap_replicates", "SELECT family, CAST(r AS BIGINT) AS replicate, round(effect, 9) AS effect FROM reps")
-C.query("effect_ci_percentile", "SELECT p.family, round(p.effect, 9) AS effect, ci_low, ci_high, n_replicates, CASE WHEN n_replicates >= 39 THEN 'ESTIMATED' ELSE 'REFUSED' END AS status FROM point p JOIN percentile_ci c ON c.family = p.family")
+C.query("effect_ci_percentile", "SELECT p.family, round(p.effect, 9) AS effect, ci_low, ci_high, n_replicates, CASE WHEN n_replicates >= {=least_replicates} THEN 'ESTIMATED' ELSE 'REFUSED' END AS status FROM point p JOIN percentile_ci c ON c.family = p.family")
 C.query("block_jackknife", "SELECT family, block, round(theta, 9) AS theta FROM jack")
 C.relation("acceleration", """
 SELECT family, round(CASE WHEN sum(d * d) > 0 THEN sum(d * d * d) / (6 * power(sum(d * d), 1.5)) ELSE 0 END, 9) AS acceleration, count(*) AS n_blocks
 FROM (SELECT j.family, m.t - j.theta AS d FROM jack j JOIN (SELECT family, avg(theta) AS t FROM jack GROUP BY family) m ON m.family = j.family) x GROUP BY family""")
 C.query("bca_acceleration", "SELECT family, acceleration, n_blocks FROM acceleration")
-C.relation("bias", f"""
+C.relation("bias", """
 SELECT r.family, round(greatest(1 / (2e0 * count(*)), least(1 - 1 / (2e0 * count(*)), (sum(CASE WHEN round(r.effect, 9) < round(p.effect, 9) THEN 1e0 ELSE 0e0 END) + sum(CASE WHEN round(r.effect, 9) <= round(p.effect, 9) THEN 1e0 ELSE 0e0 END)) / (2e0 * count(*)))), 9) AS proportion
 FROM reps r JOIN point p ON p.family = r.family GROUP BY r.family""")
 C.query("bca_bias", "SELECT family, proportion FROM bias")
 C.relation("bca_parts", """
 SELECT p.family, round(p.effect, 9) AS effect, a.acceleration, a.n_blocks, b.proportion, r.reps FROM point p JOIN acceleration a ON a.family = p.family JOIN bias b ON b.family = p.family
 JOIN (SELECT family, {list:round(effect, 9)} AS reps FROM reps GROUP BY family) r ON r.family = p.family""")
-C.query("wild_t_pvalue", "SELECT family, round(t, 6) AS t, round(p_value, 9) AS p_value, n_valid, CASE WHEN n_valid < 30 THEN 'REFUSED' ELSE 'TESTED' END AS status FROM wild_p")
+C.query("wild_t_pvalue", "SELECT family, round(t, 6) AS t, round(p_value, 9) AS p_value, n_valid, CASE WHEN n_valid < {=least_valid} THEN 'REFUSED' ELSE 'TESTED' END AS status FROM wild_p")
 C.query("bh_qvalues", """
 SELECT family, round(p_value, 9) AS p_value, round(least(1e0, min(p_value * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS q_value
 FROM (SELECT family, p_value, row_number() OVER (ORDER BY round(p_value, 12), family) AS i, count(*) OVER () AS m FROM wild_p) x""")
@@ -80,5 +79,5 @@ FROM (SELECT x.family, max(nq) AS n_q, max(nc) AS n_c, sum(CASE WHEN side = 'F'
              sum(CASE WHEN side = 'F' AND {use} THEN signed ELSE 0e0 END) AS sq, sum(CASE WHEN side = 'O' AND {use} THEN signed ELSE 0e0 END) AS sc
       FROM (SELECT rf.*, sum(mass) OVER (PARTITION BY region_id) AS budget, (SELECT nq FROM sides) AS nq, (SELECT nc FROM sides) AS nc FROM rf WHERE rf.side IN ('F', 'O')) x WHERE nq > 0 AND nc > 0 GROUP BY x.family HAVING sum(n_hits) > 0) t"""
 C.query("two_part_any_hit", _TWO.replace("{use}", "n_hits > 0"))
-C.query("two_part_contribution_floor", _TWO.replace("{use}", "n_hits > 0 AND mass >= 20"))
-C.query("two_part_budget_fraction", _TWO.replace("{use}", "n_hits > 0 AND budget > 0 AND mass >= 0.25 * budget"))
+C.query("two_part_contribution_floor", _TWO.replace("{use}", "n_hits > 0 AND mass >= {=floor_mass}"))
+C.query("two_part_budget_fraction", _TWO.replace("{use}", "n_hits > 0 AND budget > 0 AND mass >= {=budget_share} * budget"))

@@ -31,20 +31,56 @@ def bca_limits(replicates: np.ndarray, proportion: float, acceleration: float, a
     return float(low), float(high)
 
 
-def effect_ci_bca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """family, effect, ci_low, ci_high, n_blocks, n_replicates, status; refused (null ends) below the floor.
+def bca_intervals(parts: DataFrame, least: int = LEAST) -> DataFrame:
+    """family, effect, ci_low, ci_high, n_blocks, n_replicates, status of the relation ``bca_parts``; refused (null ends) below the floor.
 
     A family brings one array of replicates, whose number is the bootstrap's own parameter.
     """
+    ship(parts.sparkSession)
 
     @F.pandas_udf("struct<ci_low:double,ci_high:double>")
     def limits(replicates, proportion, acceleration):
         import pandas as pd
 
-        ends = [bca_limits(np.asarray(r), p, a) if len(r) >= LEAST else (None, None) for r, p, a in zip(replicates, proportion, acceleration, strict=True)]
+        ends = [bca_limits(np.asarray(r), p, a) if len(r) >= least else (None, None) for r, p, a in zip(replicates, proportion, acceleration, strict=True)]
         return pd.DataFrame(ends, columns=["ci_low", "ci_high"], dtype="float64")
 
-    ship(spark)
-    out = C.run("bca_parts")(spark, sf_dir).withColumn("ci", limits("reps", "proportion", "acceleration")).withColumn("enough", (F.col("n_blocks") >= LEAST) & (F.size("reps") >= LEAST))
+    out = parts.withColumn("ci", limits("reps", "proportion", "acceleration")).withColumn("enough", (F.col("n_blocks") >= least) & (F.size("reps") >= least))
     end = lambda c: F.when(F.col("enough"), F.round(f"ci.{c}", 9)).alias(c)
     return out.select("family", "effect", end("ci_low"), end("ci_high"), "n_blocks", F.size("reps").alias("n_replicates"), F.when(F.col("enough"), "ESTIMATED").otherwise("REFUSED").alias("status"))
+
+
+def effect_ci_bca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bca_intervals(C.run("bca_parts")(spark, sf_dir))
+
+
+def bca_of(blocks: DataFrame, statistic, n_bootstrap: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """family, estimate, ci_low, ci_high of any two-sample statistic of (values of the query, values of the comparator).
+
+    ``blocks`` has family, block, q and c (arrays of values); whole blocks are drawn, and one family's blocks are one
+    group, as the statistic asks for all values at once.  Fewer than 30 blocks, or replicates, give null ends.
+    """
+    ship(blocks.sparkSession)
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("block")
+        q, c, n = [list(x) for x in pdf.q], [list(x) for x in pdf.c], len(pdf)
+
+        def value(chosen):
+            a, b = [v for i in chosen for v in q[i]], [v for i in chosen for v in c[i]]
+            return float(statistic(a, b)) if a and b else None
+
+        whole, rng = value(range(n)), np.random.default_rng(seed)
+        left = [x for x in (value([j for j in range(n) if j != i]) for i in range(n)) if x is not None] if n >= LEAST else []
+        reps = [x for x in (value(rng.integers(0, n, n)) for _ in range(n_bootstrap)) if x is not None] if n >= LEAST else []
+        low = high = None
+        if whole is not None and len(left) >= LEAST and len(reps) >= LEAST:
+            d, r = np.mean(left) - np.array(left), np.array(reps)
+            bottom = (d**2).sum() ** 1.5
+            share = ((r < whole).sum() + (r <= whole).sum()) / (2 * len(r))
+            low, high = bca_limits(r, float(np.clip(share, 0.5 / len(r), 1 - 0.5 / len(r))), float((d**3).sum() / (6 * bottom)) if bottom else 0.0, alpha)
+        return pd.DataFrame({"family": [pdf.family.iloc[0]], "estimate": pd.Series([whole], dtype="float64"), "ci_low": pd.Series([low], dtype="float64"), "ci_high": pd.Series([high], dtype="float64")})
+
+    return blocks.groupBy("family").applyInPandas(run, "family string, estimate double, ci_low double, ci_high double")

@@ -7,6 +7,7 @@ Medians come from a value's rank within 4,096 slots of its range, so no buffer h
 
 from __future__ import annotations
 
+from ..functions.identity import affected_text
 from ..plans.relations import CATALOGUE as C
 
 TOLERANCE = 3.63e-07  # fixed value: accuracy floor of a coefficient
@@ -59,7 +60,7 @@ SELECT sum(affected) AS n_affected, count(*) AS n_peaks, sum(CASE WHEN affected
 C.query("stability_summary", f"""
 SELECT n_affected, n_hits AS n_affected_hits, n_peaks, round(share, 9) AS affected_mass_share, round(n / u, 9) AS jaccard,
        CASE WHEN n >= 2 AND n * snn > sn * sn AND n * soo > so * so THEN round((n * sno - sn * so) / (sqrt(n * snn - sn * sn) * sqrt(n * soo - so * so)), 6) END AS pearson,
-       round(ma, 9) AS median_delta_affected, round(mall, 9) AS median_delta_all, 'abs_coefficient_delta>{TOLERANCE!r}' AS affected_definition,
+       round(ma, 9) AS median_delta_affected, round(mall, 9) AS median_delta_all, '{affected_text(TOLERANCE)}' AS affected_definition,
        CASE WHEN n_affected < {LEAST} THEN 'LOW_RISK_RARE_NOT_VALIDATED' WHEN abs(ma) <= 1e-12 THEN 'STABLE_AFFECTED_SUBSET' ELSE 'CHANGED_AFFECTED_SUBSET' END AS status
 FROM (SELECT s.*, (SELECT middle FROM delta_m WHERE grp = 'affected') AS ma, (SELECT middle FROM delta_m WHERE grp = 'all') AS mall FROM summed s) x""")
 C.check("stability_summary", f"""
@@ -70,7 +71,7 @@ d AS (SELECT p.*, round((o_totalprice / 1000 - CASE WHEN o_orderkey % 4 = 0 THEN
 SELECT (SELECT count(*) FROM d WHERE hot) AS n_affected, (SELECT count(*) FROM j JOIN p USING (peak) WHERE hot) AS n_affected_hits, (SELECT count(*) FROM d) AS n_peaks,
        (SELECT round(sum(abs(w)) FILTER (hot) / sum(abs(w)), 9) FROM j JOIN p USING (peak)) AS affected_mass_share, (SELECT round(count(*) FILTER (o IS NOT NULL AND w IS NOT NULL) / count(*), 9) FROM j JOIN p USING (peak) WHERE hot) AS jaccard,
        (SELECT round(corr(o, w), 6) FROM j JOIN p USING (peak) WHERE hot) AS pearson, (SELECT round(median(delta), 9) FROM d WHERE hot) AS median_delta_affected, (SELECT round(median(delta), 9) FROM d) AS median_delta_all,
-       'abs_coefficient_delta>{TOLERANCE!r}' AS affected_definition,
+       '{affected_text(TOLERANCE)}' AS affected_definition,
        (SELECT CASE WHEN count(*) < {LEAST} THEN 'LOW_RISK_RARE_NOT_VALIDATED' WHEN abs(median(delta)) <= 1e-12 THEN 'STABLE_AFFECTED_SUBSET' ELSE 'CHANGED_AFFECTED_SUBSET' END FROM d WHERE hot) AS status""")
 C.query("hit_symmetric_difference", "SELECT peak, hit, CASE WHEN new IS NULL THEN 'dropped' ELSE 'gained' END AS change FROM both_hits WHERE old IS NULL OR new IS NULL")
 C.check("hit_symmetric_difference", """

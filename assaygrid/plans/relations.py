@@ -61,31 +61,34 @@ class Catalogue:
         visit(text)
         return list(dict.fromkeys(out))
 
-    def text(self, name: str, macros: dict, base: Callable[[str], str] | None = None, held: set[str] = frozenset()) -> str:
+    def text(self, name: str, macros: dict, base: Callable[[str], str] | None = None, held: set[str] = frozenset(), params: dict | None = None) -> str:
         body = (base and self.whole.get(name)) or self.queries.get(name) or self.relations[name]
         own = self.needed(body, held)
         parts = [f"{n} AS (SELECT * FROM {{stored_{n}}})" if n in held else f"{n} AS ({self.relations[n]})" for n in own]
         if base:
             words = reads(body + " " + " ".join(parts))
             parts = [f"{t} AS (SELECT * FROM {base(t)})" for t in TABLES if t in words] + parts
-        return render((f"WITH {', '.join(parts)} " if parts else "") + body, macros)
+        return render((f"WITH {', '.join(parts)} " if parts else "") + body, macros, params)
+
+    def plan(self, spark: SparkSession, name: str, base: Callable[[str], str], held: dict[str, DataFrame], params: dict | None = None) -> DataFrame:
+        """The query or relation over tables by ``base`` and the relations that are held; what is stored is written and held."""
+        body = self.whole.get(name) or self.queries.get(name) or self.relations[name]
+        for n in self.needed(body, set(held)):
+            if n in self.stored and n not in held:
+                held[n] = written(self.plan(spark, n, base, held, params), n)
+        text = self.text(name, SPARK, base, set(held), params)
+        tables = {t: components(self.plan(spark, t[len("components_") :], base, held, params)) for t in set(re.findall(r"\{(components_\w+)\}", text))}
+        return spark.sql(text, **tables, **{f"stored_{n}": df for n, df in held.items() if f"{{stored_{n}}}" in text})
 
     def run(self, name: str) -> Callable[[SparkSession, str], DataFrame]:
-        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            held: dict[str, DataFrame] = {}
+        return lambda spark, sf_dir: self.plan(spark, name, lambda t: f"parquet.`{sf_dir}/{t}.parquet`", {})
 
-            def plan(name: str) -> DataFrame:
-                body = self.whole.get(name) or self.queries.get(name) or self.relations[name]
-                for n in self.needed(body, set(held)):
-                    if n in self.stored and n not in held:
-                        held[n] = written(plan(n), n)
-                text = self.text(name, SPARK, lambda t: f"parquet.`{sf_dir}/{t}.parquet`", set(held))
-                tables = {t: components(plan(t[len("components_") :])) for t in set(re.findall(r"\{(components_\w+)\}", text))}
-                return spark.sql(text, **tables, **{f"stored_{n}": df for n, df in held.items() if f"{{stored_{n}}}" in text})
+    def over(self, name: str, held: dict[str, DataFrame], **params) -> DataFrame:
+        """A query or relation over a caller's own relations, which take the place of those of the same names.
 
-            return plan(name)
-
-        return query
+        ``held`` also receives the relations written on the way, for further queries over the same ones.
+        """
+        return self.plan(next(iter(held.values())).sparkSession, name, lambda t: t, held, params)
 
     def check_sql(self, name: str) -> str:
         return self.checks.get(name) or self.text(name, CHECK)

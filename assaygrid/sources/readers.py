@@ -18,6 +18,8 @@ HIT = T.StructType(
 )
 #: The four states of an opportunity.
 STATES = ("not_searched", "no_sequence_match", "hit_below_floor", "used")
+#: Spellings of an absent cell.
+BLANK = ("", "nan", "NaN", "NAN", "NA", "N/A", "None", "none", "null", "NULL", "<NA>", "NaT")
 
 
 class Refusal(ValueError):
@@ -27,14 +29,15 @@ class Refusal(ValueError):
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """A hit table from Parquet or from tab-separated text with a header; both read alike."""
     if path.endswith((".tsv", ".txt", ".tsv.gz")):
-        raw = spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+        raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
     else:
         raw = spark.read.parquet(path)
     missing = [f.name for f in HIT if f.name not in raw.columns]
     if missing:
         raise Refusal(f"{path}: missing columns {', '.join(missing)}")
-    out = raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in HIT])
-    return out.withColumns({"hit_coefficient": F.when(~F.isnan("hit_coefficient"), F.col("hit_coefficient")), "variant_id": F.nullif("variant_id", F.lit("NA")), "family_id": F.nullif("family_id", F.lit("NA"))})
+    text = lambda c: F.when(~F.trim(F.col(c).cast("string")).isin(*BLANK), F.col(c).cast("string"))
+    out = raw.select(*[text(f.name).alias(f.name) if f.dataType == T.StringType() else F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in HIT])
+    return out.withColumn("hit_coefficient", F.when(~F.isnan("hit_coefficient"), F.col("hit_coefficient")))
 
 
 def check_hits(hits: DataFrame) -> DataFrame:
@@ -50,7 +53,8 @@ def check_hits(hits: DataFrame) -> DataFrame:
     if not row.n:
         raise Refusal("the hit table is empty")
     if row.bad:
-        raise Refusal(f"{row.bad} rows of the hit table break its contract")
+        first = hits.filter(F.coalesce(bad, F.lit(True))).limit(1).first()
+        raise Refusal(f"{row.bad} rows of the hit table break its contract; one is {first.asDict()}")
     for c in one:
         if row[c] != 1:
             raise Refusal(f"the hit table has {row[c]} values of {c}, not one")
