@@ -9,7 +9,18 @@ SELECT p_partkey AS node_id, CASE WHEN p_size % 2 = 0 THEN 'pos' ELSE 'neg' END
        CASE {hex:concat_ws('|', 'tier', p_brand)} % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'expanded' ELSE 'excluded' END AS tier, p_retailprice AS seqlets FROM part""")
 C.relation("tiers", "SELECT 'core' AS lexicon, n.* FROM nodes n WHERE tier = 'core' UNION ALL SELECT 'expanded' AS lexicon, n.* FROM nodes n WHERE tier IN ('core', 'expanded')")
 C.query("tier_members", "SELECT lexicon, node_id, family, metacluster FROM tiers")
-C.query("loader_order", "SELECT lexicon, node_id, CAST(row_number() OVER (PARTITION BY lexicon, metacluster ORDER BY node_id) AS BIGINT) AS place, metacluster FROM tiers")
+# places are counted within slots of 1,000 ids, and a slot begins where those before it end
+C.relation("tier_slots", """
+SELECT lexicon, metacluster, slot, sum(n) OVER (PARTITION BY lexicon, metacluster ORDER BY slot) - n AS ahead FROM
+  (SELECT lexicon, metacluster, CAST(floor(node_id / 1000) AS BIGINT) AS slot, count(*) AS n FROM tiers GROUP BY lexicon, metacluster, CAST(floor(node_id / 1000) AS BIGINT)) x""")
+C.query("loader_order", """
+SELECT t.lexicon, t.node_id, t.metacluster, concat('pattern_', CAST(ahead + i - 1 AS VARCHAR(20))) AS pattern, CAST(ahead + i AS BIGINT) AS place FROM
+  (SELECT lexicon, node_id, metacluster, CAST(floor(node_id / 1000) AS BIGINT) AS slot, row_number() OVER (PARTITION BY lexicon, metacluster, CAST(floor(node_id / 1000) AS BIGINT) ORDER BY node_id) AS i FROM tiers) t
+JOIN tier_slots s ON s.lexicon = t.lexicon AND s.metacluster = t.metacluster AND s.slot = t.slot""")
+C.check("loader_order", """
+SELECT lexicon, p_partkey AS node_id, metacluster, 'pattern_' || (place - 1) AS pattern, place FROM
+  (SELECT l.lexicon, p_partkey, CASE WHEN p_size % 2 = 0 THEN 'pos' ELSE 'neg' END AS metacluster, row_number() OVER (PARTITION BY l.lexicon, p_size % 2 ORDER BY p_partkey) AS place
+   FROM part, (VALUES ('core', 0), ('expanded', 1)) AS l(lexicon, upto) WHERE CAST(('0x' || substr(md5('tier|' || p_brand), 1, 8)) AS BIGINT) % 3 <= l.upto) x""")
 C.query("tier_comparison", "SELECT family, sum(CASE WHEN lexicon = 'core' THEN 1 ELSE 0 END) AS n_core, sum(CASE WHEN lexicon = 'expanded' THEN 1 ELSE 0 END) AS n_expanded, sum(CASE WHEN lexicon = 'expanded' AND tier <> 'core' THEN 1 ELSE 0 END) AS n_added FROM tiers GROUP BY family")
 C.query("variant_counter", "SELECT family, count(DISTINCT variant) AS n_variants, count(*) AS n_nodes FROM nodes GROUP BY family")
 C.query("sensitivity_triggers", """
@@ -41,11 +52,11 @@ C.query("family_cell_states", "SELECT cell, family, CASE WHEN effect IS NULL THE
 C.query("stability_within_estimand", """
 SELECT estimand, family, count(*) AS n_cells, sum(CASE WHEN effect > 0 THEN 1 ELSE 0 END) AS n_positive, sum(CASE WHEN effect < 0 THEN 1 ELSE 0 END) AS n_negative, round(min(effect), 9) AS least, round(median(effect), 9) AS middle, round(max(effect), 9) AS most FROM grid GROUP BY estimand, family""")
 C.query("cell_status_histogram", """
-SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED'), ('FAILED'), ('SKIPPED'), ('PENDING')) AS v(status)
+SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED_GUARD'), ('REFUSED_SCHEMA'), ('NOT_ESTIMABLE'), ('ERROR')) AS v(status)
 LEFT JOIN (SELECT 'SUCCESS' AS status, count(DISTINCT cell) AS n FROM grid) g ON g.status = v.status""")
 # The texts above hold where every family has hits on every side; Spark runs these, over all cells and the union of families.
 C.relation("cell_status", """
-SELECT s.*, nq.n AS nq, nc.n AS nc, CASE WHEN nq.n > 0 AND nc.n > 0 THEN 'SUCCESS' ELSE 'REFUSED' END AS status
+SELECT s.*, nq.n AS nq, nc.n AS nc, CASE WHEN nq.n > 0 AND nc.n > 0 THEN 'SUCCESS' ELSE 'REFUSED_SCHEMA' END AS status
 FROM cell_sides s LEFT JOIN side_n nq ON nq.side = s.qs LEFT JOIN side_n nc ON nc.side = s.cs""")
 C.relation("families", """
 SELECT family, max(listed) AS listed FROM (SELECT family, 1 AS listed FROM side_family UNION ALL SELECT p_type AS family, 0 AS listed FROM part WHERE p_type IS NOT NULL) u GROUP BY family""")
@@ -61,7 +72,7 @@ SELECT cell, family, CASE WHEN status <> 'SUCCESS' THEN 'CELL_REFUSED' WHEN list
 C.spark("stability_within_estimand", """
 SELECT estimand, family, count(*) AS n_cells, sum(CASE WHEN effect > 0 THEN 1 ELSE 0 END) AS n_positive, sum(CASE WHEN effect < 0 THEN 1 ELSE 0 END) AS n_negative, round(min(effect), 9) AS least, round(median(effect), 9) AS middle, round(max(effect), 9) AS most FROM whole_grid WHERE effect IS NOT NULL GROUP BY estimand, family""")
 C.spark("cell_status_histogram", """
-SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED'), ('FAILED'), ('SKIPPED'), ('PENDING')) AS v(status)
+SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED_GUARD'), ('REFUSED_SCHEMA'), ('NOT_ESTIMABLE'), ('ERROR')) AS v(status)
 LEFT JOIN (SELECT status, count(*) AS n FROM cell_status GROUP BY status) g ON g.status = v.status""")
 C.query("guard_battery", """
 SELECT 'four_states' AS guard, count(*) = 0 AS passed FROM hits WHERE state NOT IN ('not_searched', 'no_sequence_match', 'hit_below_floor', 'used')

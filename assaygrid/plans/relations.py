@@ -72,6 +72,8 @@ class Catalogue:
 
     def plan(self, spark: SparkSession, name: str, base: Callable[[str], str], held: dict[str, DataFrame], params: dict | None = None) -> DataFrame:
         """The query or relation over tables by ``base`` and the relations that are held; what is stored is written and held."""
+        if name in held:
+            return held[name]
         body = self.whole.get(name) or self.queries.get(name) or self.relations[name]
         for n in self.needed(body, set(held)):
             if n in self.stored and n not in held:

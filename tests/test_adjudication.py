@@ -47,3 +47,26 @@ def test_admitted_pairs_are_fewer(spark):
     assert {r.admitted for r in got} == {True, False}
     kinds = {r.decision for r in QUERIES["component_adjudication"](spark, "/root/testdata/sf0.01").select("decision").distinct().collect()}
     assert kinds == {"collapse", "deferred", "refuse_merge"}
+
+
+def test_both_passes_of_a_proposal(spark):
+    """A chain is deferred as a whole; its tight pairs are proposed again, an equal cluster is not; each outcome occurs."""
+    import pytest
+
+    from assaygrid.operators.adjudication import adjudicate_all
+    from assaygrid.sources.readers import Refusal
+
+    schema = "u long, v long, overlap_frac_source double, overlap_frac_target double, overlap_bp long, ppm_similarity double, signed_cwm_similarity double, empirical_p_value double"
+    good = (1.0, 1.0, 9, 0.95, 0.5, 0.05)
+    rows = [(1, 2, *good), (2, 3, 1.0, 1.0, 9, 0.5, 0.5, 0.05), (10, 11, *good), (20, 21, *good[:4], -0.9, 0.05), (30, 31, 0.8, 1.0, 9, 0.95, 0.5, 0.05), (40, 41, *good)]
+    motif = lambda i: (i, "G" if i == 41 else "F", None, 0.5, 10 + i, 1.0, 1)
+    motifs = spark.createDataFrame([motif(i) for r in rows for i in r[:2]], "node long, family string, variant string, completeness double, seqlets long, core_ic double, recurrence int").distinct()
+    out = adjudicate_all(spark.createDataFrame(rows, schema), motifs).collect()
+    got = {(r["pass"], tuple(r.members)): (r.decision, r.reason, r.medoid) for r in out}
+    assert got["wide", ("1", "2", "3")][:2] == ("deferred", "unregistered_pairs") and got["tight", ("1", "2")] == ("collapse", "member_gates", 2)
+    assert got["wide", ("10", "11")] == ("collapse", "member_gates", 11) and got["wide", ("20", "21")][0] == "refuse_merge"
+    assert got["wide", ("30", "31")][:2] == ("deferred", "criterion_not_defined") and got["wide", ("40", "41")][:2] == ("refuse_merge", "criterion")
+    assert len(got) == 6 and len({r.decision_id for r in out}) == 6
+    for bad in ([*rows, (2, 1, *good)], [*rows, (1, 99, *good)]):
+        with pytest.raises(Refusal):
+            adjudicate_all(spark.createDataFrame(bad, schema), motifs)

@@ -204,6 +204,6 @@ def test_grid_keeps_families_of_one_side(spark, tmp_path, sides):
             by.setdefault((cell.split("/")[0], f), []).append(v)
     assert {(r.estimand, r.family): (r.n_cells, r.n_positive, r.n_negative) for r in run("stability_within_estimand")} == {k: (len(v), sum(x > 1e-12 for x in v), sum(x < -1e-12 for x in v)) for k, v in by.items()}
     status = {r.status: r.n_cells for r in run("cell_status_histogram")}
-    assert status == {"SUCCESS": 9 * (sides == "FOP"), "REFUSED": 9 * (sides != "FOP"), "FAILED": 0, "SKIPPED": 0, "PENDING": 0}
+    assert status == {"SUCCESS": 9 * (sides == "FOP"), "REFUSED_SCHEMA": 9 * (sides != "FOP"), "REFUSED_GUARD": 0, "NOT_ESTIMABLE": 0, "ERROR": 0}
     want = {"ESTIMATED", "MEASURED_ZERO", "NOT_ESTIMABLE", "NOT_SEARCHED", "NOT_IN_LEXICON"} if sides == "FOP" else {"CELL_REFUSED"}
     assert set(states.values()) == want
