@@ -463,3 +463,51 @@ def test_bca_of_any_statistic(spark):
     df = spark.createDataFrame(rows, "family string, block int, q array<double>, c array<double>")
     got = {r.family: r for r in bca_of(df, lambda a, b: sum(a) / len(a) - sum(b) / len(b), 200).collect()}
     assert got["A"].ci_low < got["A"].estimate < got["A"].ci_high and got["few"].estimate == 1.0 and got["few"].ci_low is None
+
+
+def test_command_line(spark, tmp_path):
+    """Every stage that needs no HDF5, end to end; a refusal exits with 4 and says so in the status."""
+    import random
+
+    from assaygrid.cli import main
+
+    run = lambda *a: main(list(map(str, a)), spark)
+    status = lambda d: json.loads((tmp_path / d / "run_status.json").read_text())
+    hits_of(spark, planted(64)).write.parquet(str(tmp_path / "h.parquet"))
+    for name, odd in (("q", 0), ("c", 1)):
+        (tmp_path / f"{name}.bed").write_text("".join(f"chr1\t1\t2\tr{b}_{r}\n" for b in range(64) if b % 2 == odd for r in range(4)))
+    ask = ("--peaks", tmp_path / "q.bed", "--comparator", tmp_path / "c.bed", "--comparator-id", "c", "--selection-provenance", "EXTERNAL", "--bootstrap", 60)
+    assert run("interpret", tmp_path / "h.parquet", *ask, "--out", tmp_path / "i") == 0 and status("i")["status"] == "COMPLETED"
+    assert run("infer", tmp_path / "h.parquet", *ask, "--out", tmp_path / "e") == 0
+    assert {r["family_id"] for r in sinks.read_tsv(tmp_path / "e" / "effect_estimates.tsv")} == {"A", "B"}
+    assert run("infer", tmp_path / "h.parquet", *ask[:-4], "--selection-provenance", "EYEBALLED", "--out", tmp_path / "r") == 4 and status("r")["status"] == "REFUSED"
+    assert run("report", tmp_path / "i" / "interpretation.json", "--out", tmp_path / "rep") == 0 and "Effects" in (tmp_path / "rep" / "report.md").read_text()
+    assert run("report", tmp_path / "none.json", "--out", tmp_path / "rep2") == 4
+    rng = random.Random(1)
+    names = [f"n{i}" for i in range(5)]
+    mats = [(n, "cwm", [[rng.gauss(0, 1) for _ in range(4)] for _ in range(10)]) for n in names[:4]]
+    schema = "node_id string, variant_id string, metacluster string, discovery_tier string, analysis_tier string, seqlet_count long, core_start int, core_end int"
+    nodes = spark.createDataFrame([(n, f"v{n}", "pos", "core", "core", 200, 0, 10) for n in names], schema)
+    sinks.write_registry(str(tmp_path / "reg"), {}, nodes, spark.createDataFrame(mats, "node_id string, kind string, mat array<array<double>>"))
+    assert run("align", tmp_path / "reg", "--null-shuffles", 3, "--out", tmp_path / "al") == 0
+    summary = json.loads((tmp_path / "al" / "alignment_run_summary.json").read_text())
+    assert (summary["n_pairs_considered"], summary["n_edges"], summary["n_pairs_excluded_by_reason"]["node_not_registrable"]) == (10, 6, 4)
+    (tmp_path / "m.json").write_text(json.dumps({"tomtom": {"version": "1", "matches": [{"node_id": "n0", "matched_motif_id": "a", "q": 0.01}]}}))
+    assert run("annotate", tmp_path / "m.json", "--registry", tmp_path / "reg", "--section", "tomtom", "--section", "homer", "--out", tmp_path / "an") == 0
+    assert [b["status"] for b in json.loads((tmp_path / "an" / "annotation_backends.json").read_text())] == ["VERIFIED", "UNVERIFIED"]
+    ds = [{"cluster_id": "k", "decision": "collapse", "representative": "n0", "members": ["n0", "n1"], "merge_confidence": "high"}]
+    sinks.put_json(tmp_path / "d.json", {"artifact_id": identity.digest({"decisions": ds}), "decisions": ds})
+    assert run("compile", tmp_path / "reg", "--decisions", tmp_path / "d.json", "--out", tmp_path / "co") == 0
+    assert manifests.read_lexicons(tmp_path / "co" / "lexicons")["core"]["n_motifs"] == 4
+    rows = [(f"p{i}", h, 1.0, 1.0) for i in range(40) for h in "ab"]
+    change(spark, rows).write.parquet(str(tmp_path / "b.parquet"))
+    change(spark, [(p, "c" if h == "b" else h, x, y) for p, h, x, y in rows]).write.parquet(str(tmp_path / "a.parquet"))
+    assert run("validate", tmp_path / "b.parquet", "--after", tmp_path / "a.parquet", "--decision-id", "d", "--out", tmp_path / "v") == 0
+    assert run("validate", tmp_path / "b.parquet", "--after", tmp_path / "a.parquet", "--decision-id", "d", "--out", tmp_path / "v") == 4
+    assert run("ingest", tmp_path / "m.json", "--out", tmp_path / "in") == 4
+    assert run("multiverse", tmp_path / "m.json", "--out", tmp_path / "mu") == 4
+    e = spark.createDataFrame([(1, 2, 1.0, 1.0, 9, 0.95, 0.5, 0.05)], "u long, v long, overlap_frac_source double, overlap_frac_target double, overlap_bp long, ppm_similarity double, signed_cwm_similarity double, empirical_p_value double")
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    spark.createDataFrame([(i, "F", None, 0.5, 10 + i, 1.0, 1) for i in (1, 2)], "node long, family string, variant string, completeness double, seqlets long, core_ic double, recurrence int").write.parquet(str(tmp_path / "motifs.parquet"))
+    assert run("adjudicate", tmp_path / "edges.parquet", "--motifs", tmp_path / "motifs.parquet", "--out", tmp_path / "ad") == 0
+    assert manifests.read_decisions(spark, tmp_path / "ad" / "merge_decisions.json").first().decision == "collapse"
