@@ -1,24 +1,18 @@
 """Helpers shared by the corpus operators: shipping code, shared scratch tables, ordered streams.
 
-Nothing here looks at a machine-local folder on a cluster.  Intermediate tables are written to the folder
-named by ``spark.checkpoint.dir``; where that setting is absent, a local session gets a folder of our own and
-a cluster is refused.
+Intermediate tables are the engine's (``sources.scratch``): written to the folder named by
+``spark.checkpoint.dir``; where that setting is absent, a local session gets a folder of its own and a cluster
+is refused.
 """
 
 from __future__ import annotations
 
-import contextlib
-import functools
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import discard, drop_scratch, scratch_dir, setting, ship, written  # noqa: F401
+
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch sent to Python: texts can be long, so batches are small.
@@ -39,92 +33,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@functools.cache
-def _archive() -> str:
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, p.relative_to(root.parent))
-    return path
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Executors import the operators from a zip file that the driver serves."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        spark.sparkContext.addPyFile(_archive())
-        _shipped.add(app)
-
-
-@functools.cache
-def _own_scratch() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="scratch-")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only in a local session without one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not named and not (master == "local" or master.startswith("local[")):
-        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-    return named or _own_scratch()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """A setting of the session while a block runs; the caller's value comes back after it."""
-    held = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
-
-
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path, schema = scratch_path(spark, name), df.schema
-    with setting(spark, CLEAN, "true"):  # the write's shuffle files go when it ends
-        df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    _paths[id(out)] = (out, path)
-    return out
-
-
-_paths: dict[int, tuple[DataFrame, str]] = {}
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that no later step reads."""
-    for df in tables:
-        _, path = _paths.pop(id(df), (None, None))
-        if path:
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove every table that ``written`` made; call it once the results have been stored."""
-    _paths.clear()
-    _delete(spark, f"{scratch_dir(spark).rstrip('/')}/tables")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

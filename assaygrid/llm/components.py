@@ -1,45 +1,12 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
-
-Every step is a grouped minimum and a join, so a node with very many edges is summed before it is shuffled
-and its join can be split; each round is written to the shared folder.  Labels are the smallest node.
-"""
+"""Connected components of an edge table: the engine's star rounds.  Labels are the smallest node."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import common
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        both = both.filter("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    out = both.join(least, "u")
-    if large:
-        return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    linked = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return linked.filter("u <> v").distinct()
-
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+from ..operators.graph import hung
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component of every node of the undirected edges (u, v) but the smallest of each component."""
-    now = common.written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    before = _state(now)
-    for _ in range(most):
-        if not before[0]:
-            break
-        now = common.written(_star(_star(now, True), False), "edges")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return hung(edges, most)
