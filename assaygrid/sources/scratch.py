@@ -10,8 +10,10 @@ import contextlib
 import functools
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,3 +103,22 @@ def drop_scratch(spark: SparkSession) -> None:
     """Remove every table that ``written`` made; call it once the results have been stored."""
     _paths.clear()
     _delete(spark, f"{scratch_dir(spark).rstrip('/')}/tables")
+
+
+@contextlib.contextmanager
+def progress(spark: SparkSession, said: Callable[[int, int], None], every: float = 1.0):
+    """While a block runs, ``said(done, total)`` hears of the tasks of the stages that are under way."""
+    over, tracker = threading.Event(), spark.sparkContext.statusTracker()
+
+    def watch() -> None:
+        while not over.wait(every):
+            stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+            said(sum(x.numCompletedTasks for x in stages), sum(x.numTasks for x in stages))
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()

@@ -511,3 +511,24 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([(i, "F", None, 0.5, 10 + i, 1.0, 1) for i in (1, 2)], "node long, family string, variant string, completeness double, seqlets long, core_ic double, recurrence int").write.parquet(str(tmp_path / "motifs.parquet"))
     assert run("adjudicate", tmp_path / "edges.parquet", "--motifs", tmp_path / "motifs.parquet", "--out", tmp_path / "ad") == 0
     assert manifests.read_decisions(spark, tmp_path / "ad" / "merge_decisions.json").first().decision == "collapse"
+
+
+def test_generator_and_progress(spark, tmp_path):
+    import time
+
+    from assaygrid.operators.registration import register
+    from assaygrid.sources.generator import make_registry
+    from assaygrid.sources.scratch import progress
+
+    f = __import__("pyspark.sql.functions", fromlist=["col"])
+    for name, seed in (("a", 1), ("b", 1), ("c", 2)):
+        make_registry(spark, str(tmp_path / name), seed)
+    read = {n: manifests.read_registry(spark, str(tmp_path / n)) for n in "abc"}
+    mats = {n: sorted(r[2].collect()) for n, r in read.items()}
+    assert mats["a"] == mats["b"] != mats["c"] and read["a"][1].groupBy("metacluster").count().count() == 2
+    motifs = read["a"][2].filter("kind = 'cwm'").select(f.xxhash64("node_id").alias("node"), f.flatten("mat").alias("embedding"))
+    assert register(motifs).filter("signed_cwm_similarity < 0").count() == 8  # 4 positive times 2 negative ones
+    heard = []
+    with progress(spark, lambda done, total: heard.append((done, total)), 0.05):
+        spark.range(4).repartition(4).rdd.map(lambda x: time.sleep(0.5)).count()
+    assert heard and max(t for _, t in heard) >= 4
