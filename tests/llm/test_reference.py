@@ -331,3 +331,40 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
 
 def test_brute_substring_version_sees_repeats():
     assert sum(x[2] for x in brute_substrings(fixture())) > 0
+
+
+def test_huge_texts_null_and_repeated_ids(docs):
+    """Substrings, near duplicates and mixing on the same odd rows, against the plain versions."""
+    from assaygrid.llm import minhash, substring
+
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove(docs).collect()]
+    assert sorted(got, key=repr) == brute_substrings(rows)
+    sets, label = [shingles(r[1], 4) for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    ids = {c: [rows[i][0] for i in range(len(rows)) if label[i] == c and rows[i][0] is not None] for c in set(label)}
+    want = sorted(((rows[i][0], len(sets[i]), min(ids[label[i]], default=None)) for i in range(len(rows))), key=repr)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, size=4).collect()), key=repr) == want
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == len(rows) and all(r["size"] == len(words(r.text)) and r.taken <= 2 * r["size"] for r in taken)
+
+
+def test_packing_stage_gives_the_pieces(spark, docs):
+    same = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert same(packing.stage(spark, docs, "")) == same(packing.digest(packing.pack(docs, tokens.tokenizer_path())))
+
+
+def test_embeddings_of_uneven_lengths(spark):
+    from assaygrid.llm import hnsw
+
+    rng = np.random.default_rng(3)
+    base = [rng.normal(size=n) for n in (3, 8, 200, 64)]
+    rows = [(10 * k + i, [float(x) for x in v * (1 + i)] + [0.0] * i) for k, v in enumerate(base) for i in range(3)] + [(90, []), (91, None), (5, [1.0]), (5, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in hnsw.near_duplicates(df, min_shards=2, width=4).collect())
+    want = sorted([(10 * k + i, 2, 10 * k) for k in range(4) for i in range(3)] + [(90, 0, 90), (91, 0, 91), (5, 1, 5), (5, 1, 5)])
+    assert got == want
