@@ -8,7 +8,7 @@ out are not shuffled (it only drops candidates that no word has); the others are
 hash, and the word that the edit gives is compared with the word found, which makes hash collisions harmless.
 
 A candidate row is a few numbers, whatever the word's length.  A join key is the hash of one word, and at
-most the neighbourhood of that word shares it, so no key is hot.  The bit table has 32 bits a word and at most
+most the neighbourhood of that word shares it, so no key is hot.  The bit table has 32 to 64 bits a word and at most
 ``BITS`` (32 MB); in a larger vocabulary it only rules out less.  Chains of forms are followed by pointer
 doubling: a form occurs at least ``ratio`` times as often as its word, so the greatest count bounds their length.
 
@@ -29,11 +29,13 @@ from .words import mixed
 #: Letters of a word; all of them are single bytes in Latin-1.
 LETTERS = "A-Za-zÀ-ÿ"
 BITS = 1 << 28
-#: Cells of a word x place table that a worker edits at a time.
-CELLS = 1 << 19
+#: Cells of a word x place table that a worker edits at a time: so few that the processor's cache holds them.
+CELLS = 1 << 14
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 _VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_PUT = np.array([*map(chr, range(256)), ""], dtype=object)
+_BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
 
 
 def powers(n: int) -> np.ndarray:
@@ -42,10 +44,6 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def ended(h: np.ndarray, length: int) -> np.ndarray:
-    return mixed(h + np.uint64(length * 0x2545F4914F6CDD1D & (1 << 64) - 1))
-
-
 def by_length(words: list[str]):
     """Places of words of one length and their letters as a table of bytes, in parts of at most CELLS cells."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -63,7 +61,7 @@ def hashes(words: list[str]) -> np.ndarray:
     out = np.zeros(len(words), np.uint64)
     for at, cells in by_length(words):
         n = cells.shape[1]
-        out[at] = ended((_VALUE[cells] * powers(n)[:n]).sum(1, dtype=np.uint64), n)
+        out[at] = (_VALUE[cells] * powers(n)[:n]).sum(1, dtype=np.uint64)
     return out
 
 
@@ -81,19 +79,26 @@ def edits(cells: np.ndarray, alphabet: np.ndarray):
     total = upto[:, -1:]
     again = np.zeros((k, n + 1), bool)  # the letter at a place equals the one before it
     again[:, 1:n] = cells[:, 1:] == cells[:, :-1]
-    yield ended(upto[:, :-1] + (total - upto[:, 1:]) * _INVERSE, n - 1), ~again[:, :n], 1, -1
+    yield upto[:, :-1] + (total - upto[:, 1:]) * _INVERSE, ~again[:, :n], 1, -1
     rest, moved = total - v, upto + (total - upto) * np.uint64(_BASE)
     for x in alphabet.tolist():
-        same = cells == x
-        yield ended(rest + _VALUE[x] * p[:n], n), ~same, 1, x
         fresh = np.ones((k, n + 1), bool)
-        fresh[:, 1:] = ~same
-        yield ended(moved + _VALUE[x] * p[: n + 1], n + 1), fresh, 0, x
+        np.not_equal(cells, x, out=fresh[:, 1:])
+        put = _VALUE[x] * p[: n + 1]
+        yield rest + put[:n], fresh[:, 1:], 1, x
+        yield moved + put, fresh, 0, x
+
+
+def held(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (table[place >> np.uint64(3)] & _BIT[place & np.uint64(7)]) != 0
 
 
-def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of a table of ``bits`` bits (a power of two) for each hash."""
-    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
+def kept(table: np.ndarray, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells whose hash has both its bits in the table; the second bit is looked up only where the first is there."""
+    bits = (len(table) * 8).bit_length() - 1
+    i, j = np.nonzero(held(table, h >> np.uint64(64 - bits)) & counts)
+    keep = held(table, h[i, j] >> np.uint64(64 - 2 * bits) & np.uint64(len(table) * 8 - 1))
+    return i[keep], j[keep]
 
 
 def word_counts(docs: DataFrame, least_length: int = 7, least: int = 2, run: Column | None = None) -> DataFrame:
@@ -107,11 +112,26 @@ def word_counts(docs: DataFrame, least_length: int = 7, least: int = 2, run: Col
     return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def blocks(pdfs, letters: int = 1 << 18):
+    """Batches put together until they hold so many letters, so that words of one length fill a table."""
+    import pandas as pd
+
+    held, size = [], 0
+    for pdf in pdfs:
+        held.append(pdf)
+        size += int(pdf["word"].str.len().sum())
+        if size >= letters:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def hashed_vocabulary(counts: DataFrame) -> DataFrame:
     """id, word, n, h: each distinct word with an id and its hash, written."""
 
     def run(pdfs):
-        for pdf in pdfs:
+        for pdf in blocks(pdfs):
             pdf["h"] = hashes(pdf["word"].tolist()).view(np.int64)
             yield pdf
 
@@ -121,12 +141,12 @@ def hashed_vocabulary(counts: DataFrame) -> DataFrame:
 
 def bit_table(vocabulary: DataFrame, words: int) -> np.ndarray:
     """Bits of the vocabulary's hashes: 32 for each word, rounded up, and at most BITS."""
-    bits = min(BITS, 1 << max(10, (32 * words - 1).bit_length()))
-    h = F.col("h")
-    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))))
+    size = min(BITS, 1 << max(10, (32 * words - 1).bit_length()))
+    bits, h = size.bit_length() - 1, F.col("h")
+    place = F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(h, 64 - 2 * bits).bitwiseAND(F.lit(size - 1))))
     spread = vocabulary.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
     got = spread.toArrow()
-    table = np.zeros(bits >> 6, np.int64)
+    table = np.zeros(size >> 6, np.int64)
     table[got["at"].to_numpy()] = got["b"].to_numpy()
     return table.view(np.uint8)
 
@@ -141,22 +161,16 @@ def candidates(vocabulary: DataFrame) -> DataFrame:
         import pandas as pd
 
         table, alphabet = shared.value
-        bits = len(table) * 8
-        for pdf in pdfs:
-            ids = pdf["id"].to_numpy()
+        for pdf in blocks(pdfs):
+            ids, out = pdf["id"].to_numpy(), []
             for at, cells in by_length(pdf["word"].tolist()):
-                out = []
                 for h, counts, cut, put in edits(cells, alphabet):
-                    one, two = places(h, bits)
-                    keep = counts & ((table[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                    i, j = np.nonzero(keep)
-                    two = two[i, j]
-                    keep = ((table[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                    i, j = i[keep], j[keep]
+                    i, j = kept(table, h, counts)
                     if len(i):
-                        out.append(pd.DataFrame({"h": h[i, j].view(np.int64), "source": ids[at[i]], "place": j, "cut": cut, "put": "" if put < 0 else chr(put)}))
-                if out:
-                    yield pd.concat(out)
+                        out.append((h[i, j].view(np.int64), ids[at[i]], j, np.full(len(i), cut), np.full(len(i), put)))
+            if out:
+                h, source, place, cut, put = map(np.concatenate, zip(*out, strict=True))
+                yield pd.DataFrame({"h": h, "source": source, "place": place, "cut": cut, "put": _PUT[put]})
 
     return vocabulary.select("id", "word").mapInPandas(run, "h long, source long, place int, cut int, put string")
 
