@@ -74,7 +74,8 @@ class Encoder:
     The tokenizer's pattern never joins characters across the cuts made here: before a lone space, at a line
     end, after a run of letters, and before one (unless a space or an apostrophe stands before it).  So a
     text's ids are those of its pieces.  Pieces of a block are told apart by two 64-bit hashes, worked out in
-    numpy; only distinct pieces reach the tokenizer.  A piece of letters is one word of the pattern and goes
+    numpy; only distinct pieces reach the tokenizer.  A text that holds the string of an added token (such as
+    an end-of-text mark, which the library makes one id) goes to the tokenizer whole.  A piece of letters is one word of the pattern and goes
     to the tokenizer's model directly; the others are encoded as texts.
     """
 
@@ -82,10 +83,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tool.model
         self.dtype = np.dtype("<u2") if self.tool.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        added = sorted((t.content for t in self.tool.get_added_tokens_decoder().values() if t.content), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[bytes, bytes] = {}
         self.held = 0
         kind = json.loads(self.tool.to_str())["pre_tokenizer"] or {}
@@ -157,7 +159,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not self.by_bytes:
+            if not self.by_bytes or (self.added and self.added.search(t)):
                 out[i] = self.raw(t)
             elif EDGE.match(t[0]) or EDGE.match(t[-1]) or OTHER.search(t):
                 out[i] = b"".join([self.raw(" " + p if k else p) for k, p in enumerate(LONE.split(t))])

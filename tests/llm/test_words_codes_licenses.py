@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from assaygrid.llm import codes, licenses, spelling
+from assaygrid.llm import codes, licenses, packing, spelling, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, word string, n int, near string, matches string, h long"
 
@@ -228,3 +228,20 @@ def test_scan_of_documents(spark):
     span = [m for r in licenses.scan(docs.filter("doc_id = 1")).collect() for m in r.matches]
     assert [(m.label, m.exact, m.first_word, m.words, m.text, m.edits > 0) for m in span] == [("mit", False, 0, 5, "relesed under the mit licence", True)]
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_strings_of_added_tokens_are_encoded_as_the_library_does(spark):
+    """Texts with the end-of-text mark, whole, cut and doubled, in shards and in packed pieces: the library's own ids."""
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(tokens.tokenizer_path())
+    mark = "<|endoftext|>"
+    texts = ["hello <|endoftext|> world", mark, mark * 3, f"a{mark}b", "<|endoftext| >", f"x\n{mark}\n\ny {mark} z", f"日本 {mark}  ü", "plain words", None, mark[:-1] + " " + mark]
+    docs = spark.createDataFrame(rows(list(enumerate(texts))), SCHEMA).repartition(2)
+    ids = {i: tool.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert 50256 in ids[0] and [b for b in tokens.encoder(tokens.tokenizer_path()).encode(texts)] == [np.array(ids[i], "<u2").tobytes() for i in range(len(texts))]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(*tokens.write_tokens(docs, tokens.tokenizer_path())).collect()}
+    assert got == {i: (len(x) + 1, crc([*x, 0])) for i, x in ids.items()}
+    whole = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, tokens.tokenizer_path()).collect() if r.start == 0 and r.length == r.doc_tokens}
+    assert whole and all(v == (len(ids[i]) + 1, crc([*ids[i], 1])) for i, v in whole.items())
