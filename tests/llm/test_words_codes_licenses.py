@@ -243,5 +243,5 @@ def test_strings_of_added_tokens_are_encoded_as_the_library_does(spark):
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(*tokens.write_tokens(docs, tokens.tokenizer_path())).collect()}
     assert got == {i: (len(x) + 1, crc([*x, 0])) for i, x in ids.items()}
-    whole = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, tokens.tokenizer_path()).collect() if r.start == 0 and r.length == r.doc_tokens}
+    whole = {r.doc_id: (r.length, r.ids_crc32) for r in packing.digest(packing.pack(docs, tokens.tokenizer_path())).collect() if r.start == 0 and r.length == r.doc_tokens}
     assert whole and all(v == (len(ids[i]) + 1, crc([*ids[i], 1])) for i, v in whole.items())
