@@ -90,6 +90,8 @@ def _ingest(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gu
 
 def _align(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.GuardLog) -> str:
     """Edges, null summary and excluded pairs; considered = edges + excluded, or no summary is written."""
+    if a.null_shuffles < 1:
+        raise Refusal(f"--null-shuffles is at least 1, not {a.null_shuffles}")
     _, nodes, mats = manifests.read_registry(spark, a.registry)
     flat = mats.filter("kind = 'cwm'").select("node_id", F.flatten("mat").alias("embedding"))
     # a registry's nodes fit the driver; ids in their order become numbers, the smaller one the source

@@ -15,7 +15,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "NA"  # fixed value: the sentinel of an absent cell in files
@@ -93,17 +93,58 @@ def alignment_id(edge: Mapping[str, Any]) -> str:
 
 
 def json_text(column: Column) -> Column:
-    """A text as a JSON string, quotes, backslashes and control characters escaped."""
-    whole = F.to_json(F.struct(column.cast("string").alias("x")))  # {"x":"..."}
-    return whole.substr(F.lit(6), F.length(whole) - 6)
+    """A text as a JSON string of ASCII characters: what is not printable ASCII is escaped by UTF-16 unit; null is null."""
+    text = column.cast("string")
+    short = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
 
+    def unit(u: Column) -> Column:
+        out = F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+        for code, form in short.items():
+            out = F.when(u == code, F.lit(form)).otherwise(out)
+        return out
 
-def row_id(kind: str, **columns: Column) -> Column:
-    """kind:SHA-256 of the canonical JSON of text columns, for rows of any number."""
-    parts = [x for i, (k, c) in enumerate(sorted(columns.items())) for x in (F.lit(f'{"," if i else ""}"{k}":'), json_text(c))]
+    escaped = F.array_join(F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("...."), F.lit(0)), unit), "")
+    plainly = ~text.rlike('[^ -~]|["\\\\]')
+    return F.coalesce(F.concat(F.lit('"'), F.when(plainly, text).otherwise(escaped), F.lit('"')), F.lit("null"))
+
+
+def json_list(column: Column) -> Column:
+    """A JSON array of an array of texts, in its order."""
+    return F.concat(F.lit("["), F.array_join(F.transform(column, json_text), ","), F.lit("]"))
+
+
+def row_id(kind: str, json: dict[str, Column] | None = None, **columns: Column) -> Column:
+    """kind:SHA-256 of the canonical JSON of text columns, for rows of any number; ``json`` has values that are JSON already."""
+    values = {**{k: json_text(c) for k, c in columns.items()}, **(json or {})}
+    parts = [x for i, (k, v) in enumerate(sorted(values.items())) for x in (F.lit(f'{"," if i else ""}"{k}":'), v)]
     return F.concat(F.lit(f"{kind}:"), F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256))
 
 
+def member_names(members: DataFrame, leaf: int = 4096, fan: int = 10) -> DataFrame:
+    """component, n, members: one JSON value that names the set of nodes (texts) of each component; no row grows with it.
+
+    Up to ``leaf`` members it is their sorted JSON array.  A larger set is dealt by a hash of the member into leaves of
+    about that many; a leaf's SHA-256 is that of its sorted array, and 2**fan digests at a time are hashed into one, up
+    to a root.  The name depends on the members alone, not on partitions or on their order.
+    """
+    node = F.col("node").cast("string")
+    sized = members.groupBy("component").agg(F.count("*").alias("n"))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / leaf))).cast("int")
+    dealt = members.join(sized.withColumn("bits", bits), "component").withColumn("at", F.conv(F.substring(F.md5(node), 1, 15), 16, 10).cast("long"))
+    dealt = dealt.withColumn("at", F.expr("shiftright(at, 60 - bits)"))
+    rows = dealt.groupBy("component", "n", "bits", "at").agg(json_list(F.array_sort(F.collect_list(node))).alias("name"))
+    deepest = sized.agg(F.max(bits)).first()[0] or 0
+    rows = rows.withColumn("name", F.when(F.col("bits") == 0, F.col("name")).otherwise(F.sha2("name", 256)))
+    for _ in range(-(-deepest // fan)):
+        step = F.least("bits", F.lit(fan))
+        rows = rows.withColumns({"up": F.expr(f"shiftright(at, least(bits, {fan}))"), "rest": F.col("bits") - step})
+        joined = F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])
+        rows = rows.groupBy("component", "n", "rest", "bits", F.col("up").alias("at")).agg(joined.alias("names"))
+        rows = rows.select("component", "n", F.col("rest").alias("bits"), "at", F.when(F.col("bits") == 0, F.col("names")[0]).otherwise(F.sha2(F.array_join("names", ","), 256)).alias("name"))
+    whole = F.when(F.col("n") <= leaf, F.col("name")).otherwise(F.concat(F.lit('{"members":'), F.col("n").cast("string"), F.lit(',"root":"'), F.col("name"), F.lit('"}')))
+    return rows.select("component", "n", whole.alias("members"))
+
+
 def candidate_id(node: Column, source: Column, version: Column, matched: Column) -> Column:
     """A proposed database match, independent of the order of rows."""
     return row_id("annotation", node_id=node, source=source, source_version=version, matched_motif_id=matched)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import file_digest, short_id
 from ..sources.readers import Refusal, read_hits, read_regions
 from ..sources.sinks import GuardLog, curve_text, write_grid
-from .guards import no_cross_estimand_pooling
+from .guards import GuardRefusal, no_cross_estimand_pooling
 from .reading import BLOCK, REPLICATES, Floors, Query, Reading, interpret
 
 # What becomes of a cell, and of a family in a cell.
@@ -151,7 +151,7 @@ def run_cell(spark: SparkSession, root: str, cell: Cell, table: Callable[[str],
         out.reading = interpret(hits, q, Floors(c.floor_coverage, int(c.floor_blocks), c.floor_explained), c.block_size, c.n_bootstrap, c.seed, c.estimator, log=log)
         out.status, out.reason = (SUCCESS, "") if out.reading.effects is not None else (NOT_ESTIMABLE, out.reading.suppression or "no effect is licensed")
     except Refusal as error:
-        out.status, out.reason = (REFUSED_GUARD if log and log.held and not log.held[-1]["passed"] else REFUSED_SCHEMA), str(error)
+        out.status, out.reason = (REFUSED_GUARD if isinstance(error, GuardRefusal) else REFUSED_SCHEMA), str(error)
     except Exception as error:
         out.reason = str(error).splitlines()[0]
     return out

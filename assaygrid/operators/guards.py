@@ -31,6 +31,10 @@ IDENTIFIERS = {"variant_id", "pattern_key", "motif_name", "node_id", "region_id"
 CUTS = {"split", "startswith", "endswith", "strip", "removeprefix"}
 
 
+class GuardRefusal(Refusal):
+    """A guard failed, as against a table or a declaration that cannot be read."""
+
+
 @dataclass(frozen=True)
 class Verdict:
     guard: str
@@ -238,4 +242,4 @@ def require(found: list[Verdict], log=None, subject: str = "") -> None:
             log.record(v, subject)
     failed = [v for v in found if not v.passed]
     if failed:
-        raise Refusal("; ".join(f"{v.guard}: {v.detail}" for v in failed))
+        raise GuardRefusal("; ".join(f"{v.guard}: {v.detail}" for v in failed))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,13 @@ from ..sources.scratch import written
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 
+def named(text: str) -> list[str]:
+    """Names that a plan text reads from, as often as it does."""
+    return re.findall(r"\b(?:FROM|JOIN)\s+(?:\{\w+:)?(\w+)", text)
+
+
 def reads(text: str) -> set[str]:
-    """Names that a plan text reads from."""
-    return set(re.findall(r"\b(?:FROM|JOIN)\s+(?:\{\w+:)?(\w+)", text))
+    return set(named(text))
 
 
 class Catalogue:
@@ -31,7 +36,7 @@ class Catalogue:
         self.stored: set[str] = set()
 
     def relation(self, name: str, text: str, stored: bool = False) -> None:
-        """``stored``: a query that reads the relation writes it once and reads it back wherever it is needed."""
+        """``stored``: a query that would work the relation out more than once writes it and reads it back instead."""
         self.relations[name] = text.strip()
         if stored:
             self.stored.add(name)
@@ -61,6 +66,20 @@ class Catalogue:
         visit(text)
         return list(dict.fromkeys(out))
 
+    def repeated(self, body: str, held: set[str]) -> list[str]:
+        """The stored relations that a text, its other relations put in place, would work out more than once."""
+        order, times = self.needed(body, held), Counter(named(body))
+        out = []
+        for n in reversed(order):
+            if n in held:
+                continue
+            again = n in self.stored and times[n] > 1
+            if again:
+                out.append(n)
+            for m in named(self.relations[n]):
+                times[m] += 1 if again else times[n]
+        return out[::-1]
+
     def text(self, name: str, macros: dict, base: Callable[[str], str] | None = None, held: set[str] = frozenset(), params: dict | None = None) -> str:
         body = (base and self.whole.get(name)) or self.queries.get(name) or self.relations[name]
         own = self.needed(body, held)
@@ -75,8 +94,8 @@ class Catalogue:
         if name in held:
             return held[name]
         body = self.whole.get(name) or self.queries.get(name) or self.relations[name]
-        for n in self.needed(body, set(held)):
-            if n in self.stored and n not in held:
+        for n in self.repeated(body, set(held)):
+            if n not in held:
                 held[n] = written(self.plan(spark, n, base, held, params), n)
         text = self.text(name, SPARK, base, set(held), params)
         tables = {t: components(self.plan(spark, t[len("components_") :], base, held, params)) for t in set(re.findall(r"\{(components_\w+)\}", text))}

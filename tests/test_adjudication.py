@@ -51,6 +51,8 @@ def test_admitted_pairs_are_fewer(spark):
 
 def test_both_passes_of_a_proposal(spark):
     """A chain is deferred as a whole; its tight pairs are proposed again, an equal cluster is not; each outcome occurs."""
+    import json
+
     import pytest
 
     from assaygrid.operators.adjudication import adjudicate_all
@@ -62,7 +64,7 @@ def test_both_passes_of_a_proposal(spark):
     motif = lambda i: (i, "G" if i == 41 else "F", None, 0.5, 10 + i, 1.0, 1)
     motifs = spark.createDataFrame([motif(i) for r in rows for i in r[:2]], "node long, family string, variant string, completeness double, seqlets long, core_ic double, recurrence int").distinct()
     out = adjudicate_all(spark.createDataFrame(rows, schema), motifs).collect()
-    got = {(r["pass"], tuple(r.members)): (r.decision, r.reason, r.medoid) for r in out}
+    got = {(r["pass"], tuple(json.loads(r.members))): (r.decision, r.reason, r.medoid) for r in out}
     assert got["wide", ("1", "2", "3")][:2] == ("deferred", "unregistered_pairs") and got["tight", ("1", "2")] == ("collapse", "member_gates", 2)
     assert got["wide", ("10", "11")] == ("collapse", "member_gates", 11) and got["wide", ("20", "21")][0] == "refuse_merge"
     assert got["wide", ("30", "31")][:2] == ("deferred", "criterion_not_defined") and got["wide", ("40", "41")][:2] == ("refuse_merge", "criterion")
