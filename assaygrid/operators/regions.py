@@ -19,11 +19,11 @@ C.relation("peaks", """
 SELECT region_id, min(chrom) AS chrom, min(start_bp) AS start_bp, min(end_bp) AS end_bp, min(side) AS side, min(block) AS block,
        max(CASE WHEN state <> 'not_searched' THEN 1 ELSE 0 END) AS searched, count(family) AS opportunities,
        sum(CASE WHEN state = 'used' THEN 1 ELSE 0 END) AS n_used, sum(abs(coefficient)) AS mass
-FROM hits GROUP BY region_id""")
+FROM hits GROUP BY region_id""", stored=True)
 C.relation("rf", """
 SELECT region_id, family, min(side) AS side, min(block) AS block, sum(CASE WHEN state = 'used' THEN 1 ELSE 0 END) AS n_hits,
        coalesce(sum(coefficient), 0) AS signed, coalesce(sum(abs(coefficient)), 0) AS mass
-FROM hits WHERE family IS NOT NULL GROUP BY region_id, family""")
+FROM hits WHERE family IS NOT NULL GROUP BY region_id, family""", stored=True)
 C.relation("sides", """
 SELECT sum(CASE WHEN side = 'F' THEN 1 ELSE 0 END) AS nq, sum(CASE WHEN side = 'O' THEN 1 ELSE 0 END) AS nc FROM peaks WHERE searched = 1""")
 

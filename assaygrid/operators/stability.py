@@ -50,7 +50,7 @@ SELECT d.grp, d.delta, d.n, d.total, s.ahead + sum(d.n) OVER (PARTITION BY d.grp
 JOIN (SELECT grp, slot, sum(n) OVER (PARTITION BY grp ORDER BY slot) - n AS ahead FROM (SELECT grp, slot, sum(n) AS n FROM {slots} e GROUP BY grp, slot) y) s ON s.grp = d.grp AND s.slot = d.slot"""
 
 
-C.relation("delta_v", "SELECT 'all' AS grp, delta, count(*) AS n FROM peak_change GROUP BY delta UNION ALL SELECT 'affected' AS grp, delta, count(*) AS n FROM peak_change WHERE affected = 1 GROUP BY delta")
+C.relation("delta_v", "SELECT 'all' AS grp, delta, count(*) AS n FROM peak_change GROUP BY delta UNION ALL SELECT 'affected' AS grp, delta, count(*) AS n FROM peak_change WHERE affected = 1 GROUP BY delta", stored=True)
 C.relation("delta_k", ranked("delta_v"))
 C.relation("delta_m", "SELECT grp, avg(delta) AS middle FROM delta_k WHERE upto > (total - 1) / 2e0 AND upto - n <= total / 2e0 GROUP BY grp")
 C.relation("summed", """
