@@ -37,43 +37,60 @@ C.query("permission_matrix", """
 SELECT how, license, scope_plain AS scope, false AS attribution_derived, license <> 'DESCRIPTIVE_ONLY' AS may_test FROM provenance
 UNION ALL SELECT how, license, scope_attribution AS scope, true AS attribution_derived, license <> 'DESCRIPTIVE_ONLY' AS may_test FROM provenance""")
 C.relation("specs", """
-SELECT e.estimand, m.measure, concat_ws('/', e.estimand, m.measure) AS cell FROM (SELECT v.estimand, 1 AS one FROM (VALUES ('F_vs_O'), ('O_vs_F'), ('F_vs_P')) AS v(estimand)) e
-JOIN (SELECT v.measure, 1 AS one FROM (VALUES ('signed'), ('mass'), ('count')) AS v(measure)) m ON e.one = m.one""")
+SELECT estimand, measure, concat_ws('/', estimand, measure) AS cell FROM (VALUES ('F_vs_O', 'signed'), ('F_vs_O', 'mass'), ('F_vs_O', 'count'), ('O_vs_F', 'signed'), ('O_vs_F', 'mass'), ('O_vs_F', 'count'),
+  ('F_vs_P', 'signed'), ('F_vs_P', 'mass'), ('F_vs_P', 'count')) AS v(estimand, measure)""")
 C.relation("cell_sides", """
 SELECT cell, estimand, measure, substr(estimand, 1, 1) AS qs, substr(estimand, 6, 1) AS cs FROM specs""")
 C.relation("side_family", "SELECT side, family, sum(signed) AS signed, sum(mass) AS mass, sum(n_hits) AS n FROM rf GROUP BY side, family")
 C.relation("side_n", "SELECT side, sum(searched) AS n FROM peaks GROUP BY side")
-C.relation("grid", """
-SELECT s.cell, s.estimand, s.measure, q.family, CASE s.measure WHEN 'signed' THEN q.signed WHEN 'mass' THEN q.mass ELSE q.n END / nq.n - CASE s.measure WHEN 'signed' THEN c.signed WHEN 'mass' THEN c.mass ELSE c.n END / nc.n AS effect
-FROM cell_sides s JOIN side_n nq ON nq.side = s.qs AND nq.n > 0 JOIN side_n nc ON nc.side = s.cs AND nc.n > 0 JOIN side_family q ON q.side = s.qs JOIN side_family c ON c.side = s.cs AND c.family = q.family""")
-C.query("spec_grid", "SELECT cell, estimand, measure FROM specs")
-C.query("grid_effects", "SELECT cell, family, round(effect, 9) AS effect FROM grid")
-C.query("family_cell_states", "SELECT cell, family, CASE WHEN effect IS NULL THEN 'NOT_ESTIMABLE' WHEN round(effect, 12) = 0 THEN 'MEASURED_ZERO' ELSE 'ESTIMATED' END AS state FROM grid")
-C.query("stability_within_estimand", """
-SELECT estimand, family, count(*) AS n_cells, sum(CASE WHEN effect > 0 THEN 1 ELSE 0 END) AS n_positive, sum(CASE WHEN effect < 0 THEN 1 ELSE 0 END) AS n_negative, round(min(effect), 9) AS least, round(median(effect), 9) AS middle, round(max(effect), 9) AS most FROM grid GROUP BY estimand, family""")
-C.query("cell_status_histogram", """
-SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED_GUARD'), ('REFUSED_SCHEMA'), ('NOT_ESTIMABLE'), ('ERROR')) AS v(status)
-LEFT JOIN (SELECT 'SUCCESS' AS status, count(DISTINCT cell) AS n FROM grid) g ON g.status = v.status""")
-# The texts above hold where every family has hits on every side; Spark runs these, over all cells and the union of families.
 C.relation("cell_status", """
 SELECT s.*, nq.n AS nq, nc.n AS nc, CASE WHEN nq.n > 0 AND nc.n > 0 THEN 'SUCCESS' ELSE 'REFUSED_SCHEMA' END AS status
 FROM cell_sides s LEFT JOIN side_n nq ON nq.side = s.qs LEFT JOIN side_n nc ON nc.side = s.cs""")
 C.relation("families", """
 SELECT family, max(listed) AS listed FROM (SELECT family, 1 AS listed FROM side_family UNION ALL SELECT p_type AS family, 0 AS listed FROM part WHERE p_type IS NOT NULL) u GROUP BY family""")
+# every family for every cell: the families, which the lexicon bounds, are one array
+C.relation("framed_cells", "SELECT c.*, {each:fams} AS family FROM (SELECT s.*, (SELECT {list:family} FROM families) AS fams FROM cell_status s) c")
 C.relation("whole_grid", """
-SELECT s.cell, s.estimand, s.status, f.family, f.listed, CASE WHEN q.family IS NULL AND c.family IS NULL THEN 0 ELSE 1 END AS searched,
+SELECT s.cell, s.estimand, s.status, s.family, f.listed, CASE WHEN q.family IS NULL AND c.family IS NULL THEN 0 ELSE 1 END AS searched,
        CASE WHEN s.status = 'SUCCESS' AND coalesce(q.n, 0) + coalesce(c.n, 0) > 0 THEN
          coalesce(CASE s.measure WHEN 'signed' THEN q.signed WHEN 'mass' THEN q.mass ELSE q.n END, 0) / s.nq - coalesce(CASE s.measure WHEN 'signed' THEN c.signed WHEN 'mass' THEN c.mass ELSE c.n END, 0) / s.nc END AS effect
-FROM cell_status s CROSS JOIN families f LEFT JOIN side_family q ON q.side = s.qs AND q.family = f.family LEFT JOIN side_family c ON c.side = s.cs AND c.family = f.family""")
-C.spark("grid_effects", "SELECT cell, family, round(effect, 9) AS effect FROM whole_grid")
-C.spark("family_cell_states", """
+FROM framed_cells s JOIN families f ON f.family = s.family LEFT JOIN side_family q ON q.side = s.qs AND q.family = s.family LEFT JOIN side_family c ON c.side = s.cs AND c.family = s.family""")
+C.query("spec_grid", "SELECT cell, estimand, measure FROM specs")
+C.query("grid_effects", "SELECT cell, family, round(effect, 9) AS effect FROM whole_grid")
+C.query("family_cell_states", """
 SELECT cell, family, CASE WHEN status <> 'SUCCESS' THEN 'CELL_REFUSED' WHEN listed = 0 THEN 'NOT_IN_LEXICON' WHEN searched = 0 THEN 'NOT_SEARCHED'
   WHEN effect IS NULL THEN 'NOT_ESTIMABLE' WHEN round(effect, 12) = 0 THEN 'MEASURED_ZERO' ELSE 'ESTIMATED' END AS state FROM whole_grid""")
-C.spark("stability_within_estimand", """
+C.query("stability_within_estimand", """
 SELECT estimand, family, count(*) AS n_cells, sum(CASE WHEN effect > 0 THEN 1 ELSE 0 END) AS n_positive, sum(CASE WHEN effect < 0 THEN 1 ELSE 0 END) AS n_negative, round(min(effect), 9) AS least, round(median(effect), 9) AS middle, round(max(effect), 9) AS most FROM whole_grid WHERE effect IS NOT NULL GROUP BY estimand, family""")
-C.spark("cell_status_histogram", """
+C.query("cell_status_histogram", """
 SELECT v.status, coalesce(n, 0) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED_GUARD'), ('REFUSED_SCHEMA'), ('NOT_ESTIMABLE'), ('ERROR')) AS v(status)
 LEFT JOIN (SELECT status, count(*) AS n FROM cell_status GROUP BY status) g ON g.status = v.status""")
+# The checking texts are written apart: from the tables, over the union of the families of both sides.
+_GRID = """
+WITH hit AS (
+  SELECT o_orderkey AS region, o_orderstatus AS side, p_type AS family, l_discount >= 0.02 AS used, l_orderkey IS NOT NULL OR o_orderstatus <> 'P' AS searched,
+         CASE WHEN l_discount >= 0.02 THEN (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * l_extendedprice * (1 - l_discount) / 1000 END AS v
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey),
+size AS (SELECT side, count(DISTINCT region) FILTER (searched) AS n FROM hit GROUP BY side),
+val AS (SELECT side, family, m, coalesce(CASE m WHEN 'signed' THEN sum(v) WHEN 'mass' THEN sum(abs(v)) ELSE count(*) FILTER (used) END, 0) AS v, count(*) FILTER (used) AS n
+        FROM hit CROSS JOIN (VALUES ('signed'), ('mass'), ('count')) AS k(m) WHERE family IS NOT NULL GROUP BY side, family, m),
+cell AS (SELECT estimand, m, q, c, coalesce((SELECT n FROM size WHERE side = q), 0) AS nq, coalesce((SELECT n FROM size WHERE side = c), 0) AS nc
+         FROM (VALUES ('F_vs_O', 'F', 'O'), ('O_vs_F', 'O', 'F'), ('F_vs_P', 'F', 'P')) AS e(estimand, q, c) CROSS JOIN (VALUES ('signed'), ('mass'), ('count')) AS k(m)),
+fam AS (SELECT p_type AS family FROM part WHERE p_type IS NOT NULL UNION SELECT family FROM val),
+grid AS (
+  SELECT cell.estimand || '/' || cell.m AS cell, estimand, nq > 0 AND nc > 0 AS good, fam.family, fam.family IN (SELECT family FROM val) AS listed, a.v IS NOT NULL OR b.v IS NOT NULL AS searched,
+         CASE WHEN nq > 0 AND nc > 0 AND coalesce(a.n, 0) + coalesce(b.n, 0) > 0 THEN coalesce(a.v, 0) / nq - coalesce(b.v, 0) / nc END AS effect
+  FROM cell CROSS JOIN fam LEFT JOIN val a ON a.side = q AND a.family = fam.family AND a.m = cell.m LEFT JOIN val b ON b.side = c AND b.family = fam.family AND b.m = cell.m)
+"""
+C.check("grid_effects", _GRID + "SELECT cell, family, round(effect, 9) AS effect FROM grid")
+C.check("family_cell_states", _GRID + """
+SELECT cell, family, CASE WHEN NOT good THEN 'CELL_REFUSED' WHEN NOT listed THEN 'NOT_IN_LEXICON' WHEN NOT searched THEN 'NOT_SEARCHED' WHEN effect IS NULL THEN 'NOT_ESTIMABLE' WHEN round(effect, 12) = 0 THEN 'MEASURED_ZERO' ELSE 'ESTIMATED' END AS state FROM grid""")
+C.check("stability_within_estimand", _GRID + """
+SELECT estimand, family, count(*) AS n_cells, count(*) FILTER (effect > 0) AS n_positive, count(*) FILTER (effect < 0) AS n_negative, round(min(effect), 9) AS least, round(quantile_cont(effect, 0.5), 9) AS middle, round(max(effect), 9) AS most
+FROM grid WHERE effect IS NOT NULL GROUP BY estimand, family""")
+C.check("cell_status_histogram", _GRID + """
+SELECT status, count(cell) AS n_cells FROM (VALUES ('SUCCESS'), ('REFUSED_GUARD'), ('REFUSED_SCHEMA'), ('NOT_ESTIMABLE'), ('ERROR')) AS v(status)
+LEFT JOIN (SELECT DISTINCT cell, CASE WHEN good THEN 'SUCCESS' ELSE 'REFUSED_SCHEMA' END AS status FROM grid) g USING (status) GROUP BY status""")
 C.query("guard_battery", """
 SELECT 'four_states' AS guard, count(*) = 0 AS passed FROM hits WHERE state NOT IN ('not_searched', 'no_sequence_match', 'hit_below_floor', 'used')
 UNION ALL SELECT 'coordinates' AS guard, count(*) = 0 AS passed FROM hits WHERE start_bp >= end_bp

@@ -18,23 +18,55 @@ C.query("reverse_complement_cells", "SELECT c.node_id, m.n - 1 - c.pos AS pos, 3
 C.query("motif_completeness", """
 SELECT k.node_id, round((core_end - core_start) * 1e0 / n, 9) AS completeness FROM core k JOIN (SELECT node_id, max(pos) + 1 AS n FROM cells GROUP BY node_id) m ON m.node_id = k.node_id""")
 
-# Pairs: motifs are dealt into 16 slots, and pairs of slots are joined by key, each pair of motifs once.
+# Pairs: the shorter core has at least LEAST_ROWS rows and LEAST_SHARE of the longer one's.  Motifs of one length are dealt into
+# slots of about 256, so their number grows with the motifs; two slots meet by key where their lengths may, each pair of
+# motifs once.  A motif that cannot be registered has length 0.  Pairs are counted from the lengths alone.
 C.relation("motif_status", """
 SELECT e.vec_id AS node, CASE WHEN embedding IS NULL OR {len:embedding} = 0 OR {len:embedding} % 4 <> 0 THEN 'no_ppm_array' WHEN k.node_id IS NULL THEN 'no_declared_trimmed_core' ELSE 'registrable' END AS status,
        core_end - core_start AS core_bp FROM embeddings e LEFT JOIN core k ON k.node_id = e.vec_id""", stored=True)
-C.relation("slotted", """
-SELECT node, status, core_bp, b, least(b, o) AS lo, greatest(b, o) AS hi FROM (SELECT m.*, {hex:concat_ws('|', 'slot', CAST(node AS VARCHAR(20)))} % 16 AS b, {explode:16} AS o FROM motif_status m) x""")
-C.relation("motif_pairs", f"""
-SELECT x.node AS source, y.node AS target, x.status AS source_status, y.status AS target_status, x.core_bp AS source_core_bp, y.core_bp AS target_core_bp,
-       CASE WHEN x.status <> 'registrable' OR y.status <> 'registrable' THEN 'node_not_registrable'
-            WHEN least(x.core_bp, y.core_bp) < {LEAST_ROWS} OR least(x.core_bp, y.core_bp) < {LEAST_SHARE} * greatest(x.core_bp, y.core_bp) THEN 'no_offset_meets_overlap_floor' END AS exclusion
-FROM slotted x JOIN slotted y ON x.lo = y.lo AND x.hi = y.hi AND x.node < y.node AND (x.b <> y.b OR x.lo = x.hi)""")
-C.query("pair_candidates", "SELECT source, target, source_core_bp, target_core_bp FROM motif_pairs WHERE exclusion IS NULL")
-C.query("excluded_pairs", "SELECT source, target, exclusion, source_status, target_status, source_core_bp, target_core_bp FROM motif_pairs WHERE exclusion IS NOT NULL")
-C.query("exclusion_histogram", """
+# the same motifs cut to lengths of 4 to 16 rows, some without a core
+C.relation("cut_status", """
+SELECT node, CASE WHEN status = 'registrable' AND node % 17 = 0 THEN 'no_declared_trimmed_core' ELSE status END AS status, CASE WHEN node % 17 > 0 THEN least(core_bp, 4 + node % 13) END AS core_bp FROM motif_status""", stored=True)
+
+
+def _pairs(of: str, named: str) -> None:
+    """Relations and queries on the pairs of the motifs of a relation."""
+    C.relation(f"{named}sized", f"SELECT node, status, core_bp, CASE WHEN status = 'registrable' THEN core_bp ELSE 0 END AS l FROM {of}")
+    C.relation(f"{named}lens", f"SELECT l, count(*) AS n, CAST(ceil(count(*) / 256e0) AS BIGINT) AS k FROM {named}sized GROUP BY l")
+    C.relation(f"{named}len_pairs", f"""
+SELECT x.l AS a, x.k AS ka, x.n AS na, y.l AS b, y.k AS kb, y.n AS nb, CASE WHEN y.l = 0 THEN 'node_not_registrable' WHEN y.l < {LEAST_ROWS} OR y.l < {LEAST_SHARE} * x.l THEN 'no_offset_meets_overlap_floor' END AS exclusion
+FROM (SELECT l, k, n, {{explode:l + 1}} AS o FROM {named}lens) x JOIN {named}lens y ON y.l = x.o""")
+    C.relation(f"{named}placed", f"""
+SELECT s.node, s.status, s.core_bp, s.l, {{hex:concat_ws('|', 'slot', CAST(s.node AS VARCHAR(20)))}} % z.k AS slot FROM {named}sized s JOIN {named}lens z ON z.l = s.l""")
+    long = f"SELECT p.node, p.status, p.core_bp, q.a, q.b, q.exclusion, p.slot AS sa, {{explode:q.kb}} AS sb FROM {named}placed p JOIN {named}len_pairs q ON q.a = p.l AND q.exclusion"
+    short = f"SELECT p.node, p.status, p.core_bp, q.a, q.b, {{explode:q.ka}} AS sa, p.slot AS sb FROM {named}placed p JOIN {named}len_pairs q ON q.b = p.l AND q.exclusion"
+    for name, kept in (("pair_candidates", "IS NULL"), ("excluded_pairs", "IS NOT NULL")):
+        ends = ", ".join(f"CASE WHEN x.node < y.node THEN {p}.{c} ELSE {o}.{c} END AS {side}{as_}" for c, as_ in (("node", ""), ("status", "_status"), ("core_bp", "_core_bp")) for side, p, o in (("source", "x", "y"), ("target", "y", "x")))
+        C.relation(f"{named}{name}_", f"SELECT {ends}, x.exclusion FROM ({long} {kept}) x JOIN ({short} {kept}) y ON y.a = x.a AND y.b = x.b AND y.sa = x.sa AND y.sb = x.sb AND (x.a > x.b OR x.sa > x.sb OR (x.sa = x.sb AND x.node < y.node))")
+    C.query(f"{named}pair_candidates", f"SELECT source, target, source_core_bp, target_core_bp FROM {named}pair_candidates_")
+    C.query(f"{named}excluded_pairs", f"SELECT source, target, exclusion, source_status, target_status, source_core_bp, target_core_bp FROM {named}excluded_pairs_")
+    C.query(f"{named}exclusion_histogram", f"""
 SELECT v.kind, v.reason, coalesce(n, 0) AS n FROM (VALUES ('pair', 'node_not_registrable'), ('pair', 'no_offset_meets_overlap_floor'), ('pair', 'considered'), ('node', 'registrable'), ('node', 'no_ppm_array'), ('node', 'no_declared_trimmed_core')) AS v(kind, reason)
-LEFT JOIN (SELECT 'pair' AS kind, exclusion AS reason, count(*) AS n FROM motif_pairs WHERE exclusion IS NOT NULL GROUP BY exclusion
-  UNION ALL SELECT 'pair' AS kind, 'considered' AS reason, count(*) AS n FROM motif_pairs UNION ALL SELECT 'node' AS kind, status AS reason, count(*) AS n FROM motif_status GROUP BY status) g ON g.kind = v.kind AND g.reason = v.reason""")
+LEFT JOIN (SELECT 'pair' AS kind, exclusion AS reason, CAST(sum(CASE WHEN a = b THEN na * (na - 1) / 2 ELSE na * nb END) AS BIGINT) AS n FROM {named}len_pairs WHERE exclusion IS NOT NULL GROUP BY exclusion
+  UNION ALL SELECT 'pair' AS kind, 'considered' AS reason, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n FROM {named}sized UNION ALL SELECT 'node' AS kind, status AS reason, count(*) AS n FROM {of} GROUP BY status) g ON g.kind = v.kind AND g.reason = v.reason""")
+    # written apart: all pairs of the motifs, read off the arrays
+    cut = "CASE WHEN vec_id % 17 > 0 THEN least(core, 4 + vec_id % 13) END" if named else "core"
+    every = f"""
+WITH one AS (SELECT vec_id AS node, coalesce(len(embedding), 0) > 0 AND len(embedding) % 4 = 0 AS ppm, list_transform(range(0, len(embedding) // 4), lambda i: list_max(list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda v: abs(CAST(v AS DOUBLE))))) AS top FROM embeddings),
+two AS (SELECT node AS vec_id, ppm, list_filter(range(0, len(top)), lambda i: top[i + 1] >= {TRIM} * list_max(top)) AS kept FROM one),
+m AS (SELECT vec_id AS node, {cut} AS core_bp, CASE WHEN NOT ppm THEN 'no_ppm_array' WHEN {cut} IS NULL THEN 'no_declared_trimmed_core' ELSE 'registrable' END AS status FROM (SELECT *, list_max(kept) - list_min(kept) + 1 AS core FROM two) t),
+p AS (SELECT x.node AS source, y.node AS target, x.status AS source_status, y.status AS target_status, x.core_bp AS source_core_bp, y.core_bp AS target_core_bp,
+  CASE WHEN 'registrable' <> x.status OR 'registrable' <> y.status THEN 'node_not_registrable' WHEN NOT (x.core_bp >= {LEAST_ROWS} AND y.core_bp >= {LEAST_ROWS} AND x.core_bp >= {LEAST_SHARE} * y.core_bp AND y.core_bp >= {LEAST_SHARE} * x.core_bp) THEN 'no_offset_meets_overlap_floor' END AS exclusion
+  FROM m x JOIN m y ON x.node < y.node)"""
+    C.check(f"{named}pair_candidates", every + " SELECT source, target, source_core_bp, target_core_bp FROM p WHERE exclusion IS NULL")
+    C.check(f"{named}excluded_pairs", every + " SELECT source, target, exclusion, source_status, target_status, source_core_bp, target_core_bp FROM p WHERE exclusion IS NOT NULL")
+    C.check(f"{named}exclusion_histogram", every + """
+SELECT kind, reason, count(n) AS n FROM (VALUES ('pair', 'node_not_registrable'), ('pair', 'no_offset_meets_overlap_floor'), ('pair', 'considered'), ('node', 'registrable'), ('node', 'no_ppm_array'), ('node', 'no_declared_trimmed_core')) AS v(kind, reason)
+LEFT JOIN (SELECT 'pair' AS kind, exclusion AS reason, 1 AS n FROM p UNION ALL SELECT 'pair', 'considered', 1 FROM p UNION ALL SELECT 'node', status, 1 FROM m) x USING (kind, reason) GROUP BY kind, reason""")
+
+
+_pairs("motif_status", "")
+_pairs("cut_status", "cut_")
 
 # Annotation: one candidate for each node, source and matched motif, named by its content.
 C.relation("cand", """

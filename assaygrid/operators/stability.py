@@ -90,4 +90,4 @@ SELECT region_id, side, {hex:concat_ws('|', 'split', CAST(region_id AS VARCHAR(2
 C.query("split_roles_check", """
 SELECT CASE fold WHEN 0 THEN 'DISCOVERY' WHEN 1 THEN 'ADJUDICATION' WHEN 2 THEN 'VALIDATION' ELSE 'INFERENCE' END AS role, count(*) AS n_regions, count(DISTINCT region_id) AS n_distinct,
        sum(CASE WHEN fold = 2 THEN 1 ELSE 0 END) AS validation_regions FROM roles GROUP BY fold""")
-C.query("crossfit_partition", "SELECT CAST(fold AS BIGINT) AS fold, count(*) AS evaluated, max(t.n) - count(*) AS complement FROM roles JOIN (SELECT count(*) AS n FROM roles) t ON t.n > 0 GROUP BY fold")
+C.query("crossfit_partition", "SELECT CAST(fold AS BIGINT) AS fold, evaluated, CAST(sum(evaluated) OVER () - evaluated AS BIGINT) AS complement FROM (SELECT fold, count(*) AS evaluated FROM roles GROUP BY fold) f")
