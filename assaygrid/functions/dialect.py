@@ -5,6 +5,7 @@
 {explode:n}    one row for each of 0 ... n - 1
 {len:x}        number of elements of an array; {sha:x} SHA-256 of a text in lowercase hex
 {list:x}       all values of x in an array; {each:a} one row for each element of an array
+{best:x:k}     x of the row with the greatest list of values k, a mergeable aggregate; x is not null
 {components:e} connected components (node, component) of the edges (u, v) in e; Spark takes them as a table made beforehand
 {cells:t:id}   long form of an array column "embedding": id, i (place), v (double)
 """
@@ -22,6 +23,7 @@ SPARK = {
     "sha": lambda *x: f"sha2({':'.join(x)}, 256)",
     "list": lambda x: f"collect_list({x})",
     "each": lambda a: f"explode({a})",
+    "best": lambda x, k: f"max_by({x}, struct({k}))",
     "components": lambda e: f"{{components_{e}}}",
     "cells": lambda t, c: f"(SELECT {c}, i, CAST(v AS DOUBLE) AS v FROM {t} LATERAL VIEW posexplode(embedding) x AS i, v)",
 }
@@ -32,6 +34,7 @@ CHECK = {
     "sha": lambda *x: f"sha256({':'.join(x)})",
     "list": lambda x: f"list({x})",
     "each": lambda a: f"unnest({a})",
+    "best": lambda x, k: f"arg_max({x}, row({k}))",
     "components": lambda e: f"(WITH RECURSIVE b AS (SELECT u, v FROM {e} UNION SELECT v, u FROM {e}), reach(node, other) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM reach r JOIN b ON b.u = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node)",
     "cells": lambda t, c: f"(SELECT {c}, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM {t})",
 }

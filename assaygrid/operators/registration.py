@@ -97,6 +97,37 @@ def best(a: Cores, b: Cores, least: int = LEAST_ROWS, share: float = LEAST_SHARE
     return score, orient, shift, width
 
 
+def best_score(a: Cores, b: Cores, least: int = LEAST_ROWS, share: float = LEAST_SHARE) -> np.ndarray:
+    """The scores of ``best`` alone, for pairs that have one.
+
+    Norms of overlaps depend on a motif and the other one's length, of which there are few; an overlap that does
+    not count has an infinite norm.  Scores are rounded once, after the greatest is found.
+    """
+    ua, ia = np.unique(a.length, return_inverse=True)
+    ub, ib = np.unique(b.length, return_inverse=True)
+    n, m, size, wide = len(a.ppm), len(b.ppm), a.ppm.shape[1], b.ppm.shape[1]
+    upto = lambda x: np.concatenate([np.zeros((len(x), 1)), np.cumsum((x**2).sum(2), 1)], 1)
+    turned, na = b.turned(b.ppm), upto(a.ppm)
+    score, now, norm, nbs = np.zeros((n, m)), np.empty((n, m)), np.empty((n, m)), (upto(b.ppm), upto(turned))
+    root = lambda x: np.sqrt(np.where(x > 0, x, np.inf))
+    for d in range(1 - wide, size):
+        s, end = max(0, d), min(size, wide + d)
+        e = np.minimum(ua[:, None], ub[None, :] + d)
+        fits = (e - s >= least) & (e - s >= share * ua[:, None]) & (e - s >= share * ub[None, :])
+        if not fits.any():
+            continue
+        e = np.where(fits, e, s)
+        left = root(np.take_along_axis(na, e[ia], 1) - na[:, s][:, None])
+        left = np.where(fits[ia], left, np.inf)[:, ib]
+        for other, nb in zip((b.ppm, turned), nbs, strict=True):
+            right = root(np.take_along_axis(nb, (e - d)[:, ib].T, 1) - nb[:, s - d][:, None])
+            np.multiply(left, right.T[ia], out=norm)
+            np.matmul(a.ppm[:, s:end].reshape(n, -1), other[:, s - d : end - d].reshape(m, -1).T, out=now)
+            np.divide(now, norm, out=now)
+            np.maximum(score, now, out=score)
+    return np.clip(np.round(score, 9), -1, 1)
+
+
 def signed(a: Cores, b: Cores, i: np.ndarray, j: np.ndarray, orient: np.ndarray, shift: np.ndarray, width: np.ndarray, at_once: int = 16384) -> np.ndarray:
     """Cosine of the signed matrices of pairs (i, j) at the registration found on the unsigned ones."""
     turned, out, rows = b.turned(b.cwm), np.zeros(len(i)), np.arange(min(a.cwm.shape[1], b.cwm.shape[1]))
@@ -112,7 +143,6 @@ def signed(a: Cores, b: Cores, i: np.ndarray, j: np.ndarray, orient: np.ndarray,
 
 
 EDGE = "source long, target long, orientation string, offset long, overlap_bp long, overlap_frac_source double, overlap_frac_target double, ppm_similarity double, signed_cwm_similarity double"
-NULL = "null_shuffles long, seed long, empirical_p_value double, null_mean double, null_min double, null_max double"
 
 
 def usable(motif: str = "embedding"):
@@ -121,45 +151,105 @@ def usable(motif: str = "embedding"):
     return F.coalesce((F.size(m) > 0) & (F.size(m) % 4 == 0) & F.forall(m, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
 
 
-def register(motifs: DataFrame, shuffles: int = 0, seed: int = 7, least: int = LEAST_ROWS, share: float = LEAST_SHARE, block: int = 256) -> DataFrame:
-    """Every registrable pair of motifs (node, embedding), the smaller id as source; with shuffles, its null as well.
-
-    A null draw puts the target core's rows in another order and registers the pair anew, offsets and orientations
-    included; p = (draws that reach the observed score + 1) / (draws + 1).
-    """
-    spark = motifs.sparkSession
-    ship(spark)
+def _dealt(motifs: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Usable motifs (node, embedding) in blocks b by range of id, written; the number of blocks."""
     good = motifs.filter(F.col("node").isNotNull() & usable()).select(F.col("node").cast("long").alias("node"), "embedding")
     blocks = max(1, -(-good.count() // block))
-    dealt = written(good.repartitionByRange(blocks, "node").withColumn("b", F.spark_partition_id()), "motifs")
-    placed = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("node", "embedding", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b")
-    schema = EDGE + (f", {NULL}" if shuffles else "")
-    names = [c.split()[0] for c in schema.split(", ")]
+    return written(good.repartitionByRange(blocks, "node").withColumn("b", F.spark_partition_id()), "motifs"), blocks
+
+
+def _met(dealt: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """Each block beside every other (lo <= hi), once for each part of the shuffles."""
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return met.select("node", "embedding", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "part", "b")
+
+
+def _sides(pdf) -> tuple | None:
+    """Ids and cores of both blocks, and the numbers of their blocks and part."""
+    lo, hi = int(pdf.lo.iloc[0]), int(pdf.hi.iloc[0])
+    first, second = (pdf[pdf.b == x].sort_values("node") for x in (lo, hi))
+    if not len(first) or not len(second):
+        return None
+    return first.node.to_numpy(), second.node.to_numpy(), cores(first.embedding.tolist()), cores(second.embedding.tolist()), int(pdf.part.iloc[0])
+
+
+def _registered(dealt: DataFrame, blocks: int, least: int, share: float, signs: bool) -> DataFrame:
+    names = [c.split()[0] for c in EDGE.split(", ")][: None if signs else -1]
 
     def run(pdf):
         import pandas as pd
 
-        lo, hi = int(pdf.lo.iloc[0]), int(pdf.hi.iloc[0])
-        first, second = (pdf[pdf.b == x].sort_values("node") for x in (lo, hi))
-        out = {c: np.zeros(0) for c in names}
-        if len(first) and len(second):
-            a, b = cores(first.embedding.tolist()), cores(second.embedding.tolist())
-            s, t = first.node.to_numpy(), second.node.to_numpy()
+        out, sides = {c: np.zeros(0) for c in names}, _sides(pdf)
+        if sides:
+            s, t, a, b, _ = sides
             score, orient, shift, width = best(a, b, least, share)
             i, j = np.nonzero((score > -2) & (s[:, None] < t[None, :]))
             pick = lambda x: x[i, j]
-            cosine = signed(a, b, i, j, pick(orient), pick(shift), pick(width))
-            values = [s[i], t[j], np.where(pick(orient) == 0, "+", "-"), pick(shift), pick(width), pick(width) / a.length[i], pick(width) / b.length[j], pick(score), cosine]
-            if shuffles:
-                reach, total, low, high = np.zeros(len(i)), np.zeros(len(i)), np.full(len(i), 2.0), np.full(len(i), -2.0)
-                for k in range(shuffles):
-                    x = pick(best(a, b.shuffled(seed, k), least, share)[0])
-                    reach, total, low, high = reach + (x >= pick(score)), total + x, np.minimum(low, x), np.maximum(high, x)
-                values += [np.full(len(i), shuffles), np.full(len(i), seed), (reach + 1) / (shuffles + 1), np.round(total / shuffles, 9), low, high]
+            values = [s[i], t[j], np.where(pick(orient) == 0, "+", "-"), pick(shift), pick(width), pick(width) / a.length[i], pick(width) / b.length[j], pick(score)]
+            if signs:
+                values.append(signed(a, b, i, j, pick(orient), pick(shift), pick(width)))
             out = dict(zip(names, values, strict=True))
         return pd.DataFrame(out)
 
-    return placed.groupBy("lo", "hi").applyInPandas(run, schema)
+    return _met(dealt, blocks, 1).groupBy("lo", "hi", "part").applyInPandas(run, ", ".join(EDGE.split(", ")[: len(names)]))
+
+
+#: Shuffles that a task runs over one pair of blocks.
+AT_ONCE = 25
+UNIT = 10**9  # scores have nine decimals, so their sums are whole numbers of units
+
+
+def _nulls(dealt: DataFrame, blocks: int, shuffles: int, seed: int, least: int, share: float, at_once: int) -> DataFrame:
+    """source, target, draws that reach the observed score, their sum in units, least and greatest: parts of the shuffles, summed."""
+
+    def run(pdf):
+        import pandas as pd
+
+        out, sides = {c: np.zeros(0, np.int64) for c in ("source", "target", "reach", "total", "low", "high")}, _sides(pdf)
+        if sides:
+            s, t, a, b, part = sides
+            score = best(a, b, least, share)[0]
+            i, j = np.nonzero((score > -2) & (s[:, None] < t[None, :]))
+            seen, zeros = np.round(score[i, j] * UNIT).astype(np.int64), np.zeros(len(i), np.int64)
+            reach, total, low, high = zeros, zeros, zeros + 2 * UNIT, zeros - 2 * UNIT
+            for k in range(part * at_once, min(shuffles, (part + 1) * at_once)):
+                x = np.round(best_score(a, b.shuffled(seed, k), least, share)[i, j] * UNIT).astype(np.int64)
+                reach, total, low, high = reach + (x >= seen), total + x, np.minimum(low, x), np.maximum(high, x)
+            out = {"source": s[i], "target": t[j], "reach": reach, "total": total, "low": low, "high": high}
+        return pd.DataFrame(out)
+
+    parts = -(-shuffles // at_once)
+    found = _met(dealt, blocks, parts).groupBy("lo", "hi", "part").applyInPandas(run, "source long, target long, reach long, total long, low long, high long")
+    if parts == 1:
+        return found
+    return found.groupBy("source", "target").agg(F.sum("reach").alias("reach"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def null_summary(motifs: DataFrame, shuffles: int, seed: int = 7, least: int = LEAST_ROWS, share: float = LEAST_SHARE, block: int = 256, at_once: int = AT_ONCE) -> DataFrame:
+    """source, target, null_shuffles, seed, empirical_p_value, null_mean, null_min, null_max of every registrable pair."""
+    ship(motifs.sparkSession)
+    return _summed(_nulls(*_dealt(motifs, block), shuffles, seed, least, share, at_once), shuffles, seed)
+
+
+def _summed(nulls: DataFrame, shuffles: int, seed: int) -> DataFrame:
+    unit = lambda c: F.col(c) / F.lit(float(UNIT))
+    return nulls.select("source", "target", F.lit(shuffles).cast("long").alias("null_shuffles"), F.lit(seed).cast("long").alias("seed"), ((F.col("reach") + 1) / (shuffles + 1)).alias("empirical_p_value"), F.round(unit("total") / shuffles, 9).alias("null_mean"), unit("low").alias("null_min"), unit("high").alias("null_max"))
+
+
+def register(motifs: DataFrame, shuffles: int = 0, seed: int = 7, least: int = LEAST_ROWS, share: float = LEAST_SHARE, block: int = 256, at_once: int = AT_ONCE, signs: bool = True) -> DataFrame:
+    """Every registrable pair of motifs (node, embedding), the smaller id as source; with shuffles, its null as well.
+
+    A null draw puts the target core's rows in another order and registers the pair anew, offsets and orientations
+    included; p = (draws that reach the observed score + 1) / (draws + 1).  A task registers two blocks, or runs
+    ``at_once`` of their shuffles; the shuffles' parts are counts, integer sums, minima and maxima, which add up alike
+    however they are cut.
+    """
+    ship(motifs.sparkSession)
+    dealt, blocks = _dealt(motifs, block)
+    found = _registered(dealt, blocks, least, share, signs)
+    if not shuffles:
+        return found
+    return found.join(_summed(_nulls(dealt, blocks, shuffles, seed, least, share, at_once), shuffles, seed), ["source", "target"])
 
 
 def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +258,7 @@ def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registrations of all pairs of motifs, unsigned similarity alone."""
-    return register(_motifs(spark, sf_dir)).drop("signed_cwm_similarity")
+    return register(_motifs(spark, sf_dir), signs=False)
 
 
 def pair_signed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,4 +268,5 @@ def pair_signed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_null_pvalue(spark: SparkSession, sf_dir: str, shuffles: int = 19) -> DataFrame:
     """Null summary of all pairs."""
-    return register(_motifs(spark, sf_dir), shuffles).select("source", "target", "null_shuffles", "seed", "empirical_p_value", "null_mean", "null_min", "null_max", F.col("ppm_similarity").alias("observed_ppm_similarity"), F.lit(RULE).alias("registration_rule_version"))
+    pairs = register(_motifs(spark, sf_dir), shuffles, signs=False)
+    return pairs.select("source", "target", "null_shuffles", "seed", "empirical_p_value", "null_mean", "null_min", "null_max", F.col("ppm_similarity").alias("observed_ppm_similarity"), F.lit(RULE).alias("registration_rule_version"))

@@ -72,3 +72,23 @@ def test_both_passes_of_a_proposal(spark):
     for bad in ([*rows, (2, 1, *good)], [*rows, (1, 99, *good)]):
         with pytest.raises(Refusal):
             adjudicate_all(spark.createDataFrame(bad, schema), motifs)
+
+
+def test_medoids_and_ties_merge_as_windows_tell_them(spark):
+    """Random components with many equal and missing fields: greatest rows and ladders of counts against windows."""
+    import random
+
+    from assaygrid.plans.relations import CATALOGUE as C
+
+    rng = random.Random(8)
+    edges = [(a, b) for c in range(60) for k in [rng.randint(2, 7)] for a in range(c * 10, c * 10 + k) for b in range(a + 1, c * 10 + k)]
+    rows = [(u, v, 1.0, 1.0, 9, rng.choice([0.9, 0.9, 0.95]), 0.5, 0.05) for u, v in edges]
+    some = lambda *x: rng.choice([None, *x, *x, *x])
+    motifs = [(n, "F", "v", some(0.5, 0.6), some(3, 4), some(1.0), some(1, 2)) for n in {x for e in edges for x in e}]
+    held = {
+        "edges": spark.createDataFrame(rows, "u long, v long, overlap_frac_source double, overlap_frac_target double, overlap_bp long, ppm_similarity double, signed_cwm_similarity double, empirical_p_value double"),
+        "motif": spark.createDataFrame(motifs, "node long, family string, variant string, completeness double, seqlets long, core_ic double, recurrence int"),
+    }
+    got = sorted(map(tuple, C.over("medoid", held).select("component", "medoid", "similarity", "missing_field").collect()))
+    want = sorted(map(tuple, C.over("plain_medoid", held).select("component", "medoid", "similarity", "missing_field").collect()))
+    assert got == want and len(got) == 60 and len({r[3] for r in got}) > 3
