@@ -2,7 +2,7 @@
 
 Two hit tables, each with one coefficient for a (peak, hit) and one reconstruction for a peak, meet in a full outer
 join.  A peak is affected if a hit is on one side only, or if a shared one moved by more than the tolerance.
-Medians come from a value's rank within 4,096 slots of its range, so no buffer holds a column.
+Medians come from exact ranks over sampled ranges (``selection``), so no buffer holds a column.
 """
 
 from __future__ import annotations
@@ -38,20 +38,8 @@ SELECT side, count(*) AS n_rows, sum(n) - count(*) AS n_repeated, sum(bad) AS n_
    UNION ALL SELECT 'after' AS side, peak, hit, count(*) AS n, sum(CASE WHEN coef IS NULL THEN 1 ELSE 0 END) AS bad FROM after_hits GROUP BY peak, hit) x GROUP BY side""")
 
 
-def ranked(values: str) -> str:
-    """SQL of the ranks of ``delta`` in each ``grp`` of a relation of (grp, delta, n): (grp, delta, n, upto, total).
-
-    A value is ranked within its slot of the range, and a slot begins where those before it end.
-    """
-    slots = f"""(SELECT v.grp, v.delta, v.n, r.total, CAST(CASE WHEN high > low THEN floor((delta - low) / (high - low) * 4095) ELSE 0 END AS BIGINT) AS slot
-     FROM {values} v JOIN (SELECT grp, min(delta) AS low, max(delta) AS high, sum(n) AS total FROM {values} GROUP BY grp) r ON r.grp = v.grp)"""
-    return f"""
-SELECT d.grp, d.delta, d.n, d.total, s.ahead + sum(d.n) OVER (PARTITION BY d.grp, d.slot ORDER BY d.delta) AS upto FROM {slots} d
-JOIN (SELECT grp, slot, sum(n) OVER (PARTITION BY grp ORDER BY slot) - n AS ahead FROM (SELECT grp, slot, sum(n) AS n FROM {slots} e GROUP BY grp, slot) y) s ON s.grp = d.grp AND s.slot = d.slot"""
-
-
 C.relation("delta_v", "SELECT 'all' AS grp, delta, count(*) AS n FROM peak_change GROUP BY delta UNION ALL SELECT 'affected' AS grp, delta, count(*) AS n FROM peak_change WHERE affected = 1 GROUP BY delta", stored=True)
-C.relation("delta_k", ranked("delta_v"))
+C.relation("delta_k", "SELECT grp, delta, n, upto, total FROM {ranked:delta_v} k")
 C.relation("delta_m", "SELECT grp, avg(delta) AS middle FROM delta_k WHERE upto > (total - 1) / 2e0 AND upto - n <= total / 2e0 GROUP BY grp")
 C.relation("summed", """
 SELECT sum(affected) AS n_affected, count(*) AS n_peaks, sum(CASE WHEN affected = 1 THEN n_union ELSE 0 END) AS n_hits, coalesce(sum(CASE WHEN affected = 1 THEN mass ELSE 0 END) / nullif(sum(mass), 0), 0) AS share,
@@ -80,7 +68,7 @@ SELECT peak, hit, 'dropped' AS change FROM (SELECT peak, hit FROM base WHERE siz
 UNION ALL SELECT peak, hit, 'gained' AS change FROM (SELECT peak, hit FROM base WHERE size > 2 EXCEPT SELECT peak, hit FROM base WHERE size < 49) y""")
 # the middle of the changed coefficients is the upper one, not a mean of two
 C.relation("moved", f"SELECT 'moved' AS grp, round(abs(new - old), 9) AS delta, count(*) AS n FROM both_hits WHERE abs(new - old) > {TOLERANCE!r} GROUP BY round(abs(new - old), 9)")
-C.relation("moved_k", ranked("moved"))
+C.relation("moved_k", "SELECT grp, delta, n, upto, total FROM {ranked:moved} k")
 C.query("run_comparison", """
 SELECT s.*, (SELECT max(delta) FROM moved_k WHERE upto > floor(total / 2e0) AND upto - n <= floor(total / 2e0)) AS upper_median FROM
   (SELECT sum(CASE WHEN new IS NULL THEN 1 ELSE 0 END) AS dropped, sum(CASE WHEN old IS NULL THEN 1 ELSE 0 END) AS gained, round(sum(CASE WHEN new IS NOT NULL AND old IS NOT NULL THEN 1e0 ELSE 0e0 END) / count(*), 9) AS jaccard,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import affected_text, digest
 from ..sources.readers import Refusal
+from ..sources.scratch import written
+from .selection import counted, medians
 from .stability import LEAST, TOLERANCE
 
 
@@ -72,19 +74,21 @@ def stability(decision_id: str, before: DataFrame, after: DataFrame, tolerance:
         *[F.sum(F.when(shared, x)).alias(n) for n, x in (("so", F.col("old")), ("sn", F.col("new")), ("soo", F.col("old") ** 2), ("snn", F.col("new") ** 2), ("sno", F.col("old") * F.col("new")))],
     ).join(pb, "peak_id").join(pa, "peak_id").withColumn("delta", F.col("new_r") - F.col("old_r"))
     hot = lambda x: F.when(F.col("hot"), x)
-    middle = lambda x: F.percentile(x, 0.5)
+    own = written(own, "changes")
+    deltas = counted(own.withColumn("grp", F.explode(F.when(F.col("hot"), F.array(F.lit("every"), F.lit("affected"))).otherwise(F.array(F.lit("every"))))), F.col("grp"), F.col("delta"))
+    middle = {m.grp: m.middle for m in medians(deltas).collect()}
     r = own.agg(
-        F.count_if("hot").alias("peaks"), F.sum(hot(F.col("union"))).alias("hits"), F.sum(hot(F.col("shared"))).alias("n"), F.sum(hot(F.col("mass"))).alias("part"), F.sum("mass").alias("whole"), middle(hot(F.col("delta"))).alias("affected"), middle(F.col("delta")).alias("every"),
+        F.count_if("hot").alias("peaks"), F.sum(hot(F.col("union"))).alias("hits"), F.sum(hot(F.col("shared"))).alias("n"), F.sum(hot(F.col("mass"))).alias("part"), F.sum("mass").alias("whole"),
         *[F.sum(hot(F.col(c))).alias(c) for c in ("so", "sn", "soo", "snn", "sno")],
     ).first()
     n, pearson = r.n or 0, None
     if n >= 2 and (vx := n * r.soo - r.so**2) > 0 and (vy := n * r.snn - r.sn**2) > 0:
         pearson = (n * r.sno - r.so * r.sn) / (vx**0.5 * vy**0.5)
-    status = "LOW_RISK_RARE_NOT_VALIDATED" if r.peaks < LEAST else "STABLE_AFFECTED_SUBSET" if abs(r.affected) <= 1e-12 else "CHANGED_AFFECTED_SUBSET"
+    status = "LOW_RISK_RARE_NOT_VALIDATED" if r.peaks < LEAST else "STABLE_AFFECTED_SUBSET" if abs(middle["affected"]) <= 1e-12 else "CHANGED_AFFECTED_SUBSET"
     said = f"{r.peaks} affected peaks are below {LEAST}: no claim" if r.peaks < LEAST else f"descriptive for {r.peaks} affected peaks; no claim of equivalence"
     out = {
         "decision_id": decision_id, "n_affected_peaks": r.peaks, "n_affected_hits": r.hits or 0, "affected_coefficient_share": (r.part or 0.0) / r.whole if r.whole else 0.0, "affected_definition": affected_text(tolerance),
-        "paired_delta_reconstruction_affected": r.affected, "paired_delta_reconstruction_all": r.every, "hit_jaccard": n / r.hits if r.hits else None, "coefficient_conservation": pearson, "status": status, "power_statement": said,
+        "paired_delta_reconstruction_affected": middle.get("affected"), "paired_delta_reconstruction_all": middle.get("every"), "hit_jaccard": n / r.hits if r.hits else None, "coefficient_conservation": pearson, "status": status, "power_statement": said,
     }
     return {**out, "result_id": digest(out)}
 
@@ -151,10 +155,8 @@ def compare_runs(a: DataFrame, b: DataFrame, regions: DataFrame, tolerance: floa
     both = inside(a).select(*key, F.col("coefficient").alias("x")).join(inside(b).select(*key, F.col("coefficient").alias("y")), key, "full").withColumn("d", F.abs(F.col("y") - F.col("x")))
     moved = F.when(F.col("d") > tolerance, F.col("d"))
     counts = both.agg(F.count_if(F.col("y").isNull()).alias("dropped"), F.count_if(F.col("x").isNull()).alias("gained"), F.try_divide(F.count("d"), F.count("*")).alias("jaccard"), F.count(moved).alias("changed"), F.max("d").alias("max_delta"))
-    ranks = both.filter(F.col("d") > tolerance).select("d").orderBy("d")
-    n = counts.first().changed
-    middle = ranks.offset(n // 2).limit(1).collect() if n else []
-    return counts.withColumn("upper_median", F.lit(middle[0].d if middle else None).cast("double"))
+    middle = medians(counted(both, F.lit("moved"), moved)).collect()
+    return counts.withColumn("upper_median", F.lit(middle[0].upper if middle else None).cast("double"))
 
 
 def ladder(rows: DataFrame, sizes: Sequence[int], key: str = "row_id", seed: int = 0) -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import CHECK, SPARK, render
 from ..operators.graph import components
+from ..operators.selection import ranked
 from ..sources.scratch import written
 
+#: Macros of tables that Spark makes beforehand.
+MADE = {"components": components, "ranked": ranked}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 
@@ -93,7 +96,7 @@ class Catalogue:
             if n not in held:
                 held[n] = written(self.plan(spark, n, base, held, params), n)
         text = self.text(name, SPARK, base, set(held), params)
-        tables = {t: components(self.plan(spark, t[len("components_") :], base, held, params)) for t in set(re.findall(r"\{(components_\w+)\}", text))}
+        tables = {f"{kind}_{t}": MADE[kind](self.plan(spark, t, base, held, params)) for kind, t in set(re.findall(r"\{(components|ranked)_(\w+)\}", text))}
         return spark.sql(text, **tables, **{f"stored_{n}": df for n, df in held.items() if f"{{stored_{n}}}" in text})
 
     def run(self, name: str) -> Callable[[SparkSession, str], DataFrame]:
