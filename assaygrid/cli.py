@@ -19,8 +19,9 @@ from .functions.identity import IdentityError
 from .operators import annotation, compiling, registration, validation
 from .operators.adjudication import adjudicate_all
 from .operators.design import histogram, run_design
-from .operators.guards import require, sign_alignment
+from .operators.guards import index_order_matches_loader, no_cross_model_cwm_avg, require, sign_alignment
 from .operators.reading import BLOCK, REPLICATES, Floors, Query, interpret
+from .plans.engine import CATALOGUE
 from .sources import manifests, sinks
 from .sources.readers import Refusal, read_hits, read_regions
 
@@ -102,11 +103,18 @@ def _align(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gua
     edges = pairs.join(name("source"), "source").join(name("target"), "target").withColumns({"registered_on": F.lit(registration.REGISTERED_ON), "registration_rule_version": F.lit(registration.RULE)})
     edges = edges.drop("source", "target").persist()
     require([sign_alignment(edges)], log, "the edges about to be written")
-    sinks.write_edges(edges, str(out / "alignment_edges.parquet"))
+    sinks.write_edges(edges, str(out / "alignment_edges.parquet"), {"null_shuffles": a.null_shuffles, "seed": a.seed, "registration_rule_version": registration.RULE})
     sinks.write_table(edges.withColumn("observed_ppm_similarity", F.col("ppm_similarity")), str(out / "alignment_null_summary.tsv"), sinks.NULLS, sinks.NULLS[:2])
-    n, usable, found = numbered.count(), numbered.filter(registration.usable()).count(), edges.count()
-    considered = n * (n - 1) // 2
-    below = usable * (usable - 1) // 2 - found
+    status = numbered.select("node", F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), "no_ppm_array").when(registration.usable(), "registrable").otherwise("no_declared_trimmed_core").alias("status"), registration.core_bp().alias("core_bp"))
+    held = {"motif_status": status}
+    left = CATALOGUE.over("excluded_pairs", held).join(name("source"), "source").join(name("target"), "target")
+    left = left.select("source_node_id", "target_node_id", F.col("exclusion").alias("exclusion_reason"), F.col("source_status").alias("source_node_status"), F.col("target_status").alias("target_node_status"), "source_core_bp", "target_core_bp")
+    sinks.write_table(left, str(out / "alignment_excluded_pairs.tsv"), sinks.EXCLUDED, sinks.EXCLUDED[:2])
+    counts = {(r.kind, r.reason): r.n for r in CATALOGUE.over("exclusion_histogram", held).collect()}
+    n, found = numbered.count(), edges.count()
+    considered, below = counts["pair", "considered"], counts["pair", "no_offset_meets_overlap_floor"]
+    if found + counts["pair", "node_not_registrable"] + below != considered:
+        raise Refusal(f"{found} edges and {considered - found} other pairs do not add up to what was counted from the lengths")
     sinks.put_json(out / "alignment_run_summary.json", {"n_nodes": n, "n_pairs_considered": considered, "n_edges": found, "n_pairs_excluded": considered - found, "n_pairs_excluded_by_reason": {"node_not_registrable": considered - found - below, "no_offset_meets_overlap_floor": below}, "null_shuffles": a.null_shuffles, "seed": a.seed, "registration_rule_version": registration.RULE})
     return f"{found} of {considered} pairs"
 
@@ -133,7 +141,9 @@ def _annotate(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.
 
 def _adjudicate(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.GuardLog) -> str:
     found = adjudicate_all(spark.read.parquet(a.edges), spark.read.parquet(a.motifs))
-    named = found.select(F.col("decision_id").alias("cluster_id"), "decision", F.col("medoid").cast("string").alias("representative"), "members", "relationship", "reason")
+    named = found.select(F.col("decision_id").alias("cluster_id"), "decision", F.col("medoid").cast("string").alias("representative"), F.from_json("members", "array<string>").alias("members"), "relationship", "reason")
+    if named.filter("members IS NULL").take(1):
+        raise Refusal("a cluster of more members than a person can review")
     return sinks.write_decisions(str(out), named, {"edges": a.edges})
 
 
@@ -142,8 +152,18 @@ def _compile(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.G
     decisions = manifests.read_decisions(spark, a.decisions)
     if a.tiers:
         nodes = compiling.apply_tiers(nodes, spark.read.schema("node_id string, discovery_tier string, analysis_tier string, tier_reason string").json(a.tiers))
-    done = {x: compiling.compiled(compiling.loading_order(compiling.members(nodes, decisions, x)), mats, {"trim_threshold": registration.TRIM}) for x in compiling.LEXICONS}
-    sinks.write_lexicon(out / "lexicons", done, [])
+    ordered = {x: compiling.loading_order(compiling.members(nodes, decisions, x)).persist() for x in compiling.LEXICONS}
+    done = {x: compiling.compiled(o, mats, {"trim_threshold": registration.TRIM}) for x, o in ordered.items()}
+    # what became of each matrix is read off the numbers before they are published, and no mean may cross an axis
+    cwm = mats.filter("kind = 'cwm'").select("node_id", "mat")
+    ops = compiling.operations(cwm.join(ordered["expanded"], "node_id", "left_semi"), cwm, decisions, nodes).persist()
+    found = [no_cross_model_cwm_avg(ops)]
+    place = "row_number() OVER (ORDER BY tag DESC, place) - 1 AS place"
+    for x, t in done.items():
+        index = spark.createDataFrame([(i, m["node_id"]) for i, m in enumerate(t["members"])], "place long, name string")
+        found.append(index_order_matches_loader(index, ordered[x].selectExpr(place, "node_id AS name")))
+    require(found, log, "the lexicons about to be published")
+    sinks.write_lexicon(out / "lexicons", done, [r.asDict(recursive=True) for r in ops.orderBy("id").collect()])  # one row for each motif of a lexicon, which fits the driver
     return ", ".join(f"{x}: {len(t['members'])}" for x, t in done.items())
 
 
@@ -164,7 +184,7 @@ def _report(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gu
         raise Refusal(f"{a.interpretation} is {state}")
     beside = Path(a.interpretation).parent
     past = manifests.read_record(beside / "provenance.json")
-    ledger = [] if not a.bias_ledger else [r.rstrip("\n").split("\t") for r in Path(a.bias_ledger).read_text().splitlines(True)][1:]
+    ledger = manifests.read_bias_ledger(a.bias_ledger, manifests.BIAS_AXES, manifests.LEDGER) if a.bias_ledger else []
     return str(sinks.write_report(out / "report.md", tree, past[1] if past[0] == "PRESENT" else (), ledger, manifests.read_record(beside / "guard_outcomes.json")))
 
 

@@ -151,6 +151,14 @@ def usable(motif: str = "embedding"):
     return F.coalesce((F.size(m) > 0) & (F.size(m) % 4 == 0) & F.forall(m, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
 
 
+def core_bp(motif: str = "embedding"):
+    """Rows of the core of a usable motif, by the rule of ``cores``; null for another."""
+    m, rows = F.col(motif), F.sequence(F.lit(0), F.floor(F.size(motif) / 4).cast("int") - 1)
+    tops = F.transform(rows, lambda i: F.array_max(F.transform(F.slice(m, i * 4 + 1, F.lit(4)), F.abs)))
+    kept = F.filter(rows, lambda i: F.get(tops, i) >= TRIM * F.array_max(tops))
+    return F.when(usable(motif), F.element_at(kept, -1) - F.element_at(kept, 1) + 1)
+
+
 def _dealt(motifs: DataFrame, block: int) -> tuple[DataFrame, int]:
     """Usable motifs (node, embedding) in blocks b by range of id, written; the number of blocks."""
     good = motifs.filter(F.col("node").isNotNull() & usable()).select(F.col("node").cast("long").alias("node"), "embedding")

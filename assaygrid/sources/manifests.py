@@ -240,6 +240,10 @@ def read_caller_hits(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+# Header and axes of a bias ledger.
+LEDGER, BIAS_AXES = ("axis_id", "bias", "mechanism", "control"), tuple(f"BA-{i:02d}" for i in range(1, 21))
+
+
 def read_bias_ledger(path: str | Path, axes: Sequence[str], columns: Sequence[str]) -> list[list[str]]:
     """Bias ledger (S23), verbatim: this header and these axes, in this order."""
     with open(path, newline="", encoding="utf-8") as f:

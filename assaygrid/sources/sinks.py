@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import cell_text, digest, file_digest, markdown_text
+from .publish import publish
 from .readers import Refusal
 
 # Columns of the flat files.
@@ -79,16 +80,16 @@ def rename_new(source: Path, target: Path) -> None:
     os.rename(source, target)
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    """Typed alignment edges in pair order (K01); an empty table keeps its types."""
+def write_edges(edges: DataFrame, path: str, meta: Mapping[str, Any] | None = None) -> None:
+    """Typed alignment edges in pair order (K01), published as one; an empty table keeps its types."""
     df = edges.select(*[F.col(c).cast(t).alias(c) for c, t in EDGES.items()])
-    df.repartitionByRange("source_node_id", "target_node_id").sortWithinPartitions("source_node_id", "target_node_id").write.parquet(path)
+    publish(df.repartitionByRange("source_node_id", "target_node_id").sortWithinPartitions("source_node_id", "target_node_id"), path, {"schema_version": "1", **(meta or {})})
 
 
 def write_table(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
-    """A distributed tab-separated table with a header in each part."""
+    """A distributed tab-separated table with a header in each part (K02, K03), published as one."""
     flat = df.select(*[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " "), F.lit("NA")).alias(c) for c in columns])
-    flat.repartitionByRange(*order).sortWithinPartitions(*order).write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    publish(flat.repartitionByRange(*order).sortWithinPartitions(*order), path, write=lambda w, at: w.option("sep", "\t").option("header", True).option("quote", "").csv(at))
 
 
 def write_registry(folder: str, meta: Mapping[str, Any], nodes: DataFrame, matrices: DataFrame) -> None:
@@ -100,7 +101,7 @@ def write_registry(folder: str, meta: Mapping[str, Any], nodes: DataFrame, matri
 
 def write_annotation(folder: str, candidates: DataFrame, backends: Sequence[Mapping[str, Any]]) -> None:
     """Candidates and the log of what each backend said."""
-    candidates.withColumn("schema_version", F.lit("1")).write.parquet(f"{folder}/annotation_candidates.parquet")
+    publish(candidates.withColumn("schema_version", F.lit("1")), f"{folder}/annotation_candidates.parquet", {"schema_version": "1", "backends": [b.get("backend") or b.get("name") for b in backends]})
     put_json(Path(folder, "annotation_backends.json"), list(backends))
 
 
@@ -108,9 +109,9 @@ def write_decisions(folder: str, decisions: DataFrame, provenance: Mapping[str,
     """ontology_decisions.parquet, merge_decisions.json with its identity, and review.yaml of what needs a person."""
     import yaml
 
-    decisions.withColumn("schema_version", F.lit("1")).write.parquet(f"{folder}/ontology_decisions.parquet")
     rows = sorted((r.asDict(recursive=True) for r in decisions.collect()), key=lambda r: r["cluster_id"])  # considered clusters, as many as a person can review
     identity = digest({"decisions": rows})
+    publish(decisions.withColumn("schema_version", F.lit("1")), f"{folder}/ontology_decisions.parquet", {"schema_version": "1", "artifact_id": identity, "provenance": dict(provenance)})
     put_json(Path(folder, "merge_decisions.json"), {"artifact_id": identity, "decisions": rows, "provenance": dict(provenance)})
     _put(Path(folder, "review.yaml"), yaml.safe_dump([r for r in rows if r["decision"] != "collapse"], sort_keys=True))
     return identity

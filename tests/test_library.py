@@ -492,6 +492,9 @@ def test_command_line(spark, tmp_path):
     assert run("align", tmp_path / "reg", "--null-shuffles", 3, "--out", tmp_path / "al") == 0
     summary = json.loads((tmp_path / "al" / "alignment_run_summary.json").read_text())
     assert (summary["n_pairs_considered"], summary["n_edges"], summary["n_pairs_excluded_by_reason"]["node_not_registrable"]) == (10, 6, 4)
+    left = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "al" / "alignment_excluded_pairs.tsv")).collect()
+    assert sorted((r.source_node_id, r.target_node_id, r.exclusion_reason, r.target_node_status) for r in left) == [(f"n{i}", "n4", "node_not_registrable", "no_ppm_array") for i in range(4)]
+    assert run("align", tmp_path / "reg", "--null-shuffles", 0, "--out", tmp_path / "al0") == 4 and run("align", tmp_path / "reg", "--null-shuffles", 3, "--out", tmp_path / "al") == 4
     (tmp_path / "m.json").write_text(json.dumps({"tomtom": {"version": "1", "matches": [{"node_id": "n0", "matched_motif_id": "a", "q": 0.01}]}}))
     assert run("annotate", tmp_path / "m.json", "--registry", tmp_path / "reg", "--section", "tomtom", "--section", "homer", "--out", tmp_path / "an") == 0
     assert [b["status"] for b in json.loads((tmp_path / "an" / "annotation_backends.json").read_text())] == ["VERIFIED", "UNVERIFIED"]
@@ -499,6 +502,12 @@ def test_command_line(spark, tmp_path):
     sinks.put_json(tmp_path / "d.json", {"artifact_id": identity.digest({"decisions": ds}), "decisions": ds})
     assert run("compile", tmp_path / "reg", "--decisions", tmp_path / "d.json", "--out", tmp_path / "co") == 0
     assert manifests.read_lexicons(tmp_path / "co" / "lexicons")["core"]["n_motifs"] == 4
+    assert [(o["id"], o["op"]) for o in json.loads((tmp_path / "co" / "lexicons" / "combination_operations.json").read_text())] == [("n0", "copy"), ("n2", "copy"), ("n3", "copy")]
+    assert {"no_cross_model_cwm_avg", "index_order_matches_loader"} <= {g["guard_id"] for g in json.loads((tmp_path / "co" / "guard_outcomes.json").read_text())}
+    (tmp_path / "ledger.tsv").write_text("axis_id\tbias\tmechanism\tcontrol\n" + "".join(f"BA-{i:02d}\tb\tm\tc\n" for i in range(1, 21)))
+    assert run("report", tmp_path / "i" / "interpretation.json", "--bias-ledger", tmp_path / "ledger.tsv", "--out", tmp_path / "rep3") == 0
+    (tmp_path / "ledger.tsv").write_text("axis_id\tbias\tmechanism\tcontrol\nBA-01\tb\tm\tc\n")
+    assert run("report", tmp_path / "i" / "interpretation.json", "--bias-ledger", tmp_path / "ledger.tsv", "--out", tmp_path / "rep4") == 4
     rows = [(f"p{i}", h, 1.0, 1.0) for i in range(40) for h in "ab"]
     change(spark, rows).write.parquet(str(tmp_path / "b.parquet"))
     change(spark, [(p, "c" if h == "b" else h, x, y) for p, h, x, y in rows]).write.parquet(str(tmp_path / "a.parquet"))
