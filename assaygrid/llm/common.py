@@ -17,6 +17,8 @@ from ..sources.scratch import discard, drop_scratch, scratch_dir, setting, ship,
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch sent to Python: texts can be long, so batches are small.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+#: Bytes of a text from which a classifier may learn, so that a sample of a bounded number of rows is bounded in bytes.
+LEARN_BYTES = 1 << 15
 
 
 def prepare(spark: SparkSession) -> SparkSession:

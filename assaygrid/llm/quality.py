@@ -103,10 +103,10 @@ def train(rows: list[tuple[str, int]], chunk: int = 1024, level: int = 3, dict_b
 
 
 def fit(docs: DataFrame, labels: DataFrame, texts_per_class: int = 3000, seed: int = 5, label: str = "quality", **how) -> CompressionModel:
-    """Model from docs (doc_id, text) and labels (doc_id, label), both already cut to the learnable rows."""
+    """Model from docs (doc_id, text) and labels (doc_id, label), both already cut to the learnable rows; texts of more than ``common.LEARN_BYTES`` teach nothing."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     sample = common.bounded_sample(known, "y", texts_per_class, F.col("doc_id"), seed)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != "")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").filter((F.col("text") != "") & (F.octet_length("text") <= common.LEARN_BYTES)).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
     rows = common.at_most_of(rows, "y", 2 * texts_per_class, seed).collect()  # an id of many documents or labels would swell the sample
     rows.sort(key=lambda r: (zlib.crc32(f"{seed}|{r.doc_id}".encode()), r.doc_id, r.text, r.y))
     return train([(r.text, r.y) for r in rows], **how)

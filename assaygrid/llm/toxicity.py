@@ -139,11 +139,11 @@ def select(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, texts_per_class: int = 6000, seed: int = 7, label: str = "toxic", folds: int = 8) -> BagModel:
-    """Model from docs (doc_id, text) and labels (doc_id, label), both already cut to the learnable rows."""
+    """Model from docs (doc_id, text) and labels (doc_id, label), both already cut to the learnable rows; texts of more than ``common.LEARN_BYTES`` teach nothing."""
     common.prepare(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     sample = common.bounded_sample(known, "y", texts_per_class, F.col("doc_id"), seed)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= common.LEARN_BYTES).join(F.broadcast(sample), "doc_id").select("text", "y")
     rows = common.at_most_of(rows, "y", 2 * texts_per_class, seed)  # an id of many documents would swell the sample
     rows = common.written(rows.repartition(folds), "labelled")  # bounded; read twice below
 
