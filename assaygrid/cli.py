@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.identity import IdentityError
-from .operators import annotation, compiling, registration, validation
+from .operators import annotation, compiling, registration, validation, watch
 from .operators.adjudication import adjudicate_all
 from .operators.design import histogram, run_design
-from .operators.guards import index_order_matches_loader, no_cross_model_cwm_avg, require, sign_alignment
+from .operators.guards import index_order_matches_loader, no_cross_model_cwm_avg, require
 from .operators.reading import BLOCK, REPLICATES, Floors, Query, interpret
 from .plans.engine import CATALOGUE
 from .sources import manifests, sinks
 from .sources.readers import Refusal, read_hits, read_regions
+from .sources.scratch import written
 
 REFUSED, CRASHED = 4, 1
 
@@ -101,8 +102,9 @@ def _align(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gua
     pairs = registration.register(numbered.select("node", "embedding"), a.null_shuffles, a.seed)
     name = lambda c: numbered.select(F.col("node").alias(c), F.col("node_id").alias(f"{c}_node_id"))
     edges = pairs.join(name("source"), "source").join(name("target"), "target").withColumns({"registered_on": F.lit(registration.REGISTERED_ON), "registration_rule_version": F.lit(registration.RULE)})
-    edges = edges.drop("source", "target").persist()
-    require([sign_alignment(edges)], log, "the edges about to be written")
+    watched = watch.Watched(edges.drop("source", "target"), watch.unsigned())
+    edges = written(watched.table, "edges")
+    require(watched.verdicts(), log, "the edges about to be published")
     sinks.write_edges(edges, str(out / "alignment_edges.parquet"), {"null_shuffles": a.null_shuffles, "seed": a.seed, "registration_rule_version": registration.RULE})
     sinks.write_table(edges.withColumn("observed_ppm_similarity", F.col("ppm_similarity")), str(out / "alignment_null_summary.tsv"), sinks.NULLS, sinks.NULLS[:2])
     status = numbered.select("node", F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), "no_ppm_array").when(registration.usable(), "registrable").otherwise("no_declared_trimmed_core").alias("status"), registration.core_bp().alias("core_bp"))
@@ -135,7 +137,10 @@ def _annotate(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.
     rows, backends = annotation.annotate(nodes, [Section(s) for s in a.section], manifests.read_occurrence_null(spark, a.occurrence_null) if a.occurrence_null else None)
     if rows is None:
         raise Refusal(f"no backend answered: {backends}")
-    sinks.write_annotation(str(out), rows, backends)
+    watched = watch.Watched(rows.join(nodes.select("node_id", F.col("core_length").alias("__core"), F.col("seqlet_count").alias("__seqlets")), "node_id", "left"), watch.weak_flags(core="__core", seqlets="__seqlets"))
+    candidates = written(watched.table, "candidates").drop("__core", "__seqlets")
+    require(watched.verdicts(), log, "the candidates about to be published")
+    sinks.write_annotation(str(out), candidates, backends)
     return f"{len(backends)} backends"
 
 

@@ -6,11 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.identity import lexicon_hash
 from ..sources.readers import Refusal
 from .guards import AXES
+from .selection import placed
 
 # Tiers and what keeps a merge split in the sensitivity lexicon.
 TIERS, LEXICONS = ("core", "expanded", "excluded"), ("core", "expanded", "sensitivity")
@@ -57,8 +57,8 @@ def members(nodes: DataFrame, decisions: DataFrame, lexicon: str) -> DataFrame:
 
 def loading_order(kept: DataFrame, by: str = "node_id") -> DataFrame:
     """kept with tag and pattern, as the loader reads them: positive before negative, numbered anew in each."""
-    place = F.row_number().over(W.partitionBy("metacluster").orderBy(by)) - 1
-    return kept.withColumns({"tag": F.concat("metacluster", F.lit("_patterns")), "pattern": F.concat(F.lit("pattern_"), place.cast("string")), "place": place})
+    out = placed(kept, "metacluster", by)
+    return out.withColumns({"tag": F.concat("metacluster", F.lit("_patterns")), "pattern": F.concat(F.lit("pattern_"), F.col("place").cast("string"))})
 
 
 def compare_lexicons(one: DataFrame, other: DataFrame) -> DataFrame:

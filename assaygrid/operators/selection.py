@@ -35,3 +35,13 @@ def medians(values: DataFrame) -> DataFrame:
     holds = lambda i: F.max(F.when((F.col("upto") > i) & (F.col("upto") - F.col("n") <= i), F.col("delta")))
     ends = ranked(values).groupBy("grp").agg(holds(F.floor((F.col("total") - 1) / 2)).alias("lower"), holds(F.floor(F.col("total") / 2)).alias("upper"))
     return ends.withColumn("middle", (F.col("lower") + F.col("upper")) / 2)
+
+
+def placed(df: DataFrame, by: str, order: str, name: str = "place") -> DataFrame:
+    """df with each row's place (from 0) among the rows of its ``by`` in the order of ``order``, whose values are distinct there."""
+    dealt = written(df.repartitionByRange(by, order).withColumn("__part", F.spark_partition_id()), "placed")
+    sums = dealt.groupBy(F.col(by).alias("__by"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    before = sums.withColumn("__ahead", F.sum("__n").over(W.partitionBy("__by").orderBy("__p")) - F.col("__n")).drop("__n")
+    own = dealt.withColumn("__i", F.row_number().over(W.partitionBy(by, "__part").orderBy(order)))
+    met = own.join(before, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    return met.withColumn(name, F.col("__ahead") + F.col("__i") - 1).select(*df.columns, name)
