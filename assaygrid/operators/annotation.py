@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 
 from ..functions.identity import candidate_id, row_id
 from ..sources.readers import Refusal
+from ..sources.scratch import ship
 from .guards import low_confidence
 
+MATCH = {"node_id": "string", "source": "string", "source_version": "string", "matched_motif_id": "string", "q": "double"}
 LEAST_AGREEING = 2  # fixed value: a consensus has two votes at least
 
 
@@ -35,6 +37,43 @@ class Matches:
         return self.table
 
 
+class Table:
+    """A backend over a table of matches of any size: Spark reads its partitions, and filters of section and nodes reach the files."""
+
+    def __init__(self, name: str, path: str, version: str, optional: bool = False):
+        self.name, self.path, self.version, self.optional = name, path, version, optional
+
+    def annotate(self, nodes: DataFrame) -> DataFrame:
+        rows = nodes.sparkSession.read.parquet(self.path)
+        missing = [c for c in MATCH if c not in rows.columns]
+        if missing:
+            raise Refusal(f"{self.path}: missing columns {', '.join(missing)}")
+        own = rows.filter((F.col("source") == self.name) & (F.col("source_version") == self.version)).select(*[F.col(c).cast(t).alias(c) for c, t in MATCH.items()])
+        if not own.take(1):
+            raise Refusal(f"{self.path}: no match of {self.name} in version {self.version}")
+        return own
+
+
+class Tool:
+    """A backend that works matches out in tasks: ``match(motifs)`` takes a pandas frame of nodes and gives one of (node_id, matched_motif_id, q)."""
+
+    def __init__(self, name: str, version: str, match: Callable, optional: bool = False):
+        self.name, self.version, self.match, self.optional = name, version, match, optional
+
+    def annotate(self, nodes: DataFrame) -> DataFrame:
+        ship(nodes.sparkSession)
+        match = self.match
+
+        def run(pdfs):
+            for pdf in pdfs:
+                found = match(pdf)
+                if len(found):
+                    yield found[["node_id", "matched_motif_id", "q"]]
+
+        out = nodes.mapInPandas(run, "node_id string, matched_motif_id string, q double")
+        return out.select("node_id", F.lit(self.name).alias("source"), F.lit(self.version).alias("source_version"), "matched_motif_id", "q")
+
+
 def annotate(nodes: DataFrame, backends: Sequence[Backend], occurrence: DataFrame | None = None) -> tuple[DataFrame | None, list[dict]]:
     """Candidates of all backends, and what became of each backend.
 
