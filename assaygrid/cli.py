@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .functions.identity import IdentityError
 from .operators import annotation, compiling, registration, validation, watch
 from .operators.adjudication import adjudicate_all
+from .operators.criteria import read_criteria
 from .operators.design import histogram, run_design
+from .operators.evidence import adjudicate_under
 from .operators.guards import index_order_matches_loader, no_cross_model_cwm_avg, require
 from .operators.reading import BLOCK, REPLICATES, Floors, Query, interpret
 from .plans.engine import CATALOGUE
@@ -51,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
     add("ingest", "project")
     add("align", "registry", ("--null-shuffles", number(int, 1000)), ("--seed", number(int, 0)))
     add("annotate", "evidence", ("--registry", {"required": True}), ("--section", {"action": "append", "default": []}), ("--occurrence-null", text))
-    add("adjudicate", "edges", ("--motifs", {"required": True}))
+    add("adjudicate", "edges", ("--motifs", {"required": True}), ("--criteria", text), ("--candidates", text), ("--stability", text))
     add("compile", "registry", ("--decisions", {"required": True}), ("--tiers", text))
     add("validate", "before", ("--after", {"required": True}), ("--decision-id", {"required": True}))
     add("multiverse", "design")
@@ -145,11 +147,21 @@ def _annotate(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.
 
 
 def _adjudicate(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.GuardLog) -> str:
-    found = adjudicate_all(spark.read.parquet(a.edges), spark.read.parquet(a.motifs))
-    named = found.select(F.col("decision_id").alias("cluster_id"), "decision", F.col("medoid").cast("string").alias("representative"), F.from_json("members", "array<string>").alias("members"), "relationship", "reason")
+    """Under a file of criteria, with candidates and stability results where they are given; without one, by the declared duplicate rule."""
+    edges, motifs = spark.read.parquet(a.edges), spark.read.parquet(a.motifs)
+    if a.criteria:
+        results = spark.read.option("multiLine", True).json(a.stability) if a.stability else None
+        if results is not None and (missing := {"decision_id", "status", "n_affected_peaks"} - set(results.columns)):
+            raise Refusal(f"{a.stability}: missing fields {', '.join(sorted(missing))}")
+        found = adjudicate_under(read_criteria(a.criteria), edges, motifs, spark.read.parquet(a.candidates) if a.candidates else None, results).withColumn("reason", F.col("rationale"))
+    elif a.candidates or a.stability:
+        raise Refusal("candidates and stability are evidence of criteria; none are given")
+    else:
+        found = adjudicate_all(edges, motifs).withColumn("representative", F.col("medoid"))
+    named = found.select(F.col("decision_id").alias("cluster_id"), "decision", F.col("representative").cast("string").alias("representative"), F.from_json("members", "array<string>").alias("members"), "relationship", "reason")
     if named.filter("members IS NULL").take(1):
         raise Refusal("a cluster of more members than a person can review")
-    return sinks.write_decisions(str(out), named, {"edges": a.edges})
+    return sinks.write_decisions(str(out), named, {"edges": a.edges, **({"criteria": a.criteria} if a.criteria else {})})
 
 
 def _compile(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.GuardLog) -> str:
