@@ -78,7 +78,8 @@ def _reading(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.G
         sinks.write_effects(out / "effect_estimates.tsv", r)
     else:
         sinks.put_json(out / "interpretation.json", r.to_dict())
-    return r.suppression or f"{len(r.effects or ())} effects"
+    first = sorted(r.effects or (), key=lambda e: (-e["effect"], e["family_id"]))[:5]
+    return r.suppression or "\n".join([f"{len(r.effects or ())} effects", *(f"{e['family_id']} {e['effect']:.6g} [{e['ci_low']:.6g}, {e['ci_high']:.6g}]" for e in first)])
 
 
 def _ingest(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.GuardLog) -> str:
@@ -97,11 +98,17 @@ def _align(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gua
     if a.null_shuffles < 1:
         raise Refusal(f"--null-shuffles is at least 1, not {a.null_shuffles}")
     _, nodes, mats = manifests.read_registry(spark, a.registry)
-    flat = mats.filter("kind = 'cwm'").select("node_id", F.flatten("mat").alias("embedding"))
+    cwm = mats.filter("kind = 'cwm'")
+    declared = {"core_start", "core_end"} <= set(nodes.columns)
+    if declared:  # a declared core is registered as it is; without one a motif is left out
+        cwm, trim = cwm.join(nodes.select("node_id", "core_start", "core_end"), "node_id").select("node_id", F.col("mat").alias("whole"), annotation.declared_core().alias("mat")), 0.0
+    else:
+        cwm, trim = cwm.withColumn("whole", F.col("mat")), registration.TRIM
+    flat = cwm.select("node_id", F.flatten("mat").alias("embedding"), F.col("whole").isNotNull().alias("has_matrix"))
     # a registry's nodes fit the driver; ids in their order become numbers, the smaller one the source
     order = spark.createDataFrame([(r.node_id, i) for i, r in enumerate(nodes.select("node_id").orderBy("node_id").collect())], "node_id string, node long")
-    numbered = order.join(flat, "node_id", "left").select("node", "node_id", "embedding").persist()
-    pairs = registration.register(numbered.select("node", "embedding"), a.null_shuffles, a.seed)
+    numbered = order.join(flat, "node_id", "left").select("node", "node_id", "embedding", F.coalesce("has_matrix", F.lit(False)).alias("has_matrix")).persist()
+    pairs = registration.register(numbered.select("node", "embedding"), a.null_shuffles, a.seed, trim=trim)
     name = lambda c: numbered.select(F.col("node").alias(c), F.col("node_id").alias(f"{c}_node_id"))
     edges = pairs.join(name("source"), "source").join(name("target"), "target").withColumns({"registered_on": F.lit(registration.REGISTERED_ON), "registration_rule_version": F.lit(registration.RULE)})
     watched = watch.Watched(edges.drop("source", "target"), watch.unsigned())
@@ -109,7 +116,7 @@ def _align(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gua
     require(watched.verdicts(), log, "the edges about to be published")
     sinks.write_edges(edges, str(out / "alignment_edges.parquet"), {"null_shuffles": a.null_shuffles, "seed": a.seed, "registration_rule_version": registration.RULE})
     sinks.write_table(edges.withColumn("observed_ppm_similarity", F.col("ppm_similarity")), str(out / "alignment_null_summary.tsv"), sinks.NULLS, sinks.NULLS[:2])
-    status = numbered.select("node", F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), "no_ppm_array").when(registration.usable(), "registrable").otherwise("no_declared_trimmed_core").alias("status"), registration.core_bp().alias("core_bp"))
+    status = numbered.select("node", F.when(registration.usable(), "registrable").when(F.col("has_matrix") & F.col("embedding").isNull(), "no_declared_trimmed_core").otherwise("no_ppm_array").alias("status"), registration.core_bp(trim=trim).alias("core_bp"))
     held = {"motif_status": status}
     left = CATALOGUE.over("excluded_pairs", held).join(name("source"), "source").join(name("target"), "target")
     left = left.select("source_node_id", "target_node_id", F.col("exclusion").alias("exclusion_reason"), F.col("source_status").alias("source_node_status"), F.col("target_status").alias("target_node_status"), "source_core_bp", "target_core_bp")
@@ -120,7 +127,8 @@ def _align(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gua
     if found + counts["pair", "node_not_registrable"] + below != considered:
         raise Refusal(f"{found} edges and {considered - found} other pairs do not add up to what was counted from the lengths")
     sinks.put_json(out / "alignment_run_summary.json", {"n_nodes": n, "n_pairs_considered": considered, "n_edges": found, "n_pairs_excluded": considered - found, "n_pairs_excluded_by_reason": {"node_not_registrable": considered - found - below, "no_offset_meets_overlap_floor": below}, "null_shuffles": a.null_shuffles, "seed": a.seed, "registration_rule_version": registration.RULE})
-    return f"{found} of {considered} pairs"
+    first = edges.orderBy("source_node_id", "target_node_id").limit(5).collect()
+    return "\n".join([f"{found} of {considered} pairs", *(f"{r.source_node_id} {r.target_node_id} {r.orientation}{r.offset} {r.ppm_similarity:.3f}" for r in first)])
 
 
 def _annotate(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.GuardLog) -> str:

@@ -54,15 +54,15 @@ def shuffle(seed: int, k: int, n: int) -> np.ndarray:
     return np.array(sorted(range(n), key=lambda i: hashlib.md5(f"{seed}|{k}|{n}|{i}".encode()).digest()), dtype=np.int64)
 
 
-def cores(motifs: list) -> Cores:
-    """Cores of flat motifs of any lengths."""
+def cores(motifs: list, trim: float = TRIM) -> Cores:
+    """Cores of flat motifs of any lengths; ``trim`` 0 takes whole motifs."""
     size = max((len(x) // 4 for x in motifs), default=1)
     m, rows = np.zeros((len(motifs), size, 4)), np.array([len(x) // 4 for x in motifs])
     for i, x in enumerate(motifs):
         m[i, : rows[i]] = np.asarray(x, dtype=np.float64).reshape(-1, 4)
     m /= np.maximum(np.abs(m).max((1, 2), keepdims=True), 1e-300)  # cosines do not depend on the scale
     top = np.where(np.arange(size) < rows[:, None], np.abs(m).max(2), -1)
-    keep = top >= TRIM * top.max(1, keepdims=True)
+    keep = (top >= trim * top.max(1, keepdims=True)) & (top >= 0)
     start, end = keep.argmax(1), size - keep[:, ::-1].argmax(1)
     at = start[:, None] + np.arange(size)
     inside, at = (at < end[:, None])[:, :, None], np.minimum(at, size - 1)[:, :, None]
@@ -151,11 +151,11 @@ def usable(motif: str = "embedding"):
     return F.coalesce((F.size(m) > 0) & (F.size(m) % 4 == 0) & F.forall(m, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
 
 
-def core_bp(motif: str = "embedding"):
+def core_bp(motif: str = "embedding", trim: float = TRIM):
     """Rows of the core of a usable motif, by the rule of ``cores``; null for another."""
     m, rows = F.col(motif), F.sequence(F.lit(0), F.floor(F.size(motif) / 4).cast("int") - 1)
     tops = F.transform(rows, lambda i: F.array_max(F.transform(F.slice(m, i * 4 + 1, F.lit(4)), F.abs)))
-    kept = F.filter(rows, lambda i: F.get(tops, i) >= TRIM * F.array_max(tops))
+    kept = F.filter(rows, lambda i: F.get(tops, i) >= trim * F.array_max(tops))
     return F.when(usable(motif), F.element_at(kept, -1) - F.element_at(kept, 1) + 1)
 
 
@@ -172,22 +172,22 @@ def _met(dealt: DataFrame, blocks: int, parts: int) -> DataFrame:
     return met.select("node", "embedding", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "part", "b")
 
 
-def _sides(pdf) -> tuple | None:
+def _sides(pdf, trim: float) -> tuple | None:
     """Ids and cores of both blocks, and the numbers of their blocks and part."""
     lo, hi = int(pdf.lo.iloc[0]), int(pdf.hi.iloc[0])
     first, second = (pdf[pdf.b == x].sort_values("node") for x in (lo, hi))
     if not len(first) or not len(second):
         return None
-    return first.node.to_numpy(), second.node.to_numpy(), cores(first.embedding.tolist()), cores(second.embedding.tolist()), int(pdf.part.iloc[0])
+    return first.node.to_numpy(), second.node.to_numpy(), cores(first.embedding.tolist(), trim), cores(second.embedding.tolist(), trim), int(pdf.part.iloc[0])
 
 
-def _registered(dealt: DataFrame, blocks: int, least: int, share: float, signs: bool) -> DataFrame:
+def _registered(dealt: DataFrame, blocks: int, least: int, share: float, signs: bool, trim: float) -> DataFrame:
     names = [c.split()[0] for c in EDGE.split(", ")][: None if signs else -1]
 
     def run(pdf):
         import pandas as pd
 
-        out, sides = {c: np.zeros(0) for c in names}, _sides(pdf)
+        out, sides = {c: np.zeros(0) for c in names}, _sides(pdf, trim)
         if sides:
             s, t, a, b, _ = sides
             score, orient, shift, width = best(a, b, least, share)
@@ -207,13 +207,13 @@ AT_ONCE = 25
 UNIT = 10**9  # scores have nine decimals, so their sums are whole numbers of units
 
 
-def _nulls(dealt: DataFrame, blocks: int, shuffles: int, seed: int, least: int, share: float, at_once: int) -> DataFrame:
+def _nulls(dealt: DataFrame, blocks: int, shuffles: int, seed: int, least: int, share: float, at_once: int, trim: float) -> DataFrame:
     """source, target, draws that reach the observed score, their sum in units, least and greatest: parts of the shuffles, summed."""
 
     def run(pdf):
         import pandas as pd
 
-        out, sides = {c: np.zeros(0, np.int64) for c in ("source", "target", "reach", "total", "low", "high")}, _sides(pdf)
+        out, sides = {c: np.zeros(0, np.int64) for c in ("source", "target", "reach", "total", "low", "high")}, _sides(pdf, trim)
         if sides:
             s, t, a, b, part = sides
             score = best(a, b, least, share)[0]
@@ -233,10 +233,10 @@ def _nulls(dealt: DataFrame, blocks: int, shuffles: int, seed: int, least: int,
     return found.groupBy("source", "target").agg(F.sum("reach").alias("reach"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def null_summary(motifs: DataFrame, shuffles: int, seed: int = 7, least: int = LEAST_ROWS, share: float = LEAST_SHARE, block: int = 256, at_once: int = AT_ONCE) -> DataFrame:
+def null_summary(motifs: DataFrame, shuffles: int, seed: int = 7, least: int = LEAST_ROWS, share: float = LEAST_SHARE, block: int = 256, at_once: int = AT_ONCE, trim: float = TRIM) -> DataFrame:
     """source, target, null_shuffles, seed, empirical_p_value, null_mean, null_min, null_max of every registrable pair."""
     ship(motifs.sparkSession)
-    return _summed(_nulls(*_dealt(motifs, block), shuffles, seed, least, share, at_once), shuffles, seed)
+    return _summed(_nulls(*_dealt(motifs, block), shuffles, seed, least, share, at_once, trim), shuffles, seed)
 
 
 def _summed(nulls: DataFrame, shuffles: int, seed: int) -> DataFrame:
@@ -244,20 +244,20 @@ def _summed(nulls: DataFrame, shuffles: int, seed: int) -> DataFrame:
     return nulls.select("source", "target", F.lit(shuffles).cast("long").alias("null_shuffles"), F.lit(seed).cast("long").alias("seed"), ((F.col("reach") + 1) / (shuffles + 1)).alias("empirical_p_value"), F.round(unit("total") / shuffles, 9).alias("null_mean"), unit("low").alias("null_min"), unit("high").alias("null_max"))
 
 
-def register(motifs: DataFrame, shuffles: int = 0, seed: int = 7, least: int = LEAST_ROWS, share: float = LEAST_SHARE, block: int = 256, at_once: int = AT_ONCE, signs: bool = True) -> DataFrame:
+def register(motifs: DataFrame, shuffles: int = 0, seed: int = 7, least: int = LEAST_ROWS, share: float = LEAST_SHARE, block: int = 256, at_once: int = AT_ONCE, signs: bool = True, trim: float = TRIM) -> DataFrame:
     """Every registrable pair of motifs (node, embedding), the smaller id as source; with shuffles, its null as well.
 
     A null draw puts the target core's rows in another order and registers the pair anew, offsets and orientations
     included; p = (draws that reach the observed score + 1) / (draws + 1).  A task registers two blocks, or runs
     ``at_once`` of their shuffles; the shuffles' parts are counts, integer sums, minima and maxima, which add up alike
-    however they are cut.
+    however they are cut.  ``trim`` 0 registers motifs that are cores already.
     """
     ship(motifs.sparkSession)
     dealt, blocks = _dealt(motifs, block)
-    found = _registered(dealt, blocks, least, share, signs)
+    found = _registered(dealt, blocks, least, share, signs, trim)
     if not shuffles:
         return found
-    return found.join(_summed(_nulls(dealt, blocks, shuffles, seed, least, share, at_once), shuffles, seed), ["source", "target"])
+    return found.join(_summed(_nulls(dealt, blocks, shuffles, seed, least, share, at_once, trim), shuffles, seed), ["source", "target"])
 
 
 def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,11 @@ class Refusal(ValueError):
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """A hit table from Parquet or from tab-separated text with a header; both read alike."""
-    if path.endswith((".tsv", ".txt", ".tsv.gz")):
-        raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
-    else:
+    """A hit table from Parquet (.parquet, .pq) or else from tab-separated text with a header; both read alike."""
+    if path.rstrip("/").endswith((".parquet", ".pq")):
         raw = spark.read.parquet(path)
+    else:
+        raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
     missing = [f.name for f in HIT if f.name not in raw.columns]
     if missing:
         raise Refusal(f"{path}: missing columns {', '.join(missing)}")

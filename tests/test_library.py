@@ -488,6 +488,14 @@ def test_command_line(spark, tmp_path):
     mats = [(n, "cwm", [[rng.gauss(0, 1) for _ in range(4)] for _ in range(10)]) for n in names[:4]]
     schema = "node_id string, variant_id string, metacluster string, discovery_tier string, analysis_tier string, seqlet_count long, core_start int, core_end int"
     nodes = spark.createDataFrame([(n, f"v{n}", "pos", "core", "core", 200, 0, 10) for n in names], schema)
+    cut = nodes.withColumn("core_start", __import__("pyspark.sql.functions", fromlist=["when"]).expr("CASE node_id WHEN 'n1' THEN 2 WHEN 'n2' THEN 6 WHEN 'n3' THEN NULL ELSE 0 END"))
+    sinks.write_registry(str(tmp_path / "cut"), {}, cut, spark.createDataFrame(mats, "node_id string, kind string, mat array<array<double>>"))
+    assert run("align", tmp_path / "cut", "--null-shuffles", 2, "--out", tmp_path / "alc") == 0
+    e = spark.read.parquet(str(tmp_path / "alc" / "alignment_edges.parquet")).collect()
+    assert [(r.source_node_id, r.target_node_id) for r in e] == [("n0", "n1")] and e[0].overlap_bp <= 8 and "n0 n1" in status("alc")["said"]  # cores of 10, 8 and 4 rows, and none
+    left = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "alc" / "alignment_excluded_pairs.tsv")).collect()
+    assert {(r.source_node_id, r.target_node_id): r.exclusion_reason for r in left if r.target_node_id == "n2"} == dict.fromkeys([("n0", "n2"), ("n1", "n2")], "no_offset_meets_overlap_floor")
+    assert {r.target_node_id: r.target_node_status for r in left if r.source_node_id == "n0"} == {"n2": "registrable", "n3": "no_declared_trimmed_core", "n4": "no_ppm_array"}
     sinks.write_registry(str(tmp_path / "reg"), {}, nodes, spark.createDataFrame(mats, "node_id string, kind string, mat array<array<double>>"))
     assert run("align", tmp_path / "reg", "--null-shuffles", 3, "--out", tmp_path / "al") == 0
     summary = json.loads((tmp_path / "al" / "alignment_run_summary.json").read_text())
