@@ -368,3 +368,37 @@ def test_embeddings_of_uneven_lengths(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in hnsw.near_duplicates(df, min_shards=2, width=4).collect())
     want = sorted([(10 * k + i, 2, 10 * k) for k in range(4) for i in range(3)] + [(90, 0, 90), (91, 0, 91), (5, 1, 5), (5, 1, 5)])
     assert got == want
+
+
+def test_learning_of_toxic_features_by_plain_counts(spark, monkeypatch):
+    """Which features are chosen and which bags are trained on, counted plainly from all labelled texts, repeated ids included."""
+    rng = random.Random(21)
+    common_words, bad = ["river", "stone", "Garden", "über", "x1y", "lantern", "don't"], ["vilest", "vilely", "rotten"]
+    texts = [(i, ". ".join(" ".join(rng.choices(common_words, k=6) + ([rng.choice(bad)] if i % 4 == 0 and rng.random() < 0.8 else [])) for _ in range(3))) for i in range(300)]
+    texts += [(4, "vilest of all"), (5, ""), (301, None), (302, "y" * 40000 + " vilest")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(303) if i % 7] + [(8, None)], "doc_id long, toxic int")
+    given = {}
+    select, train = toxicity.select, toxicity.train
+    monkeypatch.setattr(toxicity, "select", lambda *a: given.setdefault("chosen", select(*a)))
+    monkeypatch.setattr(toxicity, "train", lambda bags, y, **how: given.update(bags=bags, y=y) or train(bags, y, **how))
+    model = toxicity.fit(docs, labels)
+
+    def marks(token):
+        for word in re.findall(r"[^\W\d_]+", token):
+            yield zlib.crc32(b"w" + word.encode()) % (1 << 20)
+            yield from (zlib.crc32(str(n).encode() + word[:n].encode()) % (1 << 20) for n in range(3, 7) if len(word) >= n)
+
+    rows = [(t.lower(), int(i % 4 == 0)) for i, t in texts if t is not None and len(t.encode()) <= 1 << 15 and i % 7 and i < 303]
+    seen, n = {0: collections.Counter(), 1: collections.Counter()}, collections.Counter(y for _, y in rows)
+    for t, y in rows:
+        seen[y].update({m for token in t.split() for m in marks(token)})
+    want = set()
+    for m, k in seen[1].items():
+        a, b, both = k / n[1], seen[0][m] / n[0], (k + seen[0][m]) / (n[0] + n[1])
+        if (a - b) / math.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12) > 3 and k >= 2 and a > 4 * b:
+            want.add(m)
+    assert given["chosen"] == want and {next(marks(w)) for w in bad} <= want
+    bags = sorted((y, [[m for token in s.split() for m in marks(token) if m in want] for s in re.findall(r"[^.!?\n]+", t)] or [[]]) for t, y in rows)
+    assert [(int(y), [s.tolist() for s in b]) for y, b in zip(given["y"], given["bags"], strict=True)] == bags
+    assert set(model.weights) <= want and toxicity.predict(docs.filter("doc_id = 4"), model).agg({"score": "min"}).first()[0] > 0.5
