@@ -31,13 +31,13 @@ SELECT 'draw' AS kind, s.r, b.block, count(*) AS w FROM
 UNION ALL SELECT 'sign' AS kind, r, block, CASE WHEN {hex:concat_ws('|', 'sign', '{=seed}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))} % 2 = 0 THEN 1 ELSE -1 END AS w FROM (SELECT block, k, {explode:{=replicates}} AS r FROM grid_blocks) c""", stored=True)
 C.relation("weighted_values", """
 SELECT w.kind, w.r, x.side, x.family, sum(w.w * x.signed) AS signed, sum(w.w * x.mass) AS mass, sum(w.w * x.hits) AS hits FROM weights w JOIN side_values x ON x.block = w.block GROUP BY w.kind, w.r, x.side, x.family""", stored=True)
-C.relation("weighted_sizes", "SELECT w.r, b.side, sum(w.w * b.n) AS n FROM weights w JOIN side_blocks b ON b.block = w.block WHERE w.kind = 'draw' GROUP BY w.r, b.side")
+C.relation("weighted_sizes", "SELECT w.r, b.side, sum(w.w * b.n) AS n FROM weights w JOIN side_blocks b ON b.block = w.block WHERE w.kind = 'draw' GROUP BY w.r, b.side", stored=True)
 # a cell's two sides with their signs; cells without regions on a side have no terms
 C.relation("cell_terms", """
 SELECT s.cell, s.measure, s.qs AS side, 1 AS sign FROM cell_sides s UNION ALL SELECT s.cell, s.measure, s.cs AS side, -1 AS sign FROM cell_sides s""")
 C.relation("terms", """
 SELECT t.cell, t.measure, t.side, t.sign, z.n FROM cell_terms t JOIN side_sizes z ON z.side = t.side AND z.n > 0
-JOIN (SELECT c.cell FROM cell_terms c JOIN side_sizes y ON y.side = c.side AND y.n > 0 GROUP BY c.cell HAVING count(*) = 2) both ON both.cell = t.cell""")
+JOIN (SELECT c.cell FROM cell_terms c JOIN side_sizes y ON y.side = c.side AND y.n > 0 GROUP BY c.cell HAVING count(*) = 2) both ON both.cell = t.cell""", stored=True)
 C.relation("cell_blocks", "SELECT t.cell, b.block FROM terms t JOIN side_blocks b ON b.side = t.side GROUP BY t.cell, b.block")
 C.relation("cell_sizes", "SELECT cell, count(*) AS g FROM cell_blocks GROUP BY cell")
 C.relation("grid_points", f"""
