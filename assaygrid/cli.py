@@ -209,7 +209,7 @@ def _report(spark: SparkSession, a: argparse.Namespace, out: Path, log: sinks.Gu
         raise Refusal(f"{a.interpretation} is {state}")
     beside = Path(a.interpretation).parent
     past = manifests.read_record(beside / "provenance.json")
-    ledger = manifests.read_bias_ledger(a.bias_ledger, manifests.BIAS_AXES, manifests.LEDGER) if a.bias_ledger else []
+    ledger = manifests.read_bias_ledger(a.bias_ledger, manifests.BIAS_AXES, manifests.BIAS_LEDGER) if a.bias_ledger else []
     return str(sinks.write_report(out / "report.md", tree, past[1] if past[0] == "PRESENT" else (), ledger, manifests.read_record(beside / "guard_outcomes.json")))
 
 

@@ -241,7 +241,7 @@ def read_caller_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Header and axes of a bias ledger.
-LEDGER, BIAS_AXES = ("axis_id", "bias", "mechanism", "control"), tuple(f"BA-{i:02d}" for i in range(1, 21))
+BIAS_LEDGER, BIAS_AXES = ("axis_id", "bias", "mechanism", "control"), tuple(f"BA-{i:02d}" for i in range(1, 21))
 
 
 def read_bias_ledger(path: str | Path, axes: Sequence[str], columns: Sequence[str]) -> list[list[str]]:
