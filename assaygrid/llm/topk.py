@@ -118,8 +118,16 @@ def feasible(q: np.ndarray, t: float, unit: np.ndarray, focus: int) -> np.ndarra
     return ok
 
 
+#: Scores that wait to be sorted in among the best.
+PENDING = 1 << 20
+
+
 def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, cand: np.ndarray, coordinate_from: float, focus: int = 3) -> None:
-    """Search one bucket of candidates of nearly one length."""
+    """Search one bucket of candidates of nearly one length.
+
+    Before thresholds are known most scores pass, so a chunk brings no more than its own best and their ties, and what
+    has been found is sorted in whenever ``PENDING`` scores wait.
+    """
     lengths = np.sqrt((cand.astype(np.float64) ** 2).sum(axis=1))
     longest = max(lengths.max(initial=0.0), 1e-12)
     qlen = np.maximum(np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)), 1e-12)
@@ -127,7 +135,22 @@ def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarr
     live = np.flatnonzero(local <= 1 + 1e-9)  # the others cannot reach their k-th score in this bucket
     by_coordinate = live[local[live] >= coordinate_from]
     by_length = live[local[live] < coordinate_from]
-    found = []
+    found, waiting = [], 0
+
+    def keep(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
+        nonlocal waiting
+        found.append((q, c, s))
+        waiting += len(s)
+        if waiting >= PENDING:
+            flush()
+
+    def flush() -> None:
+        nonlocal waiting
+        if found:
+            best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        found.clear()
+        waiting = 0
+
     if len(by_coordinate):
         unit = cand / np.maximum(lengths, 1e-12)[:, None]
         for i in by_coordinate:
@@ -135,7 +158,7 @@ def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarr
             if len(c):
                 s = products(queries[i : i + 1], cand[c])[0]
                 hit = (s >= best.theta[i]) & (ids[c] != query_ids[i])
-                found.append((np.full(hit.sum(), i), ids[c][hit], s[hit]))
+                keep(np.full(hit.sum(), i), ids[c][hit], s[hit])
     if len(by_length):
         longer = np.argsort(-lengths, kind="stable")
         head, head_ids, falling = cand[longer], ids[longer], -lengths[longer]
@@ -147,11 +170,14 @@ def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarr
             if not m:
                 continue
             s = products(queries[rows], head[:m])
-            hit = (s >= best.theta[rows][:, None]) & (head_ids[None, :m] != query_ids[rows][:, None])
+            other = head_ids[None, :m] != query_ids[rows][:, None]
+            hit = (s >= best.theta[rows][:, None]) & other
+            if m > best.k and hit.sum() > 4 * best.k * len(rows):
+                least = np.partition(np.where(other, s, np.iinfo(np.int64).min), m - best.k, axis=1)[:, m - best.k]
+                hit &= s >= least[:, None]
             r, c = np.nonzero(hit)
-            found.append((rows[r], head_ids[c], s[r, c]))
-    if found:
-        best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            keep(rows[r], head_ids[c], s[r, c])
+    flush()
 
 
 def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, block: int = 16384, bucket: int = 1024, seeds: int = 2048, coordinate_from: float = 0.85) -> DataFrame:
