@@ -25,3 +25,30 @@ def test_first_thresholds_of_many_queries_hold_few_scores():
         want = sorted(((-s[c], c) for c in ids if c != q))[:k]
         own = best.q == q
         assert sorted(zip(-best.score[own], best.id[own], strict=True)) == want
+
+
+def test_draws_are_added_up_by_key_and_never_sent_whole(spark):
+    from assaygrid.plans.engine import CATALOGUE as C
+
+    from assaygrid.sources.scratch import written
+
+    held = {}
+    base = lambda t: f"parquet.`/root/testdata/sf0.001/{t}.parquet`"
+    for n in ("blk", "fb"):
+        held[n] = written(C.plan(spark, n, base, held), n)
+    blk, fb = ({(r.block, r.family) if n == "fb" else r.block: r for r in held[n].collect()} for n in ("blk", "fb"))
+    sums = C.plan(spark, "drawn_sums", base, held)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    import hashlib
+
+    by_k, g = {r.k: r for r in blk.values()}, len(blk)
+    families = {f for _, f in fb}
+    found = {(r.family, r.r): (r.q, r.c) for r in sums.filter("r < 3").collect()}
+    for r in range(3):
+        drawn = [by_k[int(hashlib.md5(f"7|{r}|{k}".encode()).hexdigest()[:8], 16) % g] for k in range(g)]
+        assert found[None, r] == (sum(b.nq for b in drawn), sum(b.nc for b in drawn))
+        for f in families:
+            rows = [fb[b.block, f] for b in drawn if (b.block, f) in fb]
+            want = (sum(x.q for x in rows), sum(x.c for x in rows))
+            assert ((f, r) in found) == bool(rows) and (not rows or np.allclose(found[f, r], want))
