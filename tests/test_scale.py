@@ -52,3 +52,20 @@ def test_draws_are_added_up_by_key_and_never_sent_whole(spark):
             rows = [fb[b.block, f] for b in drawn if (b.block, f) in fb]
             want = (sum(x.q for x in rows), sum(x.c for x in rows))
             assert ((f, r) in found) == bool(rows) and (not rows or np.allclose(found[f, r], want))
+
+
+def test_registered_pairs_with_nulls_meet_in_no_join_whatever_the_tiles(spark):
+    from assaygrid.operators import registration
+
+    rng = np.random.default_rng(8)
+    motifs = [(i, rng.normal(size=4 * int(rng.integers(6, 12))).tolist()) for i in range(70)]
+    df = spark.createDataFrame(motifs, "node long, embedding array<double>")
+    whole = registration.register(df, 5)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    rows = sorted(map(tuple, whole.collect()))
+    assert rows and registration._dealt(df, 1)[1] == 35  # two tiles a block
+    for how in ({"block": 1}, {"block": 9, "at_once": 2}):
+        assert sorted(map(tuple, registration.register(df, 5, **how).collect())) == rows
+    plain = sorted(map(tuple, registration.register(df).collect()))
+    assert [r[:9] for r in rows] == plain
