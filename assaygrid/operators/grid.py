@@ -25,13 +25,19 @@ C.relation("side_sizes", "SELECT side, sum(n) AS n FROM side_blocks GROUP BY sid
 C.relation("grid_blocks", """
 SELECT b.block, CAST(s.ahead + row_number() OVER (PARTITION BY b.h ORDER BY b.block) - 1 AS BIGINT) AS k, s.g FROM (SELECT block, h FROM side_blocks GROUP BY block, h) b
 JOIN (SELECT h, sum(n) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) - n AS ahead, sum(n) OVER () AS g FROM (SELECT h, count(*) AS n FROM (SELECT block, h FROM side_blocks GROUP BY block, h) d GROUP BY h) c) s ON s.h = b.h""", stored=True)
+# what a block holds, by its place: values of side and family; no family: regions of a side; no side: the sides that it has
+C.relation("grid_held", """
+SELECT /*+ MERGE(b) */ b.k, x.side, CAST(NULL AS ARRAY<STRING>) AS sides, x.family, x.signed, x.mass, x.hits FROM side_values x JOIN grid_blocks b ON b.block = x.block
+UNION ALL SELECT /*+ MERGE(b) */ b.k, x.side, NULL AS sides, NULL AS family, NULL AS signed, NULL AS mass, x.n AS hits FROM side_blocks x JOIN grid_blocks b ON b.block = x.block
+UNION ALL SELECT /*+ MERGE(b) */ b.k, NULL AS side, x.sides, NULL AS family, NULL AS signed, NULL AS mass, 1 AS hits FROM (SELECT block, array_sort(collect_set(side)) AS sides FROM side_blocks GROUP BY block) x JOIN grid_blocks b ON b.block = x.block""")
+# draws and signs outnumber the blocks by the replicates: they are dealt by place and added up there, never sent whole
 C.relation("weights", """
-SELECT 'draw' AS kind, s.r, b.block, count(*) AS w FROM
-  (SELECT r, {hex:concat_ws('|', '{=seed}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))} % g AS pick FROM (SELECT k, g, {explode:{=replicates}} AS r FROM grid_blocks) a) s JOIN grid_blocks b ON b.k = s.pick GROUP BY s.r, b.block
-UNION ALL SELECT 'sign' AS kind, r, block, CASE WHEN {hex:concat_ws('|', 'sign', '{=seed}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))} % 2 = 0 THEN 1 ELSE -1 END AS w FROM (SELECT block, k, {explode:{=replicates}} AS r FROM grid_blocks) c""", stored=True)
-C.relation("weighted_values", """
-SELECT w.kind, w.r, x.side, x.family, sum(w.w * x.signed) AS signed, sum(w.w * x.mass) AS mass, sum(w.w * x.hits) AS hits FROM weights w JOIN side_values x ON x.block = w.block GROUP BY w.kind, w.r, x.side, x.family""", stored=True)
-C.relation("weighted_sizes", "SELECT w.r, b.side, sum(w.w * b.n) AS n FROM weights w JOIN side_blocks b ON b.block = w.block WHERE w.kind = 'draw' GROUP BY w.r, b.side", stored=True)
+SELECT 'draw' AS kind, r, {hex:concat_ws('|', '{=seed}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))} % g AS k, 1 AS w FROM (SELECT k, g, {explode:{=replicates}} AS r FROM (SELECT /*+ REPARTITION(64, k) */ k, g FROM grid_blocks) d) a
+UNION ALL SELECT 'sign' AS kind, r, k, CASE WHEN {hex:concat_ws('|', 'sign', '{=seed}', CAST(r AS VARCHAR(20)), CAST(k AS VARCHAR(20)))} % 2 = 0 THEN 1 ELSE -1 END AS w FROM (SELECT k, {explode:{=replicates}} AS r FROM (SELECT /*+ REPARTITION(64, k) */ k FROM grid_blocks) d) c""")
+C.relation("weighted", """
+SELECT /*+ SHUFFLE_HASH(x) */ w.kind, w.r, x.side, x.sides, x.family, sum(w.w * x.signed) AS signed, sum(w.w * x.mass) AS mass, sum(w.w * x.hits) AS hits FROM weights w JOIN grid_held x ON x.k = w.k GROUP BY w.kind, w.r, x.side, x.sides, x.family""", stored=True)
+C.relation("weighted_values", "SELECT kind, r, side, family, signed, mass, hits FROM weighted WHERE family IS NOT NULL")
+C.relation("weighted_sizes", "SELECT r, side, hits AS n FROM weighted WHERE kind = 'draw' AND family IS NULL AND sides IS NULL")
 # a cell's two sides with their signs; cells without regions on a side have no terms
 C.relation("cell_terms", """
 SELECT s.cell, s.measure, s.qs AS side, 1 AS sign FROM cell_sides s UNION ALL SELECT s.cell, s.measure, s.cs AS side, -1 AS sign FROM cell_sides s""")
@@ -60,7 +66,7 @@ SELECT t.cell, x.family, x.r, sum(t.sign * ({VALUE}) / t.n) AS s FROM terms t JO
 C.relation("grid_wild", """
 SELECT a.cell, a.family, a.r, m.t, CASE WHEN m.t IS NOT NULL AND m.ss - m.g * a.mean * a.mean > 1e-12 * m.ss THEN a.mean / sqrt((m.ss - m.g * a.mean * a.mean) / (m.g - 1) / m.g) END AS tr FROM
   (SELECT s.cell, s.family, s.r, s.s - p.m * b.signs / p.g AS mean FROM grid_signed s JOIN grid_spread p ON p.cell = s.cell AND p.family = s.family
-   JOIN (SELECT c.cell, w.r, sum(w.w) AS signs FROM cell_blocks c JOIN weights w ON w.block = c.block AND w.kind = 'sign' GROUP BY c.cell, w.r) b ON b.cell = s.cell AND b.r = s.r) a
+   JOIN (SELECT cell, r, sum(hits) AS signs FROM (SELECT DISTINCT t.cell, w.r, w.sides, w.hits FROM terms t JOIN weighted w ON w.kind = 'sign' AND array_contains(w.sides, t.side)) c GROUP BY cell, r) b ON b.cell = s.cell AND b.r = s.r) a
 JOIN grid_spread m ON m.cell = a.cell AND m.family = a.family""")
 C.relation("grid_p", f"""
 SELECT cell, family, CASE WHEN max(t) IS NOT NULL AND count(tr) >= {LEAST_BLOCKS} THEN (sum(CASE WHEN abs(round(tr, 9)) >= abs(round(t, 9)) THEN 1 ELSE 0 END) + 1e0) / (count(tr) + 1) END AS p_value FROM grid_wild GROUP BY cell, family""")

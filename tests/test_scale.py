@@ -69,3 +69,27 @@ def test_registered_pairs_with_nulls_meet_in_no_join_whatever_the_tiles(spark):
         assert sorted(map(tuple, registration.register(df, 5, **how).collect())) == rows
     plain = sorted(map(tuple, registration.register(df).collect()))
     assert [r[:9] for r in rows] == plain
+
+
+def test_grid_weights_are_added_up_by_key_and_never_sent_whole(spark):
+    import hashlib
+
+    from assaygrid.plans.engine import CATALOGUE as C
+    from assaygrid.sources.scratch import written
+
+    held = {}
+    base = lambda t: f"parquet.`/root/testdata/sf0.001/{t}.parquet`"
+    for n in ("side_blocks", "side_values", "grid_blocks"):
+        held[n] = written(C.plan(spark, n, base, held), n)
+    sums = C.plan(spark, "weighted", base, held)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    k = {r.block: r.k for r in held["grid_blocks"].collect()}
+    sign = {b: 1 if int(hashlib.md5(f"sign|7|1|{i}".encode()).hexdigest()[:8], 16) % 2 == 0 else -1 for b, i in k.items()}
+    want, sides = {}, {}
+    for r in held["side_blocks"].collect():
+        sides.setdefault(r.block, set()).add(r.side)
+    for b, s in sides.items():
+        want[tuple(sorted(s))] = want.get(tuple(sorted(s)), 0) + sign[b]
+    found = {tuple(r.sides): r.hits for r in sums.filter("kind = 'sign' AND r = 1 AND sides IS NOT NULL").collect()}
+    assert found == want
