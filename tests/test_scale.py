@@ -93,3 +93,13 @@ def test_grid_weights_are_added_up_by_key_and_never_sent_whole(spark):
         want[tuple(sorted(s))] = want.get(tuple(sorted(s)), 0) + sign[b]
     found = {tuple(r.sides): r.hits for r in sums.filter("kind = 'sign' AND r = 1 AND sides IS NOT NULL").collect()}
     assert found == want
+
+
+def test_slots_of_motifs_widen_so_that_a_motif_travels_seldom(spark):
+    from pyspark.sql import functions as F
+
+    from assaygrid.plans.engine import CATALOGUE as C
+
+    for n, k in ((250, 1), (3000, 12), (20000, 16), (100000, 25)):
+        status = spark.range(n).select(F.col("id").alias("node"), F.lit("registrable").alias("status"), F.lit(16).alias("core_bp"))
+        assert [r.k for r in C.over("lens", {"motif_status": status}).collect()] == [k]
