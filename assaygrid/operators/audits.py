@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.relations import CATALOGUE as C
-from ..sources.scratch import ship, written
+from ..sources.scratch import discard, ship, written
 from . import compiling, validation, watch
 from .criteria import HEURISTIC, Criterion, Predicate
 from .guards import comparator_declared, index_order_matches_loader, no_cross_estimand_pooling, stratum_parity, variant_id_unique
@@ -122,11 +122,19 @@ met AS (SELECT peak FROM b INTERSECT SELECT peak FROM a),
 j AS (SELECT coalesce(b.peak, a.peak) AS peak, coalesce(b.hit, a.hit) AS hit, b.coef AS o, a.coef AS w FROM b FULL JOIN a ON a.peak = b.peak AND a.hit = b.hit WHERE coalesce(b.peak, a.peak) IN (SELECT peak FROM met))"""
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    held: dict = {}
-    base = lambda t: f"parquet.`{sf_dir}/{t}.parquet`"
-    before, after = (written(C.plan(spark, n, base, held), n) for n in ("before_hits", "after_hits"))
-    return before, after, before.select("peak").intersect(after.select("peak"))
+_TWO = ("before_hits", "after_hits")
+
+
+def _base(sf_dir: str):
+    return lambda t: f"parquet.`{sf_dir}/{t}.parquet`"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The hits that both runs are drawn from, and the peaks that both of them have; hits are worked out once."""
+    hits = written(C.plan(spark, "base_hits", _base(sf_dir), {}), "base-hits")
+    ran = [C.over(n, {"base_hits": hits}).select("peak", F.lit(i).alias("run")) for i, n in enumerate(_TWO)]
+    both = ran[0].unionAll(ran[1]).groupBy("peak").agg(F.min("run").alias("first"), F.max("run").alias("last")).filter("first < last").select("peak")
+    return hits, both
 
 
 @query(_RUNS + """,
@@ -137,13 +145,16 @@ SELECT (SELECT count(*) FROM d WHERE hot) AS n_affected_peaks, (SELECT count(*)
        (SELECT round(median(delta), 9) FROM d WHERE hot) AS median_affected, (SELECT round(median(delta), 9) FROM d) AS median_all,
        (SELECT CASE WHEN count(*) < 30 THEN 'LOW_RISK_RARE_NOT_VALIDATED' WHEN abs(median(delta)) <= 1e-12 THEN 'STABLE_AFFECTED_SUBSET' ELSE 'CHANGED_AFFECTED_SUBSET' END FROM d WHERE hot) AS status""")
 def validated_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after, both = _runs(spark, sf_dir)
+    hits, both = _runs(spark, sf_dir)
     peaks = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("peak")).join(both, "peak", "left_semi")
+    met = written(hits.join(peaks, "peak"), "met-hits")
+    before, after = (C.over(n, {"base_hits": met}) for n in _TWO)
 
     def side(hits: DataFrame, recon) -> DataFrame:
-        return hits.join(peaks.withColumn("reconstruction", recon), "peak").select(F.col("peak").cast("string").alias("peak_id"), F.col("hit").cast("string").alias("hit_id"), F.col("coef").alias("coefficient"), "reconstruction")
+        return hits.select(F.col("peak").alias("peak_id"), F.col("hit").alias("hit_id"), F.col("coef").alias("coefficient"), recon.alias("reconstruction"))
 
     r = validation.stability("d", side(before, F.lit(1.0)), side(after, F.when(F.col("peak") % 4 == 0, 1.0 - 5e-3).otherwise(1.0)))
+    discard(hits, met)
     row = (r["n_affected_peaks"], r["n_affected_hits"], round(r["affected_coefficient_share"], 9), round(r["hit_jaccard"], 9), round(r["coefficient_conservation"], 6), round(r["paired_delta_reconstruction_affected"], 9), round(r["paired_delta_reconstruction_all"], 9), r["status"])
     return spark.createDataFrame([row], "n_affected_peaks long, n_affected_hits long, share double, jaccard double, pearson double, median_affected double, median_all double, status string")
 
@@ -152,7 +163,8 @@ def validated_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT row_number() OVER (ORDER BY abs(w - o)) AS i, count(*) OVER () AS n, abs(w - o) AS d FROM j WHERE abs(w - o) > 3.63e-07)
 SELECT count(*) FILTER (w IS NULL) AS dropped, count(*) FILTER (o IS NULL) AS gained, round(count(*) FILTER (w IS NOT NULL AND o IS NOT NULL) / count(*), 9) AS jaccard, (SELECT count(*) FROM m) AS changed, round(max(abs(w - o)), 9) AS max_delta, (SELECT round(d, 9) FROM m WHERE i = n // 2 + 1) AS upper_median FROM j""")
 def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after, both = _runs(spark, sf_dir)
+    hits, both = _runs(spark, sf_dir)
+    before, after = (C.over(n, {"base_hits": hits}) for n in _TWO)
     calls = lambda df: df.select("peak", F.col("hit").alias("motif"), F.lit(0).alias("start"), F.lit("+").alias("strand"), F.col("coef").alias("coefficient"))
     return validation.compare_runs(calls(before), calls(after), both).withColumns({c: F.round(c, 9) for c in ("jaccard", "max_delta", "upper_median")})
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import affected_text, digest
 from ..sources.readers import Refusal
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 from .selection import counted, medians
 from .stability import LEAST, TOLERANCE
 
@@ -33,19 +33,30 @@ class FrozenTables:
         return self.before, self.after
 
 
-def standard(df: DataFrame, side: str) -> DataFrame:
-    """peak_id, hit_id, coefficient, reconstruction; named, finite, each hit once and one reconstruction a peak."""
-    names = ("peak_id", "hit_id", "coefficient", "reconstruction")
-    missing = [c for c in names if c not in df.columns]
+NAMES = ("peak_id", "hit_id", "coefficient", "reconstruction")  # fixed value: columns of a table before or after
+
+
+def lacking(df: DataFrame, side: str) -> None:
+    missing = [c for c in NAMES if c not in df.columns]
     if missing:
         raise Refusal(f"{side}: missing columns {', '.join(missing)}")
-    out = df.select(*names)
-    bad = F.lit(False)
-    for c in names[:2]:
-        bad = bad | F.coalesce(F.trim(c) == "", F.lit(True))
-    for c in names[2:]:
+
+
+def unfit(df: DataFrame) -> Column:
+    """Whether a row of a hit table lacks a name or a finite number; only a text can be blank."""
+    bad, kinds = F.lit(False), dict(df.select(*NAMES).dtypes)
+    for c in NAMES[:2]:
+        bad = bad | (F.coalesce(F.trim(c) == "", F.lit(True)) if kinds[c] == "string" else F.col(c).isNull())
+    for c in NAMES[2:]:
         bad = bad | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))
-    r = out.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).first()
+    return bad
+
+
+def standard(df: DataFrame, side: str) -> DataFrame:
+    """peak_id, hit_id, coefficient, reconstruction; named, finite, each hit once and one reconstruction a peak."""
+    lacking(df, side)
+    out = df.select(*NAMES)
+    r = out.agg(F.count("*").alias("n"), F.count_if(unfit(df)).alias("bad")).first()
     if not r.n or r.bad:
         raise Refusal(f"{side}: {r.bad} of {r.n} rows without a name or a finite number" if r.n else f"{side}: no rows")
     again = out.groupBy("peak_id", "hit_id").count().filter("count > 1").limit(1).collect()
@@ -57,30 +68,47 @@ def standard(df: DataFrame, side: str) -> DataFrame:
     return out
 
 
-def stability(decision_id: str, before: DataFrame, after: DataFrame, tolerance: float | None = TOLERANCE) -> dict[str, Any]:
-    """One row of figures over the peaks whose hits changed (J05, J06, A15); ``tolerance`` None counts changed sets alone."""
-    b, a = standard(before, "before"), standard(after, "after")
-    peaks = lambda df, c: df.groupBy("peak_id").agg(F.min("reconstruction").alias(c))
-    pb, pa = peaks(b, "old_r"), peaks(a, "new_r")
-    if pb.join(pa, "peak_id", "left_anti").take(1) or pa.join(pb, "peak_id", "left_anti").take(1):
-        raise Refusal("the two tables cover other peaks")
-    both = b.select("peak_id", "hit_id", F.col("coefficient").alias("old")).join(a.select("peak_id", "hit_id", F.col("coefficient").alias("new")), ["peak_id", "hit_id"], "full")
+def _changes(before: DataFrame, after: DataFrame, tolerance: float | None) -> DataFrame:
+    """One row a peak: whether its hits changed, their sums, and whether both tables are sound there."""
+    lacking(before, "before"), lacking(after, "after")
+    told = lambda df, side: df.select("peak_id", "hit_id", F.col("coefficient").alias(side), F.col("reconstruction").alias(f"{side}_r"), F.lit(1).alias(f"{side}_n"), unfit(df).alias("bad"))
+    sides = told(before, "old").unionByName(told(after, "new"), allowMissingColumns=True)
+    ends = ((F.min, "min"), (F.max, "max"))
+    both = sides.groupBy("peak_id", "hit_id").agg(F.max("old").alias("old"), F.max("new").alias("new"), *[f(f"{s}_r").alias(f"{s}_{n}") for s in ("old", "new") for f, n in ends], F.count("old_n").alias("old_n"), F.count("new_n").alias("new_n"), F.bool_or("bad").alias("bad"))
     changed = F.col("old").isNull() | F.col("new").isNull()
     if tolerance is not None:
         changed = changed | (F.abs(F.col("new") - F.col("old")) > tolerance)
     shared = F.col("old").isNotNull() & F.col("new").isNotNull()
+    fit = ~F.col("bad") & (F.col("old_n") < 2) & (F.col("new_n") < 2)
     own = both.groupBy("peak_id").agg(
-        F.bool_or(changed).alias("hot"), F.count("*").alias("union"), F.count_if(shared).alias("shared"), F.sum(F.abs("new")).alias("mass"),
+        F.bool_or(changed).alias("hot"), F.count("*").alias("union"), F.count_if(shared).alias("shared"), F.sum(F.abs("new")).alias("mass"), F.bool_and(fit).alias("fit"),
         *[F.sum(F.when(shared, x)).alias(n) for n, x in (("so", F.col("old")), ("sn", F.col("new")), ("soo", F.col("old") ** 2), ("snn", F.col("new") ** 2), ("sno", F.col("old") * F.col("new")))],
-    ).join(pb, "peak_id").join(pa, "peak_id").withColumn("delta", F.col("new_r") - F.col("old_r"))
+        *[f(f"{s}_{n}").alias(f"{s}_{n}") for s in ("old", "new") for f, n in ends],
+    )
+    # one reconstruction on either side: both tables have the peak
+    one = lambda s: F.coalesce(F.col(f"{s}_min") == F.col(f"{s}_max"), F.lit(False))
+    sound = F.col("fit") & one("old") & one("new")
+    return own.withColumns({"sound": sound, "delta": F.col("new_min") - F.col("old_min")}).drop("fit", "old_min", "old_max", "new_min", "new_max")
+
+
+def stability(decision_id: str, before: DataFrame, after: DataFrame, tolerance: float | None = TOLERANCE) -> dict[str, Any]:
+    """One row of figures over the peaks whose hits changed (J05, J06, A15); ``tolerance`` None counts changed sets alone.
+
+    Each table is read once: what would refuse it is counted on the way to the table of peaks, and ``standard`` looks
+    for the row to name only where something was found.
+    """
+    own = written(_changes(before, after, tolerance), "changes")
     hot = lambda x: F.when(F.col("hot"), x)
-    own = written(own, "changes")
-    deltas = counted(own.withColumn("grp", F.explode(F.when(F.col("hot"), F.array(F.lit("every"), F.lit("affected"))).otherwise(F.array(F.lit("every"))))), F.col("grp"), F.col("delta"))
-    middle = {m.grp: m.middle for m in medians(deltas).collect()}
     r = own.agg(
         F.count_if("hot").alias("peaks"), F.sum(hot(F.col("union"))).alias("hits"), F.sum(hot(F.col("shared"))).alias("n"), F.sum(hot(F.col("mass"))).alias("part"), F.sum("mass").alias("whole"),
-        *[F.sum(hot(F.col(c))).alias(c) for c in ("so", "sn", "soo", "snn", "sno")],
+        *[F.sum(hot(F.col(c))).alias(c) for c in ("so", "sn", "soo", "snn", "sno")], F.count("*").alias("every"), F.bool_and("sound").alias("sound"),
     ).first()
+    if not r.every or not r.sound:
+        standard(before, "before"), standard(after, "after")
+        raise Refusal("the two tables cover other peaks")
+    deltas = counted(own.withColumn("grp", F.explode(F.when(F.col("hot"), F.array(F.lit("every"), F.lit("affected"))).otherwise(F.array(F.lit("every"))))), F.col("grp"), F.col("delta"))
+    middle = {m.grp: m.middle for m in medians(deltas).collect()}
+    discard(own)
     n, pearson = r.n or 0, None
     if n >= 2 and (vx := n * r.soo - r.so**2) > 0 and (vy := n * r.snn - r.sn**2) > 0:
         pearson = (n * r.sno - r.so * r.sn) / (vx**0.5 * vy**0.5)
@@ -152,7 +180,8 @@ def compare_runs(a: DataFrame, b: DataFrame, regions: DataFrame, tolerance: floa
     """Two runs of a caller over the regions both were given (peak, motif, start, strand, coefficient)."""
     key = ["peak", "motif", "start", "strand"]
     inside = lambda df: df.join(regions, "peak", "left_semi")
-    both = inside(a).select(*key, F.col("coefficient").alias("x")).join(inside(b).select(*key, F.col("coefficient").alias("y")), key, "full").withColumn("d", F.abs(F.col("y") - F.col("x")))
+    both = inside(a).select(*key, F.col("coefficient").alias("x")).join(inside(b).select(*key, F.col("coefficient").alias("y")), key, "full").select("x", "y", F.abs(F.col("y") - F.col("x")).alias("d"))
+    both = written(both, "runs")
     moved = F.when(F.col("d") > tolerance, F.col("d"))
     counts = both.agg(F.count_if(F.col("y").isNull()).alias("dropped"), F.count_if(F.col("x").isNull()).alias("gained"), F.try_divide(F.count("d"), F.count("*")).alias("jaccard"), F.count(moved).alias("changed"), F.max("d").alias("max_delta"))
     middle = medians(counted(both, F.lit("moved"), moved)).collect()

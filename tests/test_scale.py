@@ -103,3 +103,45 @@ def test_slots_of_motifs_widen_so_that_a_motif_travels_seldom(spark):
     for n, k in ((250, 1), (3000, 12), (20000, 16), (100000, 25)):
         status = spark.range(n).select(F.col("id").alias("node"), F.lit("registrable").alias("status"), F.lit(16).alias("core_bp"))
         assert [r.k for r in C.over("lens", {"motif_status": status}).collect()] == [k]
+
+
+def test_tables_before_and_after_are_read_once(spark):
+    """Sound tables are not gone through again for each thing that could be wrong with them."""
+    from assaygrid.operators import validation
+    from assaygrid.sources.readers import Refusal
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def table(rows):
+        schema = "peak_id long, hit_id long, coefficient double, reconstruction double"
+        return spark.createDataFrame(rows, schema).mapInArrow(seen, schema)
+
+    before = [(i, h, 1.0 + i % 3, 1.0) for i in range(90) for h in (1, 2)]
+    after = [(i, h if i % 2 else h + 1, x, 0.5) for i, h, x, _ in before]
+    out = validation.stability("d", table(before), table(after))
+    assert read.value == len(before) + len(after)
+    assert (out["n_affected_peaks"], out["n_affected_hits"], out["paired_delta_reconstruction_all"]) == (45, 135, -0.5)
+    for rows in ([*after, after[0]], [*after[:-1], (None, 1, 1.0, 0.5)], [*after[:-1], (*after[-1][:3], 0.75)], after[2:], []):
+        for pair in ((before, rows), (rows, before)):
+            try:
+                validation.stability("d", *map(table, pair))
+            except Refusal:
+                continue
+            raise AssertionError(pair[0][-1:])
+
+
+def test_runs_are_drawn_from_hits_worked_out_once(spark, monkeypatch):
+    import assaygrid.plans.engine  # noqa: F401
+    from assaygrid.operators import audits
+
+    names = []
+    monkeypatch.setattr(audits, "written", lambda df, name, keep=audits.written: names.append(name) or keep(df, name))
+    hits, both = audits._runs(spark, "/root/testdata/sf0.001")
+    assert names == ["base-hits"]
+    run = [audits.C.over(n, {"base_hits": hits}).select("peak") for n in ("before_hits", "after_hits")]
+    assert sorted(both.collect()) == sorted(run[0].intersect(run[1]).collect())
