@@ -15,6 +15,16 @@ SELECT r.*, p_type AS family, p_brand AS variant, l_linenumber AS line,
        CASE WHEN l_orderkey IS NULL THEN CASE WHEN side = 'P' THEN 'not_searched' ELSE 'no_sequence_match' END
             WHEN l_discount >= 0.02 THEN 'used' ELSE 'hit_below_floor' END AS state
 FROM regions r LEFT JOIN lineitem ON l_orderkey = region_id LEFT JOIN part ON p_partkey = l_partkey""")
+# Spark names the parts of narrow rows first, and regions come last: what is summed by region is then already together
+C.spark("named_lines", """
+SELECT l_orderkey, p_type AS family, p_brand AS variant, l_linenumber AS line, l_discount,
+       CASE WHEN l_discount >= 0.02 THEN (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) * l_extendedprice * (1 - l_discount) / 1000 END AS coefficient
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""")
+C.spark("hits", """
+SELECT r.*, family, variant, line, coefficient,
+       CASE WHEN l_orderkey IS NULL THEN CASE WHEN side = 'P' THEN 'not_searched' ELSE 'no_sequence_match' END
+            WHEN l_discount >= 0.02 THEN 'used' ELSE 'hit_below_floor' END AS state
+FROM regions r LEFT JOIN {dealt:named_lines} n ON l_orderkey = region_id""")
 C.relation("peaks", """
 SELECT region_id, min(chrom) AS chrom, min(start_bp) AS start_bp, min(end_bp) AS end_bp, min(side) AS side, min(block) AS block,
        max(CASE WHEN state <> 'not_searched' THEN 1 ELSE 0 END) AS searched, count(family) AS opportunities,

@@ -145,3 +145,24 @@ def test_runs_are_drawn_from_hits_worked_out_once(spark, monkeypatch):
     assert names == ["base-hits"]
     run = [audits.C.over(n, {"base_hits": hits}).select("peak") for n in ("before_hits", "after_hits")]
     assert sorted(both.collect()) == sorted(run[0].intersect(run[1]).collect())
+
+
+def test_hits_are_dealt_by_region_in_parts_that_grow_with_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from assaygrid.plans import relations
+    from assaygrid.plans.engine import CATALOGUE as C
+    from assaygrid.sources.scratch import setting
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda n: sorted(map(tuple, C.run(n)(spark, sf).collect()))
+    plain = {n: run(n) for n in ("region_family_mass", "region_universe")}
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(relations, "ROWS", 100)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):  # tables of these few rows would be sent whole
+        held = [r[1] for r in C.run("hits")(spark, sf).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 0.9 * rows / 100 and max(held) < 300
+    close = lambda a, b: a[:3] == b[:3] and np.allclose(a[3:], b[3:], atol=1e-6)
+    dealt = run("region_family_mass")
+    assert len(dealt) == len(plain["region_family_mass"]) and all(map(close, dealt, plain["region_family_mass"]))
+    assert [r[:8] for r in run("region_universe")] == [r[:8] for r in plain["region_universe"]]
