@@ -113,6 +113,7 @@ def universe(hits: DataFrame, block_size: int = BLOCK) -> DataFrame:
         ((F.min("chrom") != F.max("chrom")) | (F.min("start") != F.max("start")) | (F.min("end") != F.max("end"))).alias("torn"),
         (F.count_if(F.col("missingness") == "not_searched").between(1, F.count("*") - 1)).alias("mixed"),
     )
+    out = written(out, "universe")
     bad = out.filter("torn OR mixed").select("region_id", "torn").limit(1).collect()
     if bad:
         raise Refusal(f"region {bad[0].region_id}: " + ("rows disagree on where it lies" if bad[0].torn else "searched in one row and not in another"))

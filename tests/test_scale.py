@@ -166,3 +166,21 @@ def test_hits_are_dealt_by_region_in_parts_that_grow_with_the_rows(spark, monkey
     dealt = run("region_family_mass")
     assert len(dealt) == len(plain["region_family_mass"]) and all(map(close, dealt, plain["region_family_mass"]))
     assert [r[:8] for r in run("region_universe")] == [r[:8] for r in plain["region_universe"]]
+
+
+def test_universe_is_worked_out_once(spark):
+    """The check that a region's rows agree and the result come from one pass over the hits."""
+    from assaygrid.operators import reading
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "region_id string, chrom string, start long, end long, missingness string, hit_coefficient double"
+    rows = [(f"r{i}", "c", i * 100, i * 100 + 50, "used", 0.5 + j) for i in range(40) for j in range(3)]
+    found = reading.universe(spark.createDataFrame(rows, schema).mapInArrow(seen, schema), 1000).collect()
+    assert sorted((r.region_id, r.block, r.n_used, r.mass) for r in found) == sorted((f"r{i}", f"c:{i // 10}", 3, 4.5) for i in range(40))
+    assert read.value == len(rows)
